@@ -73,14 +73,21 @@ def shingles(text: str | None, words: int = WORDS, cache: _Hashes | None = None)
     h = np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
     if len(h) < words:
         return np.array([xxhash.xxh64_intdigest(h.tobytes(), seed=len(h))], np.uint64)
-    total = np.zeros(len(h) - words + 1, np.uint64)
-    for i in range(words):
-        total = _spread(total + h[i : len(h) - words + 1 + i] * _MIX[i % 5])
-    return np.unique(total)
+    total = h[: len(h) - words + 1] * _MIX[0]
+    for i in range(1, words):
+        total += h[i : len(h) - words + 1 + i] * (_MIX[i % 5] + np.uint64(2 * i))
+    total = np.sort(_spread(total))
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
-def _points(sets: np.ndarray) -> np.ndarray:
-    return np.bincount((sets >> np.uint64(64 - 6)).astype(np.int64), minlength=GROUPS).astype("<u4")
+def _points(sets: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Shingles in each group; a group is the shingles that share their first bits."""
+    return np.bincount((sets >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups).astype("<u4")
+
+
+def _fine(sets: np.ndarray) -> np.ndarray:
+    """The point in so many groups that each holds few shingles: a fraction of the set's bytes."""
+    return _points(sets, 1 << max(GROUPS.bit_length() - 1, (len(sets) // 3).bit_length()))
 
 
 def _digest(sets: np.ndarray) -> int:
@@ -88,30 +95,30 @@ def _digest(sets: np.ndarray) -> int:
 
 
 def members(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(kind 0: id, row key, n, digest, points; kind 1: a frequent hash bucket and its count)."""
+    """(kind 0: id, row key, n, digest, points, fine points; kind 1: a frequent hash bucket and its count)."""
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), *row_key(id_col, text_col), text_of(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, load = _Hashes(), np.zeros(1 << BUCKET_BITS, np.int64)
-        names = ["kind", "id", "_k1", "_k2", "n", "digest", "points"]
+        names = ["kind", "id", "_k1", "_k2", "n", "digest", "points", "fine"]
         for batch in batches:
-            n, digest, points = [], [], []
-            pending = []
+            n, digest, points, fine, pending = [], [], [], [], []
             for text in batch.column(3).to_pylist():
                 s = shingles(text, words, cache)
                 pending.append(s)
                 n.append(len(s))
                 digest.append(_digest(s) if len(s) else None)
-                points.append(_points(s).tobytes() if len(s) else None)
+                points.append(_points(s).astype("<u4").tobytes() if len(s) else None)
+                fine.append(_fine(s).tobytes() if len(s) else None)
             some = np.concatenate([*pending, np.zeros(0, np.uint64)])
-            np.add.at(load, (some >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+            load += np.bincount((some >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=1 << BUCKET_BITS)
             kind = pa.array(np.zeros(len(n), np.int32))
-            yield pa.RecordBatch.from_arrays([kind, *batch.columns[:3], pa.array(n, pa.int32()), pa.array(digest, pa.int64()), pa.array(points, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([kind, *batch.columns[:3], pa.array(n, pa.int32()), pa.array(digest, pa.int64()), pa.array(points, pa.binary()), pa.array(fine, pa.binary())], names)
         at = np.flatnonzero(load > 16 + 6 * load.mean())
         none = [pa.nulls(len(at), t) for t in (pa.string(), pa.binary())]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), none[0], pa.array(load[at]), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.int64()), none[1]], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), none[0], pa.array(load[at]), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.int64()), none[1], none[1]], names)
 
-    return source.mapInArrow(run, "kind int, id bigint, _k1 string, _k2 bigint, n int, digest bigint, points binary")
+    return source.mapInArrow(run, "kind int, id bigint, _k1 string, _k2 bigint, n int, digest bigint, points binary, fine binary")
 
 
 def prefix(sets: np.ndarray, level: np.ndarray, threshold: int) -> np.ndarray:
@@ -227,16 +234,25 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
 
 
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Summed minima of two points; the finer one is folded to the groups of the other."""
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.minimum(x.reshape(len(y), -1).sum(axis=1), y).sum())
+
+
 def _bounded(pairs: DataFrame, points: DataFrame, threshold: int) -> DataFrame:
     """The pairs whose summed coordinate minima allow enough overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = _vectors(batch.column(2)), _vectors(batch.column(3))
-            keep = (100 + threshold) * np.minimum(x, y).sum(axis=1) >= threshold * (x.sum(axis=1) + y.sum(axis=1))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                keep.append((100 + threshold) * _overlap(x, y) >= threshold * (int(x.sum()) + int(y.sum())))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(points.select(F.col("digest").alias("a"), F.col("points").alias("pa")), "a").join(points.select(F.col("digest").alias("b"), F.col("points").alias("pb")), "b")
+    both = pairs.join(points.select(F.col("digest").alias("a"), F.col("fine").alias("pa")), "a").join(points.select(F.col("digest").alias("b"), F.col("fine").alias("pb")), "b")
     return both.select("a", "b", "pa", "pb").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -347,7 +363,7 @@ class Join:
         level[heavy["id"].to_numpy()] = np.log2(np.maximum(heavy["n"].to_numpy(), 1)).astype(np.uint8)
         full = self.rows.where("n > 0")
         classes = full.groupBy("digest").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("digest", "k._k1", "k._k2")
-        points = full.groupBy("digest").agg(F.max("points").alias("points"))
+        points = full.groupBy("digest").agg(F.max(F.struct("points", "fine")).alias("p")).select("digest", "p.points", "p.fine")
         postings = cut(_postings(docs, level, words, threshold, text_col), "postings")
         blocks = cut(_blocks(postings, threshold), "blocks")
         edge = blocks.where("kind = 2").groupBy("h").agg(F.min("a").alias("lead"))
@@ -355,7 +371,7 @@ class Join:
         pairs = cut(_bounded(blocks.where("kind = 0").select("a", "b").union(split).distinct(), points, threshold), "pairs")
         links = cut(_verified(pairs, docs, classes, words, threshold, id_col, text_col), "links")
         self.roots = components(links)
-        more = cut(_left(blocks, self.roots, points, threshold), "left")
+        more = cut(_bounded(cut(_left(blocks, self.roots, points, threshold), "left"), points, threshold), "pairs")
         if not more.isEmpty():
             fresh = cut(_verified(more, docs, classes, words, threshold, id_col, text_col), "links")
             links = links.unionByName(fresh)

@@ -42,15 +42,21 @@ def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def _luhn(m: Column) -> Column:
-    digits = _digits(m)
+    def valid(digits: Column) -> Column:
+        def add(total: Column, i: Column) -> Column:
+            d = F.substring(digits, F.length(digits) - i + 1, F.lit(1)).cast("int")
+            twice = d * 2
+            return total + F.when(i % 2 == 0, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(d)
 
-    def add(total: Column, i: Column) -> Column:
-        d = F.substring(digits, F.length(digits) - i + 1, F.lit(1)).cast("int")
-        twice = d * 2
-        return total + F.when(i % 2 == 0, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(d)
+        return F.when(F.length(digits).between(16, 19), F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0).otherwise(F.lit(False))
 
-    return F.length(digits).between(16, 19) & (F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0)
+    return _let(_digits(m), valid)
 
 
 def spans_of(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
@@ -59,16 +65,28 @@ def spans_of(text: Column, pattern: str, keep: Callable[[Column], Column] | None
     Matches and the text between them alternate, so starts are sums of lengths;
     they are summed by 64s, so that many matches in one text cost little.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("g"), F.length(m).alias("w"), m.alias("m")))
 
-    def place(s: Column) -> Column:
-        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / 64).cast("int")), lambda c: F.aggregate(F.slice(s, c * 64 + 1, F.lit(64)), F.lit(0), lambda t, x: t + x["g"] + x["w"]))
-        before = lambda i: F.aggregate(F.slice(chunks, F.lit(1), F.floor(i / 64).cast("int")), F.lit(0), lambda t, x: t + x) + F.aggregate(F.slice(s, F.floor(i / 64).cast("int") * 64 + 1, i % 64), F.lit(0), lambda t, x: t + x["g"] + x["w"])
-        return F.transform(s, lambda x, i: F.struct((before(i) + x["g"]).alias("start"), (before(i) + x["g"] + x["w"]).alias("end"), x["m"].alias("value")))
+    def total(steps: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda t, x: t + x["g"] + x["w"])
+
+    def steps_of(found: Column) -> Column:
+        return _let(F.split(text, pattern, -1), lambda gaps: F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("g"), F.length(m).alias("w"), m.alias("m"))))
+
+    def sums_of(steps: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / 64).cast("int")), lambda c: total(F.slice(steps, c * 64 + 1, F.lit(64))))
+
+    def place(steps: Column, sums: Column) -> Column:
+        def span(x: Column, i: Column) -> Column:
+            chunk = F.floor(i / 64).cast("int")
+            before = F.aggregate(F.slice(sums, F.lit(1), chunk), F.lit(0), lambda t, x: t + x) + total(F.slice(steps, chunk * 64 + 1, i % 64)) + x["g"]
+            return _let(before, lambda start: F.struct(start.alias("start"), (start + x["w"]).alias("end"), x["m"].alias("value")))
+
+        return F.transform(steps, span)
 
-    out = F.when(F.size(found) > 0, place(steps)).otherwise(F.array().cast(SPAN))
+    def spans(found: Column) -> Column:
+        return F.when(F.size(found) > 0, _let(steps_of(found), lambda steps: _let(sums_of(steps), lambda sums: place(steps, sums)))).otherwise(F.array().cast(SPAN))
+
+    out = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
     return F.filter(out, lambda x: keep(x["value"])) if keep else out
 
 
@@ -87,7 +105,11 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """(id, row key, one array of spans for each kind, contexts of the entities)."""
     rows = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col), text_of(text_col).alias("_text"))
     rows = rows.select("*", *[c.alias(k) for k, c in entities(F.col("_text")).items()])
-    kinds = [F.transform(k, lambda s, k=k: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))) for k in KINDS]
+
+    def of(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+
+    kinds = [of(k) for k in KINDS]
     around = F.transform(
         F.concat(*kinds),
         lambda s: F.struct(
@@ -105,7 +127,10 @@ def occurrences(spans: DataFrame) -> DataFrame:
     """(row key, entity, term, start, end) of each word in the context of an entity."""
     rows = spans.where(F.size("around") > 0).select(*KEYS, *KINDS, F.explode("around").alias("a"))
     moved = lambda side, at: F.transform(spans_of(F.col(side), WORD), lambda s: F.struct((s["start"] + F.col(at)).alias("start"), (s["end"] + F.col(at)).alias("end"), F.lower(s["value"]).alias("value")))
-    rows = rows.withColumn("w", F.explode(F.concat(moved("a.left", "a.left_at"), moved("a.right", "a.right_at"))))
+    # a word at the outer edge of a context may be cut off
+    left = F.filter(moved("a.left", "a.left_at"), lambda s: (s["start"] > F.col("a.left_at")) | (F.col("a.left_at") == 0))
+    right = F.filter(moved("a.right", "a.right_at"), lambda s: s["end"] < F.col("a.right_at") + CONTEXT)
+    rows = rows.withColumn("w", F.explode(F.concat(left, right)))
     inside = F.exists(F.concat(*KINDS), lambda s: (s["start"] < F.col("w.end")) & (F.col("w.start") < s["end"]))
     return rows.where(~inside).select(*KEYS, F.col("a.entity").alias("entity"), F.col("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")).distinct()
 
@@ -149,7 +174,11 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Of overlapping spans the first stays, then the longer one.
     """
     spans = detect(docs, id_col=id_col, text_col=text_col, **rules).drop("id").dropDuplicates(KEYS)
-    each = [F.transform(k, lambda s, k=k: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(f"[{k.upper()}]").alias("to"))) for k in KINDS]
+
+    def of(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(f"[{kind.upper()}]").alias("to")))
+
+    each = [of(k) for k in KINDS]
     word = lambda s: F.substring(F.col(text_col), s["start"] + 1, F.lit(2))
     each.append(F.transform("terms", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.when(s["action"] == "remove", F.lit("[TERM]")).otherwise(F.concat(word(s), F.lit("..."))).alias("to"))))
     kept = docs.select("*", *row_key(id_col, text_col))
