@@ -83,10 +83,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rul
     """
     gone = drops(docs, id_col=id_col, text_col=text_col, **rules)
     kept = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], *row_key(id_col, text_col))
-    joined = kept.join(gone.hint("shuffle_hash"), KEYS, "left").withColumn("_lines", F.split(F.col(text_col).cast("string"), "\n"))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("dropped"))
-    text = F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    counts = {"n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("dropped"), F.lit(0)).cast("long")}
-    counts["n_lines"] = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(counts["n_lines"]).cast("long")
-    counts["n_dropped"] = F.when(F.col("dropped").isNull(), F.lit(0)).otherwise(F.size("dropped")).cast("long")
-    return joined.withColumns(counts).withColumn(text_col, text).drop(*KEYS, "dropped", "_lines")
+    joined = kept.join(gone.withColumnRenamed("dropped", "_dropped").hint("shuffle_hash"), KEYS, "left").withColumn("_lines", F.split(F.col(text_col).cast("string"), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_dropped"))
+    text = F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n"))
+    counts = {
+        "n_lines": F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long"),
+        "n_dropped": F.when(F.col("_dropped").isNull(), F.lit(0)).otherwise(F.size("_dropped")).cast("long"),
+    }
+    return joined.withColumns(counts).withColumn(text_col, text).drop(*KEYS, "_dropped", "_lines")

@@ -40,11 +40,11 @@ from pyspark.sql import functions as F
 from .common import cut, row_key, text_of
 
 WORDS, THRESHOLD = 5, 80
-GROUPS = 64
+GROUPS = 128
 #: Blocks up to this size are compared pair by pair at once.
 SMALL = 12
-#: Bits of the table of frequent hash buckets.
-BUCKET_BITS = 20
+#: Bits of the table of hash buckets, and buckets in one of its rows.
+BUCKET_BITS, BUCKET_ROW = 20, 4096
 #: Members of one leaf task of the tree join.
 LEAF_ROWS = 1024
 _MIX = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -95,7 +95,7 @@ def _digest(sets: np.ndarray) -> int:
 
 
 def members(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(kind 0: id, row key, n, digest, points, fine points; kind 1: a frequent hash bucket and its count)."""
+    """(kind 0: id, row key, n, digest, points, fine points; kind 1: a row of the bucket table as id and points)."""
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), *row_key(id_col, text_col), text_of(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,13 +114,33 @@ def members(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
             load += np.bincount((some >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=1 << BUCKET_BITS)
             kind = pa.array(np.zeros(len(n), np.int32))
             yield pa.RecordBatch.from_arrays([kind, *batch.columns[:3], pa.array(n, pa.int32()), pa.array(digest, pa.int64()), pa.array(points, pa.binary()), pa.array(fine, pa.binary())], names)
-        at = np.flatnonzero(load > 16 + 6 * load.mean())
-        none = [pa.nulls(len(at), t) for t in (pa.string(), pa.binary())]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), none[0], pa.array(load[at]), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.int64()), none[1], none[1]], names)
+        rows = load.astype("<u4").reshape(-1, BUCKET_ROW)
+        used = np.flatnonzero(rows.any(axis=1))
+        gone = [pa.nulls(len(used), t) for t in (pa.string(), pa.int64(), pa.int32(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(used), np.int32)), pa.array(used), *gone, pa.array([rows[i].tobytes() for i in used], pa.binary()), pa.nulls(len(used), pa.binary())], names)
 
     return source.mapInArrow(run, "kind int, id bigint, _k1 string, _k2 bigint, n int, digest bigint, points binary, fine binary")
 
 
+def _levels(made: DataFrame) -> np.ndarray:
+    """How far each bucket's count is above what chance deals it, in half octaves; 0 for most."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(BUCKET_ROW, np.int64)
+        for row in table["points"]:
+            total += np.frombuffer(row.as_py(), "<u4")
+        return pa.table({"id": table["id"][:1], "total": pa.array([total.tobytes()], pa.binary())})
+
+    rows = made.where("kind = 1").select("id", "points").groupBy("id").applyInArrow(add, "id bigint, total binary").toArrow()  # 2**BUCKET_BITS counts
+    count = np.zeros((1 << BUCKET_BITS) // BUCKET_ROW * BUCKET_ROW).reshape(-1, BUCKET_ROW)
+    for i, total in zip(rows["id"].to_pylist(), rows["total"].to_pylist(), strict=True):
+        count[i] = np.frombuffer(total, np.int64)
+    count = count.reshape(-1)
+    usual = float(np.median(count))
+    usual += 4 * np.sqrt(usual) + 1
+    return np.where(count > usual, np.minimum(250, 1 + 2 * np.log2(np.maximum(count, usual) / usual)), 0).astype(np.uint8)
+
+
 def prefix(sets: np.ndarray, level: np.ndarray, threshold: int) -> np.ndarray:
     """The first shingles in the global order: rarer buckets first, then by hash."""
     n = len(sets)
@@ -358,9 +378,7 @@ class Join:
     def __init__(self, docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> None:
         made = cut(members(docs, words, id_col, text_col), "members")
         self.rows = made.where("kind = 0").drop("kind")
-        heavy = made.where("kind = 1").groupBy("id").agg(F.sum("_k2").alias("n")).toArrow()  # 2**BUCKET_BITS rows at most
-        level = np.zeros(1 << BUCKET_BITS, np.uint8)
-        level[heavy["id"].to_numpy()] = np.log2(np.maximum(heavy["n"].to_numpy(), 1)).astype(np.uint8)
+        level = _levels(made)
         full = self.rows.where("n > 0")
         classes = full.groupBy("digest").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("digest", "k._k1", "k._k2")
         points = full.groupBy("digest").agg(F.max(F.struct("points", "fine")).alias("p")).select("digest", "p.points", "p.fine")

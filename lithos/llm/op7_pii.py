@@ -173,21 +173,19 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Of overlapping spans the first stays, then the longer one.
     """
-    spans = detect(docs, id_col=id_col, text_col=text_col, **rules).drop("id").dropDuplicates(KEYS)
-
     def of(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(f"[{kind.upper()}]").alias("to")))
 
-    each = [of(k) for k in KINDS]
-    word = lambda s: F.substring(F.col(text_col), s["start"] + 1, F.lit(2))
-    each.append(F.transform("terms", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.when(s["action"] == "remove", F.lit("[TERM]")).otherwise(F.concat(word(s), F.lit("..."))).alias("to"))))
-    kept = docs.select("*", *row_key(id_col, text_col))
-    joined = kept.join(spans.hint("shuffle_hash"), KEYS, "left").withColumn("_all", F.sort_array(F.concat(*each)))
+    # a null replacement stands for a generalised term
+    terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.when(s["action"] == "remove", F.lit("[TERM]")).alias("to")))
+    spans = detect(docs, id_col=id_col, text_col=text_col, **rules).select(*KEYS, F.sort_array(F.concat(*[of(k) for k in KINDS], terms)).alias("_all")).dropDuplicates(KEYS)
+    joined = docs.select("*", *row_key(id_col, text_col)).join(spans.hint("shuffle_hash"), KEYS, "left")
 
     def step(acc: Column, s: Column) -> Column:
-        new = F.struct((-s["back"]).alias("at"), F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), s["to"]).alias("out"))
+        to = F.coalesce(s["to"], F.concat(F.substring(F.col(text_col), s["start"] + 1, F.lit(2)), F.lit("...")))
+        new = F.struct((-s["back"]).alias("at"), F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), to).alias("out"))
         return F.when(s["start"] >= acc["at"], new).otherwise(acc)
 
     folded = F.aggregate("_all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col(text_col), a["at"] + 1, F.length(F.col(text_col)))))
     text = F.when(F.size("_all") > 0, folded).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, text).drop(*KEYS, *KINDS, "terms", "_all")
+    return joined.withColumn(text_col, text).drop(*KEYS, "_all")
