@@ -86,8 +86,11 @@ def _points(sets: np.ndarray, groups: int = GROUPS) -> np.ndarray:
 
 
 def _fine(sets: np.ndarray) -> np.ndarray:
-    """The point in so many groups that each holds few shingles: a fraction of the set's bytes."""
-    return _points(sets, 1 << max(GROUPS.bit_length() - 1, (len(sets) // 3).bit_length()))
+    """The point in so many groups that each holds four to eight shingles: a fraction of the set's bytes.
+
+    With fewer groups the minima of unrelated long texts would add up to almost all of either.
+    """
+    return _points(sets, 1 << max(GROUPS.bit_length() - 1, (len(sets) // 8).bit_length())).astype("<u4")
 
 
 def _digest(sets: np.ndarray) -> int:
@@ -95,31 +98,30 @@ def _digest(sets: np.ndarray) -> int:
 
 
 def members(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(kind 0: id, row key, n, digest, points, fine points; kind 1: a row of the bucket table as id and points)."""
+    """(kind 0: id, row key, n, digest, points; kind 1: a row of the bucket table as id and points)."""
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), *row_key(id_col, text_col), text_of(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, load = _Hashes(), np.zeros(1 << BUCKET_BITS, np.int64)
-        names = ["kind", "id", "_k1", "_k2", "n", "digest", "points", "fine"]
+        names = ["kind", "id", "_k1", "_k2", "n", "digest", "points"]
         for batch in batches:
-            n, digest, points, fine, pending = [], [], [], [], []
+            n, digest, points, pending = [], [], [], []
             for text in batch.column(3).to_pylist():
                 s = shingles(text, words, cache)
                 pending.append(s)
                 n.append(len(s))
                 digest.append(_digest(s) if len(s) else None)
-                points.append(_points(s).astype("<u4").tobytes() if len(s) else None)
-                fine.append(_fine(s).tobytes() if len(s) else None)
+                points.append(_fine(s).tobytes() if len(s) else None)
             some = np.concatenate([*pending, np.zeros(0, np.uint64)])
             load += np.bincount((some >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=1 << BUCKET_BITS)
             kind = pa.array(np.zeros(len(n), np.int32))
-            yield pa.RecordBatch.from_arrays([kind, *batch.columns[:3], pa.array(n, pa.int32()), pa.array(digest, pa.int64()), pa.array(points, pa.binary()), pa.array(fine, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([kind, *batch.columns[:3], pa.array(n, pa.int32()), pa.array(digest, pa.int64()), pa.array(points, pa.binary())], names)
         rows = load.astype("<u4").reshape(-1, BUCKET_ROW)
         used = np.flatnonzero(rows.any(axis=1))
         gone = [pa.nulls(len(used), t) for t in (pa.string(), pa.int64(), pa.int32(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(used), np.int32)), pa.array(used), *gone, pa.array([rows[i].tobytes() for i in used], pa.binary()), pa.nulls(len(used), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(used), np.int32)), pa.array(used), *gone, pa.array([rows[i].tobytes() for i in used], pa.binary())], names)
 
-    return source.mapInArrow(run, "kind int, id bigint, _k1 string, _k2 bigint, n int, digest bigint, points binary, fine binary")
+    return source.mapInArrow(run, "kind int, id bigint, _k1 string, _k2 bigint, n int, digest bigint, points binary")
 
 
 def _levels(made: DataFrame) -> np.ndarray:
@@ -250,10 +252,6 @@ def _blocks(postings: DataFrame, threshold: int) -> DataFrame:
     return ordered.mapInArrow(run, "kind int, h bigint, a bigint, b bigint")
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
-
-
 def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     """Summed minima of two points; the finer one is folded to the groups of the other."""
     if len(x) < len(y):
@@ -272,7 +270,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, threshold: int) -> DataFrame:
                 keep.append((100 + threshold) * _overlap(x, y) >= threshold * (int(x.sum()) + int(y.sum())))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(points.select(F.col("digest").alias("a"), F.col("fine").alias("pa")), "a").join(points.select(F.col("digest").alias("b"), F.col("fine").alias("pb")), "b")
+    both = pairs.join(points.select(F.col("digest").alias("a"), F.col("points").alias("pa")), "a").join(points.select(F.col("digest").alias("b"), F.col("points").alias("pb")), "b")
     return both.select("a", "b", "pa", "pb").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -357,7 +355,8 @@ def _left(blocks: DataFrame, roots: DataFrame, points: DataFrame, threshold: int
     def run(table: pa.Table) -> pa.Table:
         leaf, digest, root = (table[c].to_numpy() for c in ("leaf", "digest", "root"))
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        p = _vectors(table["points"])
+        fine = [np.frombuffer(x, "<u4").astype(np.int64) for x in table["points"].to_pylist()]
+        p = np.stack([x.reshape(GROUPS, -1).sum(axis=1) for x in fine])
         inner, outer = np.flatnonzero(leaf == i), np.flatnonzero(leaf == j)
         a, b = [], []
         if len(inner) and len(outer):
@@ -365,6 +364,7 @@ def _left(blocks: DataFrame, roots: DataFrame, points: DataFrame, threshold: int
             for x in outer.tolist():
                 at = inner[tree.search(p[x], threshold)]
                 at = at[(root[at] != root[x]) & ((digest[at] < digest[x]) | (i != j))]
+                at = np.array([y for y in at.tolist() if (100 + threshold) * _overlap(fine[x], fine[y]) >= threshold * int(p[x].sum() + p[y].sum())], np.int64)
                 a += np.minimum(digest[at], digest[x]).tolist()
                 b += np.maximum(digest[at], digest[x]).tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -381,7 +381,7 @@ class Join:
         level = _levels(made)
         full = self.rows.where("n > 0")
         classes = full.groupBy("digest").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("digest", "k._k1", "k._k2")
-        points = full.groupBy("digest").agg(F.max(F.struct("points", "fine")).alias("p")).select("digest", "p.points", "p.fine")
+        points = full.groupBy("digest").agg(F.max("points").alias("points"))
         postings = cut(_postings(docs, level, words, threshold, text_col), "postings")
         blocks = cut(_blocks(postings, threshold), "blocks")
         edge = blocks.where("kind = 2").groupBy("h").agg(F.min("a").alias("lead"))
@@ -389,7 +389,7 @@ class Join:
         pairs = cut(_bounded(blocks.where("kind = 0").select("a", "b").union(split).distinct(), points, threshold), "pairs")
         links = cut(_verified(pairs, docs, classes, words, threshold, id_col, text_col), "links")
         self.roots = components(links)
-        more = cut(_bounded(cut(_left(blocks, self.roots, points, threshold), "left"), points, threshold), "pairs")
+        more = cut(_left(blocks, self.roots, points, threshold), "left")
         if not more.isEmpty():
             fresh = cut(_verified(more, docs, classes, words, threshold, id_col, text_col), "links")
             links = links.unionByName(fresh)

@@ -27,7 +27,7 @@ _ASSIGN = "(?:" + "|".join(_any_case(w) for w in ("password", "passwd", "secret"
 _SECRETS = (
     ("assign", _ASSIGN + "[A-Za-z0-9+/_.=-]+", f"length(regexp_replace(z.m, '^{_ASSIGN.replace(chr(39), chr(39) * 2)}', '')) >= 6"),
     ("access", "AKIA[A-Z0-9]+", "length(z.m) >= 20"),
-    ("hex", "[0-9a-f]+", "length(z.m) >= 24"),
+    ("hex", "[0-9a-f]{24,}", "true"),
     ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "true"),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true"),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", "true"),
