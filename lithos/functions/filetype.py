@@ -135,7 +135,9 @@ def _refine(content: pd.Series, code: pd.Series) -> pd.DataFrame:
     out = []
     for data, kind in zip(content, code, strict=True):
         found = dict.fromkeys(REFINED.names)
-        if kind == "CL_TYPE_ZIP" and data[:4] == b"PK\x03\x04":
+        if data is None:
+            pass
+        elif kind == "CL_TYPE_ZIP" and data[:4] == b"PK\x03\x04":
             found = archive_type(data) or found
         elif kind == "CL_TYPE_MSEXE":
             state, reason = executable_state(data)
@@ -150,16 +152,14 @@ def _refine(content: pd.Series, code: pd.Series) -> pd.DataFrame:
 def refined(samples: DataFrame, content: str = "content", out: str = "file_type") -> DataFrame:
     """Adds ``out`` (name, cl_type, category, method, arch, suspect).
 
-    ``when`` would not keep other rows from the Python worker, so archives and
-    executables go there on a branch of their own.
+    ``when`` would not keep other rows from the Python worker, so it gets their
+    content as null: only archives and executables cross over.
     """
-    typed = samples.withColumn("_t", file_type(F.col(content)))
     deep = F.col("_t.cl_type").isin("CL_TYPE_ZIP", "CL_TYPE_MSEXE")
-    none = F.lit(None).cast("string")
-    plain = typed.where(~deep).withColumn(out, F.struct("_t.*", none.alias("arch"), none.alias("suspect")))
-    more = typed.where(deep).withColumn("_r", _refine(F.col(content), F.col("_t.cl_type")))
-    more = more.withColumn(out, F.struct(*[F.coalesce(f"_r.{c}", f"_t.{c}").alias(c) for c in ("name", "cl_type", "category", "method")], F.col("_r.arch"), F.col("_r.suspect")))
-    return plain.drop("_t").unionByName(more.drop("_t", "_r"))
+    typed = samples.withColumn("_t", file_type(F.col(content)))
+    typed = typed.withColumn("_r", _refine(F.when(deep, F.col(content)), F.col("_t.cl_type")))
+    kind = F.struct(*[F.coalesce(f"_r.{c}", f"_t.{c}").alias(c) for c in ("name", "cl_type", "category", "method")], F.col("_r.arch"), F.col("_r.suspect"))
+    return typed.withColumn(out, kind).drop("_t", "_r")
 
 
 def extension(filename: Column) -> Column:

@@ -606,14 +606,14 @@ def history_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.merged_history(rows.where("event_id % 3 <> 0"), rows.where("event_id % 3 = 0"), "user_id", ["event_type", "ts"], "event_id", 20)
 
 
-@query("SELECT event_id FROM events, (SELECT max(ts) AS now FROM events) WHERE epoch_us(now) - epoch_us(ts) <= 864000 * 1000000 ORDER BY ts DESC, event_id DESC LIMIT 500")
+@query("SELECT event_id FROM events, (SELECT max(ts) AS now FROM events) WHERE epoch_us(now) - epoch_us(ts) <= 864000000000 ORDER BY ts DESC, event_id DESC LIMIT 500")
 def cache_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     now = events.agg(F.max("ts")).first()[0]
     return serving.evicted_cache(events, F.lit(now), "ts", "event_id", 864000, 500).select("event_id")
 
 
-@query("SELECT event_id FROM events, (SELECT max(ts) AS now FROM events) WHERE epoch_us(now) - epoch_us(ts) <= 86400 * 1000000 ORDER BY ts DESC, event_id DESC LIMIT 100")
+@query("SELECT event_id FROM events, (SELECT max(ts) AS now FROM events) WHERE epoch_us(now) - epoch_us(ts) <= 86400000000 ORDER BY ts DESC, event_id DESC LIMIT 100")
 def task_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     now = events.agg(F.max("ts")).first()[0]
