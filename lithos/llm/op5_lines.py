@@ -25,20 +25,28 @@ DEPTH = 3
 KEYS = ["_k1", "_k2"]
 
 
-def masked(line: Column) -> Column:
-    """The line with single token separators and its variable fields generalised."""
-    plain = F.trim(F.translate(line, "\t\r\f\u000b", "    "))
+def _plain(line: Column) -> Column:
+    """The line with blanks as its only token separators; ``translate`` is slow, so it sees few lines."""
+    other = [F.contains(line, F.lit(c)) for c in "\t\r\f\u000b"]
+    return F.trim(F.when(other[0] | other[1] | other[2] | other[3], F.translate(line, "\t\r\f\u000b", "    ")).otherwise(line))
+
+
+def _generalise(plain: Column) -> Column:
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<!\S)\S*[0-9]\S*", "<*>")).otherwise(plain)
 
 
+def templates(text: Column) -> Column:
+    """The template of each line of a text: its tokens, variable fields generalised."""
+    return F.transform(F.transform(F.split(text, "\n"), _plain), _generalise)
+
+
 def token_count(template: Column) -> Column:
-    return F.when(template == "", 0).otherwise(F.length(template) - F.length(F.replace(template, F.lit(" "), F.lit(""))) + 1)
+    return F.when(template == "", 0).otherwise(F.octet_length(template) - F.octet_length(F.replace(template, F.lit(" "), F.lit(""))) + 1)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
     """(id, row key, pos, template, n, lead, t1, t2) of every line that can be dropped."""
-    rows = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col), F.posexplode(F.split(text_of(text_col), "\n")).alias("pos", "line"))
-    rows = rows.select("id", *KEYS, "pos", masked(F.col("line")).alias("template"))
+    rows = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col), F.posexplode(templates(text_of(text_col))).alias("pos", "template"))
     rows = rows.withColumn("n", token_count(F.col("template"))).where(F.col("n") >= min_tokens)
     return rows.withColumns({"lead": F.xxhash64(F.substring_index("template", " ", DEPTH)), "t1": F.xxhash64("template"), "t2": F.xxhash64(F.lit(5), "template")})
 
@@ -50,7 +58,7 @@ def _generalised(docs: DataFrame, keyed: DataFrame, similarity: float, id_col: s
     lent = keyed.join(leaves, ["n", "lead"]).groupBy("n", "lead", "t1", "t2").agg(F.min(F.struct(*KEYS, "pos")).alias("at"))
     wanted = lent.select("at.*", "n", "lead", "t1", "t2").groupBy(*KEYS).agg(F.collect_list(F.struct("pos", "n", "lead", "t1", "t2")).alias("want"))
     texts = docs.select(*row_key(id_col, text_col), text_of(text_col).alias("_text"))
-    found = texts.join(wanted.hint("shuffle_hash"), KEYS).withColumn("w", F.explode("want")).select("w.*", masked(F.element_at(F.split("_text", "\n"), F.col("w.pos") + 1)).alias("template"))
+    found = texts.join(wanted.hint("shuffle_hash"), KEYS).select("want", templates(F.col("_text")).alias("_templates")).withColumn("w", F.explode("want")).select("w.*", F.get(F.col("_templates"), F.col("w.pos")).alias("template"))
     found = cut(found.groupBy("n", "lead", "t1", "t2").agg(F.max("template").alias("template")), "templates")
     tokens = found.select("n", "lead", F.posexplode(F.split("template", " ")).alias("i", "token"))
     counts = tokens.groupBy("n", "lead", "i", "token").count()
