@@ -118,11 +118,11 @@ spots AS MATERIALIZED (
   SELECT DISTINCT doc_id, entity, lower(v.m) AS term, off + v.s AS s, off + v.e AS e FROM w
   WHERE len(list_filter(base, lambda z: z.s < off + v.e AND off + v.s < z.e)) = 0),
 df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(t), '{_WORDS}'))) AS term FROM d) GROUP BY term),
-seen AS (SELECT entity, term, count(DISTINCT doc_id) AS both FROM spots GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+seen AS (SELECT entity, term, count(DISTINCT doc_id) AS n_both FROM spots GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
 de AS (SELECT entity, count(DISTINCT doc_id) AS de FROM spots GROUP BY entity),
 rated AS (
   SELECT entity, term FROM seen JOIN de USING (entity) JOIN df USING (term), (SELECT count(*) AS n FROM d)
-  WHERE n > de AND round(log2(n::DOUBLE * both / (df::DOUBLE * de)) / log2(n::DOUBLE / de), 9) >= 0.8),
+  WHERE n > de AND round(log2(n::DOUBLE * n_both / (df::DOUBLE * de)) / log2(n::DOUBLE / de), 9) >= 0.8),
 terms AS (
   SELECT doc_id, list({{'s': s, 'e': e, 'k': 'term'}} ORDER BY s, e) AS terms
   FROM (SELECT DISTINCT doc_id, s, e FROM spots JOIN rated USING (entity, term)) GROUP BY doc_id)
