@@ -343,19 +343,36 @@ class Tree:
         return at[(100 + threshold) * np.minimum(p, q).sum(axis=1) >= threshold * (size + p.sum(axis=1))]
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two ascending arrays share a value."""
+    if not len(x) or not len(y):
+        return False
+    at = np.searchsorted(x, y)
+    return bool((x[np.minimum(at, len(x) - 1)] == y).any())
+
+
 def _left(blocks: DataFrame, roots: DataFrame, points: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of unconnected members of one block that a tree over the block lets through."""
+    """Pairs of unconnected members of one block that a tree over the block lets through.
+
+    A row carries its class's earlier blocks, so that a pair is told in the
+    first block that both are in and in no other.  They are no more than the
+    prefix of one text.
+    """
     rows = blocks.where("kind = 1").select("h", F.col("a").alias("digest")).distinct()
     rows = rows.join(roots, rows.digest == roots.node, "left").select("h", "digest", F.coalesce("root", "digest").alias("root"))
     split = rows.groupBy("h").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("h", F.ceil(F.col("m") / LEAF_ROWS).cast("int").alias("parts"))
-    rows = rows.join(split, "h").withColumn("leaf", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+    rows = cut(rows.join(split, "h"), "members")
+    points = points.join(rows.groupBy("digest").agg(F.sort_array(F.collect_list("h")).alias("all")), "digest")
+    rows = rows.withColumn("leaf", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("h", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "leaf", "digest", "root").join(points.select("digest", "points"), "digest")
+    rows = rows.select("h", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "leaf", "digest", "root").join(points, "digest")
+    rows = rows.withColumn("before", F.filter("all", lambda x: x < F.col("h"))).drop("all")
 
     def run(table: pa.Table) -> pa.Table:
         leaf, digest, root = (table[c].to_numpy() for c in ("leaf", "digest", "root"))
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         fine = [np.frombuffer(x, "<u4").astype(np.int64) for x in table["points"].to_pylist()]
+        before = [x.values.to_numpy() for x in table["before"]]
         p = np.stack([x.reshape(GROUPS, -1).sum(axis=1) for x in fine])
         inner, outer = np.flatnonzero(leaf == i), np.flatnonzero(leaf == j)
         a, b = [], []
@@ -364,7 +381,7 @@ def _left(blocks: DataFrame, roots: DataFrame, points: DataFrame, threshold: int
             for x in outer.tolist():
                 at = inner[tree.search(p[x], threshold)]
                 at = at[(root[at] != root[x]) & ((digest[at] < digest[x]) | (i != j))]
-                at = np.array([y for y in at.tolist() if (100 + threshold) * _overlap(fine[x], fine[y]) >= threshold * int(p[x].sum() + p[y].sum())], np.int64)
+                at = np.array([y for y in at.tolist() if not _common(before[x], before[y]) and (100 + threshold) * _overlap(fine[x], fine[y]) >= threshold * int(p[x].sum() + p[y].sum())], np.int64)
                 a += np.minimum(digest[at], digest[x]).tolist()
                 b += np.maximum(digest[at], digest[x]).tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
