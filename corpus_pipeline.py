@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithos.llm import op1_decontaminate, op3_mix, op5_lines, op6_jaccard, op9_quality
-from lithos.llm.common import cut, fold_of, load, row_key, shared_dir, small_batches
+from lithos.llm.common import cut, fold_of, load, row_key, shared_dir, small_batches, text_of
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +34,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id (then text hash) of each group stays; wordless ones are no group."""
+    """One row of each group stays: the least id, then text hash; wordless ones are no group.
+
+    Rows that share id and text are one key.  They are merged before the shuffle,
+    so that a key of many rows sends one row from each partition.
+    """
     small_batches(spark)
+    names = docs.columns
     groups = cut(op6_jaccard.Join(docs).components(), "components")
     first = groups.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("id", "_k1", "_k2")).alias("k")).select("k._k1", "k._k2")
-    stay = first.unionByName(groups.where("n_shingles = 0").select("_k1", "_k2")).distinct()
-    keyed = docs.select("*", *row_key())
-    return keyed.join(stay.hint("shuffle_hash"), ["_k1", "_k2"], "left_semi").select(*docs.columns)
+    worded = text_of().rlike(r"[^ \t\n\x0B\f\r]")
+    one = docs.where(worded).select("*", *row_key()).groupBy("_k1", "_k2").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("_row"))
+    stay = one.join(first.hint("shuffle_hash"), ["_k1", "_k2"], "left_semi").select("_row.*")
+    return stay.unionByName(docs.where(~worded))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,14 @@ def test_stages_against_brute_force(spark, tmp_path):
     mixed, last = of("mixing sources", clean)
     assert set(last) == set(left) and mixed.columns == [*docs.columns, "block", "slot"]
     assert near.count() < lined.count() and clean.count() < near.count()
+
+
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    body = "one and the same text of more than five words"
+    other = "a second text that has nothing in common with it"
+    rows = [(3, body, "en", "s0", len(body))] * 5 + [(None, other, "en", "s1", len(other))] * 4 + [(9, other, "de", "s1", len(other)), (3, body, "de", "s2", len(body))]
+    rows += [(None, body, "en", f"s{i}", len(body)) for i in range(3)] + [(7, " \n", "en", "s0", 2)] * 2 + [(None, None, "en", "s0", None), (8, "short", "en", "s0", 5)]
+    out = pipeline.near_duplicates(spark, frame(spark, rows), str(tmp_path))
+    assert out.columns == frame(spark, rows).columns
+    got = sorted((r.text or "", r.doc_id is None) for r in out.collect())
+    assert got == sorted([(body, True), (other, True), (" \n", False), (" \n", False), ("", True), ("short", False)])
