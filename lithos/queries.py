@@ -320,9 +320,9 @@ def tlsh_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tlsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the texts, joined: near copies of even documents."""
+    """Digests of the texts, joined: near copies among all documents."""
     t = tlsh_digest(spark, sf_dir).where("tlsh IS NOT NULL")
-    return similarity.tlsh_top(t, t.where("doc_id % 2 = 0"), "doc_id").select("doc_id", F.col("e_doc_id").alias("entry"), "distance")
+    return similarity.tlsh_top(t, t, "doc_id").select("doc_id", F.col("e_doc_id").alias("entry"), "distance")
 
 
 # --- piecewise hashes ------------------------------------------------------------------------------------
@@ -373,7 +373,7 @@ def ssdeep_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ssdeep_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _docs(spark, sf_dir).select("doc_id", "size", ctph.digest_column(F.encode("text", "UTF-8")).alias("ssdeep")).where("ssdeep IS NOT NULL")
-    return similarity.ssdeep_top(s, s.where("doc_id % 2 = 0"), "doc_id", "doc_id").select("doc_id", F.col("e_doc_id").alias("entry"), "score")
+    return similarity.ssdeep_top(s, s, "doc_id", "doc_id").select("doc_id", F.col("e_doc_id").alias("entry"), "score")
 
 
 # --- growing libraries ------------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lithos import queries
 from lithos.functions import ctph, tlsh
 from lithos.operators import packer, rules, serving, similarity, stores
 from lithos.plans import scan
@@ -190,3 +191,13 @@ def test_streams(spark, tmp_path):
     query = service.two_phase(source, lambda b: b.withColumn("p", F.lit(1)), lambda b: b.withColumn("p", F.lit(2)), str(tmp_path / "out"), str(tmp_path / "cp"))
     query.trigger(availableNow=True).start().awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out" / "phase2")).count() == len(rows)
+
+
+def test_searches_cover_the_whole_library(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    text = " ".join(f"word{x}" for x in rng.integers(0, 900, 900))
+    other = " ".join(f"else{x}" for x in rng.integers(0, 900, 900))
+    rows = [(1, text), (3, text + " and a little more"), (5, other), (6, other + " and its end")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for search in (queries.tlsh_search, queries.ssdeep_search):
+        assert {(1, 3), (3, 1), (5, 6), (6, 5)} <= {(r.doc_id, r.entry) for r in search(spark, str(tmp_path)).collect()}
