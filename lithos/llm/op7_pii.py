@@ -5,7 +5,13 @@ numbers, found by pattern.  A term near an entity discloses it when corpus
 co-occurrence tells as much: with document frequencies over the whole corpus,
 PMI(term; entity) / IC(entity) reaches 1 when the term occurs with that entity
 only.  From ``disclosure`` on a term is generalised (its first letters stay),
-from ``removal`` on it is removed; both need ``support`` documents.
+from ``removal`` on it is removed.
+
+A context proposes (entity, term) pairs; they are counted over whole documents,
+however few hold them, and a term that discloses any entity is marked wherever
+it stands, also in documents without the entity.  :func:`detect_in_contexts` is
+the narrower method that the SQL of ``op7_pii`` tells: it counts and marks in
+contexts only and needs ``support`` documents for a pair.
 
 Offsets count code points.  Defined cases: null text is empty; rows that agree
 in id and text count as one document and get the same spans; without entities
@@ -35,7 +41,10 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Words that can be terms, and how many code points around an entity are its context.
 WORD, CONTEXT = r"\p{L}{4,}", 80
 KEYS = ["_k1", "_k2"]
+#: Bits of the table of term hashes that words are sieved with.
+SIEVE_BITS = 24
 SPAN = "array<struct<start:int,end:int,value:string>>"
+TERMS = "array<struct<start:int,end:int,ratio:double,action:string>>"
 
 
 def _digits(m: Column) -> Column:
@@ -135,13 +144,71 @@ def occurrences(spans: DataFrame) -> DataFrame:
     return rows.where(~inside).select(*KEYS, F.col("a.entity").alias("entity"), F.col("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")).distinct()
 
 
+def _words(text_col: str) -> Column:
+    """The distinct words of a text, as :func:`occurrences` tells terms."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text_of(text_col), F.lit(WORD), F.lit(0)), F.lower))
+
+
 def term_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, df): documents that hold a word, over the whole corpus."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit(WORD), F.lit(0)))
     return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def disclosures(docs: DataFrame, spots: DataFrame, support: int = 3, disclosure: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sieve(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """``words`` rid of most rows that have no term of ``terms``, before they are shuffled; none with one goes."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(1 << SIEVE_BITS))
+    set_ = terms.select(bucket.alias("b")).groupBy(F.shiftright("b", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("x"))
+    every = terms.sparkSession.range(1 << SIEVE_BITS - 6).join(set_, "id", "left").select(F.struct("id", F.coalesce("x", F.lit(0).cast("long")).alias("x")).alias("s"))
+    bits = cut(every.agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["x"]).alias("_bits")), "sieve")  # one row of 2 MB
+    rows = words.withColumn("_b", bucket).crossJoin(F.broadcast(bits))
+    return rows.where(F.expr("(shiftright(_bits[cast(shiftright(_b, 6) AS int)], cast(_b & 63 AS int)) & 1) = 1")).drop("_b", "_bits")
+
+
+def disclosures(docs: DataFrame, base: DataFrame, disclosure: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(term, ratio) of the terms that disclose an entity, and (row key, term) of the rows that hold one that might.
+
+    Documents are counted whole.  The ratio cannot exceed IC(term) / IC(entity),
+    so only pairs that reach ``disclosure`` there are counted; the rest could not
+    be rated.
+    """
+    holds = cut(base.where(F.size("around") > 0).select(*KEYS, F.explode(F.array_distinct(F.transform("around", lambda a: a["entity"]))).alias("entity")), "entities")
+    whole = holds.groupBy("entity").agg(F.count("*").alias("de"))
+    total = docs.agg(F.count("*").alias("n"))
+    words = docs.select(*row_key(id_col, text_col), F.explode(_words(text_col)).alias("term"))
+    pairs = cut(occurrences(base).select("entity", "term").distinct(), "proposed")
+    df = _sieve(words.select("term"), pairs).groupBy("term").agg(F.count("*").alias("df"))
+    ic = F.log2(F.col("n") / F.col("de"))
+    rated = pairs.join(whole, "entity").join(df, "term").crossJoin(F.broadcast(total))  # one row
+    able = cut(rated.where((F.col("n") > F.col("de")) & (F.round(F.log2(F.col("n") / F.col("df")) / ic, 9) >= disclosure)), "pairs")
+    rows = cut(_sieve(words, able).join(able.select("term").distinct(), "term", "left_semi").select(*KEYS, "term"), "postings")
+    # a row that is there k times counts k times everywhere
+    seen = able.join(rows, "term").join(holds.distinct(), ["entity", *KEYS], "left_semi").groupBy("entity", "term", "n", "de", "df").agg(F.count("*").alias("both"))
+    pmi = F.log2(F.col("n") * F.col("both") / (F.col("df") * F.col("de")))
+    ratios = seen.select("term", F.least(F.round(pmi / ic, 9), F.lit(1.0)).alias("ratio")).where(F.col("ratio") >= disclosure)
+    return ratios.groupBy("term").agg(F.max("ratio").alias("ratio")), rows
+
+
+def detect(docs: DataFrame, disclosure: float = 0.8, removal: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, row key, spans of each kind, terms: start, end, ratio, action) of every row."""
+    base = cut(found(docs, id_col, text_col), "entities")
+    rated, rows = disclosures(docs, base, disclosure, id_col, text_col)
+    hits = rows.join(rated, "term").groupBy(*KEYS).agg(F.map_from_entries(F.collect_set(F.struct("term", "ratio"))).alias("_ratios"))
+    texts = docs.select(*row_key(id_col, text_col), text_of(text_col).alias("_text"))
+    marked = texts.join(hits.hint("shuffle_hash"), KEYS).dropDuplicates(KEYS)
+    words = F.filter(spans_of(F.col("_text"), WORD), lambda s: F.map_contains_key("_ratios", F.lower(s["value"])))
+
+    def term(s: Column) -> Column:
+        action = lambda r: F.when(r >= removal, F.lit("remove")).otherwise(F.lit("generalise"))
+        return _let(F.try_element_at("_ratios", F.lower(s["value"])), lambda r: F.struct(s["start"].alias("start"), s["end"].alias("end"), r.alias("ratio"), action(r).alias("action")))
+
+    marked = marked.select(*KEYS, F.transform(words, term).alias("terms"))
+    inside = lambda t: F.exists(F.concat(*KINDS), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+    out = base.drop("around").join(marked, KEYS, "left").withColumn("terms", F.coalesce("terms", F.array().cast(TERMS)))
+    return out.withColumn("terms", F.filter("terms", lambda t: ~inside(t)))
+
+
+def disclosures_in_contexts(docs: DataFrame, spots: DataFrame, support: int = 3, disclosure: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(entity, term, ratio) of the terms that disclose an entity.
 
     Counting is partial before each shuffle, and pairs are those that stand in
@@ -156,16 +223,15 @@ def disclosures(docs: DataFrame, spots: DataFrame, support: int = 3, disclosure:
     return rated.where(F.col("n") > F.col("de")).select("entity", "term", F.least(F.round(pmi / ic, 9), F.lit(1.0)).alias("ratio")).where(F.col("ratio") >= disclosure)
 
 
-def detect(docs: DataFrame, support: int = 3, disclosure: float = 0.8, removal: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row key, spans of each kind, terms: start, end, ratio, action) of every row."""
+def detect_in_contexts(docs: DataFrame, support: int = 3, disclosure: float = 0.8, removal: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As :func:`detect`, but pairs are counted and terms marked in contexts only."""
     base = found(docs, id_col, text_col)
     spots = cut(occurrences(base), "contexts")
-    rated = disclosures(docs, spots, support, disclosure, id_col, text_col)
+    rated = disclosures_in_contexts(docs, spots, support, disclosure, id_col, text_col)
     hits = spots.join(rated, ["entity", "term"]).groupBy(*KEYS, "start", "end").agg(F.max("ratio").alias("ratio"))
     action = F.when(F.col("ratio") >= removal, F.lit("remove")).otherwise(F.lit("generalise"))
     terms = hits.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("start", "end", "ratio", action.alias("action")))).alias("terms"))
-    empty = F.array().cast("array<struct<start:int,end:int,ratio:double,action:string>>")
-    return base.drop("around").join(terms, KEYS, "left").withColumn("terms", F.coalesce("terms", empty))
+    return base.drop("around").join(terms, KEYS, "left").withColumn("terms", F.coalesce("terms", F.array().cast(TERMS)))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:

@@ -88,6 +88,18 @@ def test_disclosing_terms(spark):
     assert clean[2] == "meeting with [TERM] about taxes, mail [EMAIL] now 2" and clean[10] == rows[4][1] and clean[99] is None
 
 
+def test_terms_of_rare_entities_are_marked_everywhere(spark):
+    far = "meeting about taxes and mail now with everyone " * 3
+    rows = [(1, f"contact zanzibar via a.b@x.org today {far}zanzibar"), (2, "Zanzibar plans"), (3, "call c@y.org for everyone")]
+    rows += [(10 + i, "meeting about taxes, contact plans and mail today, call everyone now via with") for i in range(40)]
+    docs = frame(spark, rows + [(None, None)])
+    got = {r.id: r for r in op7.detect(docs).collect()}
+    assert {i: [rows[i - 1][1][t.start : t.end] for t in got[i].terms] for i in (1, 2, 3)} == {1: ["zanzibar"] * 2, 2: ["Zanzibar"], 3: []}
+    assert not got[20].terms and got[2].terms[0].action == "generalise" and abs(got[2].terms[0].ratio - np.log2(44 / 2) / np.log2(44)) < 1e-8
+    clean = {r.doc_id: r.text for r in op7.sanitise(docs).collect()}
+    assert clean[1] == f"contact za... via [EMAIL] today {far}za..." and clean[2] == "Za... plans" and clean[3] == "call [EMAIL] for everyone" and clean[None] is None
+
+
 def test_lines_against_brute_force(spark):
     rng = np.random.default_rng(5)
     words = ["the", "of", "and", "x1", "user", "2024", "in", "at"]
