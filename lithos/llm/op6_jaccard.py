@@ -16,7 +16,8 @@ similarity of their sets is at least ``threshold`` percent.
    with the sets.
 5. What large blocks still leave unconnected goes through an R-tree over the
    points, bulk-loaded by sort-tile-recursive packing, whose boxes bound the
-   overlap of whole nodes; survivors are verified.  So no link is lost.
+   overlap of whole nodes; survivors are verified.  So no component is split;
+   of a large block's links those that connect it are told, not all.
 
 A count-vector tree over all documents at once prunes nothing in this many
 dimensions, hence the blocks in front of it.
@@ -390,7 +391,11 @@ def _left(blocks: DataFrame, roots: DataFrame, points: DataFrame, threshold: int
 
 
 class Join:
-    """The join's parts: ``rows`` (id, row key, n, digest), ``links`` (a, b) between classes, ``roots`` of classes."""
+    """The join's parts: ``rows`` (id, row key, n, digest), ``links`` (a, b) between classes, ``roots`` of classes.
+
+    ``links`` is a subset of all links that connects every component: in blocks of
+    more than SMALL members, pairs that are connected already are not verified.
+    """
 
     def __init__(self, docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> None:
         made = cut(members(docs, words, id_col, text_col), "members")
