@@ -1,3 +1,4 @@
+import functools
 import math
 from collections import Counter
 
@@ -83,55 +84,62 @@ def test_quality_without_labels(spark):
     assert op9.score(frame(spark, []), op9.fit(frame(spark, []), none, F.lit(True))).count() == 0
 
 
-def ctw_log10(train, data):
-    """The weighted mixture, node by node."""
-    nodes, seen = {}, Counter()
+def ctw_log10(train, data, depth, contexts=None):
+    """The weighted mixture, node by node; contexts that are not kept are one child of the longest kept one."""
+    pad = b"\xff" * depth
+    seen, total = Counter(), Counter()
     for text in train:
-        b = b"\xff\xff" + text + b"\xff"
-        for i in range(2, len(b)):
-            bits = f"{b[i]:08b}"
-            for k in range(8):
-                for d in range(3):
-                    seen[(b[i - d : i], bits[:k], bits[k])] += 1
-
-    def kt(context, path):
-        return seen[context, path, "0"], seen[context, path, "1"]
-
-    def log_pe(a, b):
-        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
-
-    def log_pw(context, path):
-        if (context, path) not in nodes:
-            own = log_pe(*kt(context, path))
-            if len(context) < 2:
-                below = sum(log_pw(bytes([c]) + context, path) for c in range(256) if sum(kt(bytes([c]) + context, path)))
-                own = np.logaddexp(own, below) - math.log(2)
-            nodes[context, path] = own
-        return nodes[context, path]
-
-    total, b = 0.0, b"\xff\xff" + data + b"\xff"
-    for i in range(2, len(b)):
-        bits = f"{b[i]:08b}"
+        b = pad + text + b"\xff"
+        for i in range(depth, len(b)):
+            for d in range(depth + 1):
+                total[b[i - d : i]] += 1
+                for k in range(8):
+                    seen[b[i - d : i], f"{b[i]:08b}"[:k], f"{b[i]:08b}"[k]] += 1
+    least = 1 if contexts is None else min((n for n in total.values() if sum(m >= n for m in total.values()) <= contexts), default=math.inf)
+    kept = {s for s, n in total.items() if n >= least} | {b""}
+    below = {s: [c for c in kept if len(c) == len(s) + 1 and c.endswith(s)] for s in kept}
+
+    def counts(s, path):
+        return np.array([seen[s, path, "0"], seen[s, path, "1"]])
+
+    def rest(s, path):
+        return counts(s, path) - sum((counts(c, path) for c in below[s]), np.zeros(2, int))
+
+    def log_pe(n):
+        return math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.lgamma(n.sum() + 1) - math.log(math.pi)
+
+    @functools.cache
+    def log_pw(s, path):
+        own = log_pe(counts(s, path))
+        return np.logaddexp(own, log_pe(rest(s, path)) + sum(log_pw(c, path) for c in below[s])) - math.log(2) if below[s] else own
+
+    def odds(s, path):
+        n = counts(s, path)
+        return (n + 0.5) / (n.sum() + 1) if n.sum() else odds(s[1:], path) if s else np.array([0.5, 0.5])
+
+    out, b = 0.0, pad + data + b"\xff"
+    for i in range(depth, len(b)):
+        chain = [b""]
+        while len(chain) <= depth and b[i - len(chain) : i] in kept:
+            chain.append(b[i - len(chain) : i])
         for k in range(8):
-            p = None
-            for d in (2, 1, 0):
-                context = b[i - d : i]
-                zero, one = kt(context, bits[:k])
-                own = ((one if bits[k] == "1" else zero) + 0.5) / (zero + one + 1)
-                if p is None:
-                    p = own
-                else:
-                    keep = math.exp(log_pe(zero, one) - log_pw(context, bits[:k]) - math.log(2))
-                    p = keep * own + (1 - keep) * p
-            total += math.log10(p)
-    return total
-
-
-def test_ctw_against_the_tree(spark):
+            path, bit = f"{b[i]:08b}"[:k], int(f"{b[i]:08b}"[k])
+            n = rest(chain[-1], path)
+            p = ((n + 0.5) / (n.sum() + 1) if n.sum() else odds(chain[-1], path))[bit]
+            for s in reversed(chain):
+                if below[s]:
+                    keep = math.exp(log_pe(counts(s, path)) - log_pw(s, path) - math.log(2))
+                    p = keep * odds(s, path)[bit] + (1 - keep) * p
+            out += math.log10(p)
+    return out
+
+
+@pytest.mark.parametrize(("depth", "contexts"), [(2, None), (5, None), (5, 9), (3, 4)])
+def test_ctw_against_the_tree(spark, depth, contexts):
     train = ["the cat sat", "the cat sat", "on the mat é", "", "zz zz"]
     others = [None, "", "the dog", "ÿ\x00", "the cat sat on the mat"]
-    docs = frame(spark, [(i, t) for i, t in enumerate(train + others)] + [(4, "zz zz"), (None, "THE cat")])
-    model = op10.fit(docs.where("doc_id < 5").distinct().select("text"), head=3)
+    docs = frame(spark, [(i, t) for i, t in enumerate(train + others)] + [(4, "zz zz"), (None, "THE cat")]).withColumn("score", F.lit("x")).withColumn("_k1", F.lit(1))
+    model = op10.fit(docs.where("doc_id < 5").distinct().select("text"), head=3, depth=depth, contexts=contexts or op10.CONTEXTS)
     got = op10.score(docs, model).collect()
     assert len(got) == len(train) + len(others) + 2
     counts = Counter()
@@ -139,9 +147,11 @@ def test_ctw_against_the_tree(spark):
         counts.update(op10.tokens(t))
     n, v = counts.total(), len(counts)
     for row in got:
-        text = "THE cat" if row.doc_id is None else (train + others)[row.doc_id]
+        text = "THE cat" if row.doc_id is None else (train + others)[row.doc_id]
         tokens = op10.tokens(text)
-        assert row.score == pytest.approx(ctw_log10([t.encode() for t in train], (text or "").encode()), rel=1e-4)
+        want = ctw_log10([t.encode() for t in train], (text or "").encode(), depth, contexts)
+        assert row.score == pytest.approx(want, rel=1e-4)
+        assert row.bits_per_byte == pytest.approx(-want * math.log2(10) / (len((text or "").encode()) + 1), rel=1e-4)
         assert row.base_score == pytest.approx(sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in tokens), rel=1e-9)
         assert (row.n_tokens, row.n_known, row.train_tokens) == (len(tokens), sum(counts[t] > 0 for t in tokens), n)
 
@@ -149,12 +159,15 @@ def test_ctw_against_the_tree(spark):
 def test_ctw_untrained_and_long(spark, monkeypatch):
     docs = frame(spark, [(1, "ab"), (2, None)])
     empty = op10.fit(frame(spark, []).select("text"))
+    assert op10.score(frame(spark, []), empty).count() == 0
     rows = {r.doc_id: r for r in op10.score(docs, empty).collect()}
     assert rows[1].score == pytest.approx(3 * math.log10(1 / 256), rel=1e-4) and rows[1].n_known == 0 and rows[2].train_tokens == 0
-    monkeypatch.setattr(op10, "FLUSH_CODES", 7)
     long = "the quick brown fox " * 20
-    parts = {r.code: r.n for r in op10._count(frame(spark, [(1, long)]).select("text")).where("code >= 0").collect()}
-    assert parts == Counter(op10.codes_of(long.encode()).tolist())
+    model = op10.fit(frame(spark, [(1, long)]).select("text"))
+    assert model.tree.scores([long, None, "x"], most=7) == pytest.approx([model.tree.score(long), model.tree.score(None), model.tree.score("x")])
+    monkeypatch.setattr(op10, "FLUSH_CODES", 7)
+    parts = {r.code: r.n for r in op10._count(frame(spark, [(1, long)]).select("text"), 5).where("code IS NOT NULL").collect()}
+    assert parts == Counter(op10.codes_of(b"\xff" * 5 + long.encode()).tolist())
 
 
 def test_schedule_stays_within_one_block():
