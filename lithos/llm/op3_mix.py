@@ -1,145 +1,157 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Each source's rows, in a fixed pseudo-random order, are cut into blocks of
-about ``block`` units.  Block j of a source with weight w is released at slot
-floor(j / w) and due at slot ceil((j + 1) / w); in every slot the released
-block with the earliest deadline is sent (ties: the earlier source).  Then
-each source is less than one block off its weight at any time.
+about ``block`` units.  With a source's exact share w of all weights, its block
+j is released at slot floor(j / w) and due at slot ceil((j + 1) / w); in every
+slot the released block with the earliest deadline is sent (ties: the earlier
+source).  So each source is less than one block off its weight at any time.
+Shares are fractions, never rounded.
 
 A source that ends leaves its weight to the others in proportion, and a new
-phase starts, until all rows are placed: none is dropped or repeated.  Weights
-are fractions of ``RESOLUTION``, so a phase repeats after that many slots; only
-one repetition is simulated, however long the phase.
+phase starts, until all rows are placed: none is dropped or repeated.  The
+schedule is made on the driver and has at most ``MOST_BLOCKS`` slots and one
+for each source: where all units together would give more, blocks are larger
+by as much.  A slot in which no row starts is filled by a row that is longer
+than a block and started in an earlier block of its source.
 
 Defined cases: null sources form one source (named null); sources without a
-target weight share the mean weight; rows that agree in id and text are placed
-next to each other in some order; an empty table gives none; sizes below one
-or null count as one unit.
+target weight share the mean weight; a weight that is not a positive finite
+number is refused; rows that agree in id and text are placed next to each other
+in some order; an empty table gives none; sizes below one or null count as one
+unit; columns named block and slot are replaced, all others stay, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_right
+import math
 from collections.abc import Mapping
-from typing import NamedTuple
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, row_key
+from .common import row_key
 
 #: Characters of a block when sizes are characters.
 BLOCK_CHARS = 1 << 16
-RESOLUTION = 2520
-#: Rows of one sorted run when rows are numbered.
-RUN_ROWS = 1024
-
-
-def shares(weights: Mapping, resolution: int = RESOLUTION) -> dict:
-    """Weights as whole parts of the resolution, one at least, by largest remainders."""
-    resolution = max(resolution, len(weights))
-    total = sum(weights.values())
-    spare = resolution - len(weights)
-    exact = {s: w / total * spare for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(weights, key=lambda s: (int(exact[s]) - exact[s], str(s)))[: resolution - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
-def schedule(parts: Mapping, slots: int | None = None) -> list:
-    """The source of each slot of one repetition: earliest deadline first among released blocks."""
-    period = sum(parts.values())
-    order = {s: i for i, s in enumerate(parts)}
-    waiting = [(0, order[s], s, 0) for s in parts]  # release, order, source, block
-    ready: list[tuple[int, int, object, int]] = []
-    heapq.heapify(waiting)
-    out = []
-    for t in range(period if slots is None else slots):
-        while waiting and waiting[0][0] <= t:
-            _, i, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // parts[s]), i, s, j))
-        _, i, s, j = heapq.heappop(ready)
-        out.append(s)
-        heapq.heappush(waiting, ((j + 1) * period // parts[s], i, s, j + 1))
-    return out
-
-
-class Phase(NamedTuple):
-    """Slots from ``start`` on: each source's period parts, slots within a period, and blocks already sent."""
-
-    start: int
-    period: int
-    at: dict
-    sent: dict
-    last: dict  # blocks of each source that this phase sends
-
-
-def phases(blocks: Mapping, weights: Mapping) -> list[Phase]:
-    """The phases that send ``blocks`` of each source; a phase ends with the first source that ends."""
-    left, sent, start, out = {s: n for s, n in blocks.items() if n}, {s: 0 for s in blocks}, 0, []
+#: Blocks that the driver schedules.
+MOST_BLOCKS = 1 << 20
+#: Rows of one sorted run when rows are numbered, and runs that are summed in one task.
+RUN_ROWS, RUNS = 1024, 10
+#: Slots in one row of the table that places blocks.
+SLOTS_ROW = 256
+
+
+def checked(weights: Mapping) -> dict:
+    """Weights as exact fractions; one that is not a positive finite number is refused."""
+    for s, w in weights.items():
+        if not (w > 0 and math.isfinite(w)):
+            raise ValueError(f"the weight of {s!r} is {w}: weights must be positive and finite")
+    return {s: Fraction(w) for s, w in weights.items()}
+
+
+def parts(weights: Mapping) -> dict:
+    """Weights as whole numbers in exactly the same proportions."""
+    exact = checked(weights)
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
+
+
+def schedule(blocks: Mapping, weights: Mapping) -> tuple[dict, list]:
+    """The slots of each source's blocks, and the first slot of each phase."""
+    share = parts(weights)
+    order = {s: i for i, s in enumerate(weights)}
+    left, at, slot, starts = {s: n for s, n in blocks.items() if n}, {s: [] for s in blocks}, 0, []
     while left:
-        parts = shares({s: weights[s] for s in left})
-        line = schedule(parts)
-        at: dict = {s: [] for s in left}
-        for t, s in enumerate(line):
-            at[s].append(t)
-        period = len(line)
-        end = min((n - 1) // parts[s] * period + at[s][(n - 1) % parts[s]] + 1 for s, n in left.items())
-        last = {s: end // period * parts[s] + bisect_right(at[s], end % period - 1) for s in left}
-        out.append(Phase(start, period, at, dict(sent), last))
-        start += end
-        for s, n in last.items():
-            sent[s] += n
-        left = {s: left[s] - last[s] for s in left if left[s] > last[s]}
-    return out
+        starts.append(slot)
+        total, t, ended = sum(share[s] for s in left), 0, False
+        ready = [(_due(0, total, share[s]), order[s], s, 0) for s in left]
+        waiting: list[tuple[int, int, object, int]] = []
+        heapq.heapify(ready)
+        while not ended:
+            while waiting and waiting[0][0] <= t:
+                _, i, s, j = heapq.heappop(waiting)
+                heapq.heappush(ready, (_due(j, total, share[s]), i, s, j))
+            _, i, s, j = heapq.heappop(ready)
+            at[s].append(slot)
+            slot, t = slot + 1, t + 1
+            left[s] -= 1
+            if left[s]:
+                heapq.heappush(waiting, ((j + 1) * total // share[s], i, s, j + 1))
+            else:
+                del left[s]
+                ended = True
+    return at, starts
+
+
+def _due(j: int, total: int, share: int) -> int:
+    """The slot by whose end block j must be sent."""
+    return -(-(j + 1) * total // share)
+
+
+def _units(size: Column) -> Column:
+    return F.greatest(F.coalesce(size.cast("long"), F.lit(1)), F.lit(1))
+
+
+def _name(source: str) -> Column:
+    return F.coalesce(F.col(source).cast("string"), F.lit("\u0000"))
 
 
 def numbered(rows: DataFrame, source: str, size: Column, id_col: str, text_col: str) -> DataFrame:
-    """Adds _source, _start (units before the row in its source) and _units.
+    """(_row: all columns, _source, _start: units before the row in its source).
 
     Rows are ordered by a hash.  Hash ranges of about RUN_ROWS rows are summed
-    first, so that a source of any share of the rows is sorted in many runs.
+    first, and ranges of 2**RUNS of those before them, so that a source of any
+    share of the rows is sorted and summed in many tasks.
     """
-    keys = row_key(id_col, text_col)
-    rows = rows.select("*", F.coalesce(F.col(source).cast("string"), F.lit("\u0000")).alias("_source"), F.greatest(F.coalesce(size.cast("long"), F.lit(1)), F.lit(1)).alias("_units"), *keys)
+    rows = rows.select(F.struct("*").alias("_row"), _name(source).alias("_source"), _units(size).alias("_units"), *row_key(id_col, text_col))
     rows = rows.withColumn("_hash", F.xxhash64(F.lit(41), "_k1", "_k2"))
     counts = rows.groupBy("_source").count().withColumn("_bits", F.ceil(F.log2(F.greatest(F.col("count") / RUN_ROWS, F.lit(1.0)))).cast("int")).select("_source", "_bits")
-    # sources are those of the mixture's weights: a few rows, so sent whole
+    # the driver holds a weight for each source, so sources are sent whole
     rows = rows.join(F.broadcast(counts), "_source").withColumn("_run", F.expr("shiftright(_hash, 64 - greatest(_bits, 1)) + (1 << greatest(_bits - 1, 0))"))
-    runs = rows.groupBy("_source", "_run").agg(F.sum("_units").alias("_sum"))
-    before = Window.partitionBy("_source").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).select("_source", "_run", "_before")
-    inside = Window.partitionBy("_source", "_run").orderBy("_hash", "_k1", "_k2").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("_inside", F.coalesce(F.sum("_units").over(inside), F.lit(0)))
-    out = out.join(runs, ["_source", "_run"]).withColumn("_start", F.col("_before") + F.col("_inside"))
-    return out.drop("_before", "_inside", "_bits", "_run", "_hash")
+    runs = rows.groupBy("_source", "_run").agg(F.sum("_units").alias("_sum")).withColumn("_top", F.shiftright("_run", RUNS))
+    tops = runs.groupBy("_source", "_top").agg(F.sum("_sum").alias("_all"))
+
+    def before(value: str, by: list[str], order: list[str]) -> Column:
+        return F.coalesce(F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    tops = tops.select("_source", "_top", before("_all", ["_source"], ["_top"]).alias("_far"))
+    runs = runs.withColumn("_near", before("_sum", ["_source", "_top"], ["_run"])).join(tops, ["_source", "_top"])
+    runs = runs.select("_source", "_run", (F.col("_far") + F.col("_near")).alias("_before"))
+    out = rows.withColumn("_inside", before("_units", ["_source", "_run"], ["_hash", "_k1", "_k2"]))
+    return out.join(runs, ["_source", "_run"]).select("_row", "_source", (F.col("_before") + F.col("_inside")).alias("_start"))
 
 
-def mix(rows: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = 1 << 16, source: str = "source", size: Column | None = None, id_col: str = "doc_id", text_col: str = "text", most_sources: int = 1000) -> DataFrame:
+def mix(rows: DataFrame, weights: Mapping[str | None, float | Fraction] | None = None, block: int = 1 << 16, source: str = "source", size: Column | None = None, id_col: str = "doc_id", text_col: str = "text", temperature: float | None = None) -> DataFrame:
     """All columns of ``rows`` and block (number in its source), slot (place in the mixture).
 
-    Without weights every source weighs the same.  ``size`` gives a row's
+    Without weights a source weighs as much as its units to the power of
+    ``temperature``, or all the same without that too.  ``size`` gives a row's
     units (default: 1, so blocks of that many rows).  A row belongs to the
     block in which it starts.
     """
     size = F.lit(1) if size is None else size
-    ranked = numbered(rows.drop("block", "slot"), source, size, id_col, text_col)
-    totals = {r[0]: r[1] for r in rows.select(F.coalesce(F.col(source).cast("string"), F.lit("\u0000")).alias("s"), F.greatest(F.coalesce(size.cast("long"), F.lit(1)), F.lit(1)).alias("u")).groupBy("s").agg(F.sum("u")).orderBy("s").limit(most_sources + 1).collect()}
-    if len(totals) > most_sources:
-        raise ValueError(f"over {most_sources} sources")
+    ranked = numbered(rows, source, size, id_col, text_col)
+    totals = {r[0]: r[1] for r in rows.select(_name(source).alias("s"), _units(size).alias("u")).groupBy("s").agg(F.sum("u")).orderBy("s").collect()}
     given = {"\u0000" if k is None else k: v for k, v in (weights or {}).items()}
-    mean = sum(given.values()) / len(given) if given else 1.0
-    plan = phases({s: -(-n // block) for s, n in totals.items()}, {s: given.get(s, mean) for s in totals})
-    spark = rows.sparkSession
-    # one row for each source and phase: where its blocks start, and its slots within a period
-    table = [(s, p.sent[s], p.sent[s] + p.last[s], p.start, p.period, at) for p in plan for s, at in p.at.items() if p.last[s]]
-    steps = spark.createDataFrame(table, "_source string, _from long, _to long, _slot0 long, _period long, _at array<int>")
-    ranked = ranked.withColumn("block", F.expr(f"_start div {int(block)}"))
-    # a source has few phases, and a block is in one of them
-    placed = ranked.join(F.broadcast(steps.groupBy("_source").agg(F.collect_list(F.struct("_from", "_to", "_slot0", "_period", "_at")).alias("_steps"))), "_source")
-    placed = placed.withColumn("_step", F.expr("filter(_steps, s -> block >= s._from and block < s._to)[0]"))
-    n = F.expr("block - _step._from")
-    placed = placed.withColumn("slot", F.expr("_step._slot0 + (block - _step._from) div size(_step._at) * _step._period + _step._at[cast((block - _step._from) % size(_step._at) as int)]"))
-    return placed.drop("_source", "_start", "_units", "_steps", "_step", "_k1", "_k2")
+    if given:
+        mean = sum(checked(given).values()) / len(given)
+        given = {s: given.get(s, mean) for s in totals}
+    else:
+        given = {s: 1 if temperature is None else float(n) ** temperature for s, n in totals.items()}
+    block = max(int(block), -(-sum(totals.values()) // MOST_BLOCKS))
+    at, _ = schedule({s: -(-n // block) for s, n in totals.items()}, given)
+    names, chunks, slots = [], [], []
+    for s, where in at.items():
+        for i in range(0, len(where), SLOTS_ROW):
+            names.append(s)
+            chunks.append(i // SLOTS_ROW)
+            slots.append(where[i : i + SLOTS_ROW])
+    table = pa.table({"_source": pa.array(names, pa.string()), "_chunk": pa.array(chunks, pa.int64()), "_slots": pa.array(slots, pa.list_(pa.int64()))})
+    placed = ranked.select("_row", "_source", F.expr(f"_start div {block}").alias("_block")).withColumn("_chunk", F.expr(f"_block div {SLOTS_ROW}"))
+    placed = placed.join(F.broadcast(rows.sparkSession.createDataFrame(table)), ["_source", "_chunk"])  # eight bytes a slot
+    kept = [F.col(f"_row.`{c}`") for c in rows.columns if c.lower() not in ("block", "slot")]
+    return placed.select(*kept, F.col("_block").alias("block"), F.get(F.col("_slots"), F.expr(f"cast(_block % {SLOTS_ROW} AS int)")).alias("slot"))

@@ -31,9 +31,9 @@ def op2_secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every source to the same share of the characters: where each document stands in the mixture."""
+    """Sources weigh the square root of their characters: where each document stands in the mixture."""
     docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
-    mixed = op3_mix.mix(docs, block=op3_mix.BLOCK_CHARS, size=F.length("text"))
+    mixed = op3_mix.mix(docs, block=op3_mix.BLOCK_CHARS, size=F.length("text"), temperature=0.5)
     return mixed.select("doc_id", "source", "block", "slot")
 
 

@@ -1,6 +1,7 @@
 import functools
 import math
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -170,42 +171,51 @@ def test_ctw_untrained_and_long(spark, monkeypatch):
     assert parts == Counter(op10.codes_of(b"\xff" * 5 + long.encode()).tolist())
 
 
+def within_one_block(blocks, weights):
+    """The schedule of ``blocks``, held against the exact targets of every phase, slot by slot."""
+    at, starts = op3.schedule(blocks, weights)
+    line = sorted((t, s) for s, where in at.items() for t in where)
+    assert [t for t, _ in line] == list(range(sum(blocks.values()))) and {s: len(w) for s, w in at.items()} == blocks
+    left, sent, total, start = {s: n for s, n in blocks.items() if n}, Counter(), None, 0
+    for t, s in line:
+        if t in starts:
+            left = {x: n - sent[x] for x, n in left.items() if n > sent[x]}
+            sent, start, total = Counter(), t, sum(Fraction(weights[x]) for x in left)
+        sent[s] += 1
+        for x in left if len(left) < 40 else [s]:
+            assert abs(sent[x] - (t + 1 - start) * Fraction(weights[x]) / total) < 1
+    return at, starts
+
+
 def test_schedule_stays_within_one_block():
     rng = np.random.default_rng(0)
     for _ in range(30):
-        weights = {f"s{i}": float(w) for i, w in enumerate(rng.random(rng.integers(1, 12)) ** 3 + 1e-3)}
-        parts = op3.shares(weights)
-        assert sum(parts.values()) == op3.RESOLUTION and min(parts.values()) >= 1
-        sent = Counter()
-        for t, s in enumerate(op3.schedule(parts), 1):
-            sent[s] += 1
-            assert all(abs(sent[x] - t * n / op3.RESOLUTION) < 1 for x, n in parts.items())
-        assert sent == parts
+        weights = {f"s{i}": float(w) for i, w in enumerate(rng.random(rng.integers(1, 12)) ** 3 + 1e-6)}
+        within_one_block({s: int(n) for s, n in zip(weights, rng.integers(0, 300, len(weights)), strict=True)}, weights)
+    within_one_block({"a": 500, "b": 2, "c": 700}, {"a": math.sqrt(2), "b": 1e-6, "c": math.pi})
+    within_one_block({"a": 90, "b": 90}, {"a": Fraction(1, 3), "b": Fraction(2, 7)})
 
 
-def test_phases_send_every_block_once():
-    rng = np.random.default_rng(1)
-    for _ in range(20):
-        blocks = {f"s{i}": int(n) for i, n in enumerate(rng.integers(0, 9000, rng.integers(1, 6)))}
-        weights = {s: float(rng.random() + 0.01) for s in blocks}
-        slots, left = [], dict(blocks)
-        for p in op3.phases(blocks, weights):
-            line = [None] * p.period
-            for s, at in p.at.items():
-                for t in at:
-                    line[t] = s
-            end = sum(p.last.values())
-            got = Counter(line[t % p.period] for t in range(end))
-            assert {s: n for s, n in p.last.items() if n} == dict(got) and p.start == len(slots)
-            slots += [line[t % p.period] for t in range(end)]
-            left = {s: n - p.last.get(s, 0) for s, n in left.items()}
-        assert Counter(slots) == {s: n for s, n in blocks.items() if n}
+def test_schedule_of_many_slots_and_many_sources():
+    at, starts = within_one_block({f"s{i}": 4600 for i in range(11)}, {f"s{i}": 1 for i in range(11)})
+    assert starts[1] >= 50_000 and all(abs(sum(t < 50_400 for t in w) - 50_400 / 11) < 1 for w in at.values())
+    within_one_block({f"s{i}": 1 + i % 3 for i in range(1200)}, {f"s{i}": 1 + (i * 7919) % 101 / 7 for i in range(1200)})
+
+
+@pytest.mark.parametrize("bad", [0, -1.0, math.nan, math.inf])
+def test_weights_that_are_refused(spark, bad):
+    with pytest.raises(ValueError, match="positive"):
+        op3.schedule({"a": 1, "b": 1}, {"a": 1.0, "b": bad})
+    with pytest.raises(ValueError, match="positive"):
+        op3.mix(frame(spark, [(1, "x", None, "a")]), {"a": bad})
 
 
 def test_mix_places_every_row(spark, monkeypatch):
     monkeypatch.setattr(op3, "RUN_ROWS", 16)
     rows = [(i, f"text {i}", None, "hot" if i % 3 else f"s{i % 7}", 5) for i in range(500)] + [(None, None, None, None, None), (7, "text 7", None, "hot", 5)]
-    docs = frame(spark, rows).withColumn("block", F.lit("x"))
+    docs = frame(spark, rows)
+    for name in ("block", "_k1", "_k2", "_units", "_source", "_hash", "_run", "_bits", "_row", "_start"):
+        docs = docs.withColumn(name, F.lit("x"))
     got = op3.mix(docs, {"hot": 2.0, "s0": 1.0}, block=10).collect()
     assert len(got) == len(rows)
     by = {}
@@ -223,3 +233,16 @@ def test_mix_places_every_row(spark, monkeypatch):
     again = op3.mix(docs.repartition(7), {"hot": 2.0, "s0": 1.0}, block=10).collect()
     assert sorted((r.doc_id or -1, r.slot) for r in got) == sorted((r.doc_id or -1, r.slot) for r in again)
     assert op3.mix(frame(spark, []), block=3).count() == 0
+    assert set(op3.mix(docs, block=10).columns) == {*docs.columns, "slot"} and {r._units for r in got} == {"x"}
+
+
+def test_mix_follows_targets_over_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(op3, "MOST_BLOCKS", 200)
+    rows = [(i, "x" * (1 + i * 37 % 90), None, f"s{i % 5 % 3}") for i in range(900)] + [(1000, "y" * 3000, None, "s0")]
+    got = op3.mix(frame(spark, rows), block=10, size=F.length("text"), temperature=0.5).collect()
+    total = Counter()
+    for _, t, _, s in rows:
+        total[s] += len(t)
+    block = -(-sum(total.values()) // 200)
+    at, starts = within_one_block({s: -(-total[s] // block) for s in sorted(total)}, {s: total[s] ** 0.5 for s in sorted(total)})
+    assert len(got) == len(rows) and all(at[r.source][r.block] == r.slot for r in got)
