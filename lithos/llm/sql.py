@@ -44,29 +44,45 @@ SELECT doc_id, len(assign)::BIGINT AS n_assign, len(access)::BIGINT AS n_access,
 FROM a
 """
 
-_OP5 = r"""
+def _round(r: int) -> str:
+    """One round of the template tree: a template for each leaf, and the rest parted."""
+    return rf"""
+modes{r} AS (SELECT leaf, i, max({{'c': c, 't': token}}).t AS token FROM (SELECT leaf, i, token, count(*) AS c FROM (SELECT leaf, unnest(range(len(w))) AS i, unnest(w) AS token FROM f{r}) GROUP BY ALL) GROUP BY leaf, i),
+mode{r} AS (SELECT leaf, list(token ORDER BY i) AS mode FROM modes{r} GROUP BY leaf),
+near{r} AS (SELECT leaf, n, template, w, len(list_filter(list_zip(w, mode), lambda z: z[1] = z[2])) >= 0.8 * n AS near FROM f{r} JOIN mode{r} USING (leaf)),
+shared{r} AS (SELECT leaf FROM near{r} WHERE near GROUP BY leaf HAVING count(*) > 1),
+taken{r} AS MATERIALIZED (SELECT leaf, n, template FROM near{r} SEMI JOIN shared{r} USING (leaf) WHERE near),
+rest{r} AS (SELECT leaf, n, template, w FROM near{r} SEMI JOIN shared{r} USING (leaf) WHERE NOT near),
+left{r} AS MATERIALIZED (SELECT leaf, n, template, w FROM near{r} ANTI JOIN shared{r} USING (leaf)),
+kinds{r} AS (SELECT leaf, i, count(DISTINCT token) AS kinds FROM (SELECT leaf, unnest(range(len(w))) AS i, unnest(w) AS token FROM left{r}) GROUP BY ALL HAVING count(DISTINCT token) > 1),
+by{r} AS (SELECT leaf, min({{'k': kinds, 'i': i}}).i AS i FROM kinds{r} GROUP BY leaf),
+next{r} AS (
+  SELECT leaf || chr(10) AS leaf, n, template, w FROM rest{r}
+  UNION ALL SELECT leaf || chr(10) || w[i + 1] AS leaf, n, template, w FROM left{r} JOIN by{r} USING (leaf)),
+f{r + 1} AS MATERIALIZED (SELECT * FROM next{r} QUALIFY count(*) OVER (PARTITION BY leaf) > 1)"""
+
+
+#: Rounds that the SQL tells; the given tables need fewer.
+ROUNDS = 8
+_OP5 = rf"""
 WITH l AS (
   SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
 k AS (
   SELECT doc_id, pos, list_transform(string_split(x, ' '), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS w
   FROM (SELECT doc_id, pos, trim(translate(line, chr(9) || chr(13) || chr(12) || chr(11), '    '), ' ') AS x FROM l) WHERE x <> ''),
-t AS (SELECT doc_id, pos, w, array_to_string(w, ' ') AS template, len(w) AS n, array_to_string(w[1:3], ' ') AS lead FROM k WHERE len(w) >= 3),
-leaves AS (SELECT n, lead FROM t GROUP BY n, lead HAVING min(template) < max(template)),
-own AS (SELECT DISTINCT n, lead, template, w FROM t SEMI JOIN leaves USING (n, lead)),
-tokens AS (SELECT n, lead, unnest(range(n)) AS i, unnest(w) AS token FROM own),
-modes AS (SELECT n, lead, i, max({'c': c, 't': token}).t AS token FROM (SELECT n, lead, i, token, count(*) AS c FROM tokens GROUP BY ALL) GROUP BY n, lead, i),
-leaf AS (SELECT n, lead, list(token ORDER BY i) AS mode FROM modes GROUP BY n, lead),
-general AS (
-  SELECT n, lead, template FROM own JOIN leaf USING (n, lead)
-  WHERE len(list_filter(list_zip(w, mode), lambda z: z[1] = z[2])) >= 0.8 * n),
-named AS (
-  SELECT doc_id, pos, t.n, CASE WHEN general.template IS NULL THEN 'own ' || t.template ELSE 'leaf ' || t.lead END AS g
-  FROM t LEFT JOIN general ON t.n = general.n AND t.lead = general.lead AND t.template = general.template),
+t AS MATERIALIZED (SELECT doc_id, pos, w, array_to_string(w, ' ') AS template, len(w) AS n, len(w) || chr(10) || array_to_string(w[1:3], ' ') AS leaf FROM k),
+leaves AS (SELECT leaf FROM t GROUP BY leaf HAVING min(template) < max(template)),
+f0 AS MATERIALIZED (SELECT DISTINCT leaf, n, template, w FROM t SEMI JOIN leaves USING (leaf)),
+{",".join(_round(r) for r in range(ROUNDS))},
+general AS ({" UNION ALL ".join(f"SELECT leaf, n, template FROM taken{r}" for r in range(ROUNDS))}),
+named AS MATERIALIZED (
+  SELECT doc_id, pos, t.n, CASE WHEN general.template IS NULL THEN 'own ' || t.template ELSE 'leaf ' || general.leaf END AS g
+  FROM t LEFT JOIN general ON t.n = general.n AND t.template = general.template),
 often AS (
-  SELECT g, n, min({'d': doc_id, 'p': pos}) AS first FROM named GROUP BY g, n
-  HAVING count(DISTINCT doc_id) >= 3 OR (count(DISTINCT doc_id) >= 2 AND n >= 50)),
-gone AS (SELECT doc_id, pos FROM named JOIN often USING (g, n) WHERE {'d': doc_id, 'p': pos} <> first),
+  SELECT g, n, min({{'d': doc_id, 'p': pos}}) AS first FROM named GROUP BY g, n
+  HAVING count(DISTINCT doc_id) >= 2 AND count(DISTINCT doc_id) * n >= 60),
+gone AS (SELECT doc_id, pos FROM named JOIN often USING (g, n) WHERE {{'d': doc_id, 'p': pos}} <> first),
 marked AS (SELECT l.doc_id, l.pos, l.line, gone.pos IS NOT NULL AS lost FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos)
 SELECT m.doc_id, CASE WHEN any_value(d.text) IS NULL THEN 0 ELSE count(*) END::BIGINT AS n_lines, sum(lost::INT)::BIGINT AS n_dropped,
        CASE WHEN any_value(d.text) IS NULL THEN NULL ELSE coalesce(string_agg(line, chr(10) ORDER BY m.pos) FILTER (WHERE NOT lost), '') END AS text

@@ -87,23 +87,41 @@ def template(line):
     return tuple("<*>" if re.search("[0-9]", w) else w for w in words.split(" ")) if words else ()
 
 
-def kept_lines(rows, min_docs=3, long_tokens=50, min_tokens=3, similarity=0.8):
+def shared_templates(own, similarity):
+    """{template: what it shares with others}; lines without company are left out."""
+    out, leaves = {}, [((), own)]
+    while leaves:
+        name, lines = leaves.pop()
+        modes = [max((n, w) for w, n in Counter(t[i] for t in lines).items())[1] for i in range(len(next(iter(lines))))]
+        near = {t for t in lines if sum(a == b for a, b in zip(t, modes)) >= similarity * len(modes)}
+        if len(near) > 1:
+            out |= dict.fromkeys(near, name)
+            parts = {0: lines - near}
+        else:
+            _, at = min((len(kinds), i) for i in range(len(modes)) if len(kinds := {t[i] for t in lines}) > 1)
+            parts = defaultdict(set)
+            for t in lines:
+                parts[t[at]].add(t)
+        leaves += [((*name, w), x) for w, x in parts.items() if len(x) > 1]
+    return out
+
+
+def kept_lines(rows, min_tokens=60, similarity=0.8):
     """{id: text} after line deduplication."""
     leaves, places = defaultdict(set), defaultdict(list)
     lines = [(i, p, template(x)) for i, t in rows for p, x in enumerate((t or "").split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= min_tokens]
+    lines = [x for x in lines if x[2]]
     for _, _, t in lines:
         leaves[len(t), t[:3]].add(t)
     group = {}
     for key, own in leaves.items():
-        modes = [max((n, w) for w, n in Counter(t[i] for t in own).items())[1] for i in range(key[0])]
-        for t in own:
-            group[t] = ("leaf", key) if len(own) > 1 and sum(a == b for a, b in zip(t, modes)) >= similarity * key[0] else t
+        shared = shared_templates(own, similarity) if len(own) > 1 else {}
+        group |= {t: ("leaf", key, shared[t]) if t in shared else t for t in own}
     for i, p, t in lines:
         places[group[t], len(t)].append((i, p))
     gone = set()
     for (_, n), where in places.items():
         docs = len({i for i, _ in where})
-        if docs >= min_docs or docs >= 2 and n >= long_tokens:
+        if docs >= 2 and docs * n >= min_tokens:
             gone |= set(where) - {min(where)}
     return {i: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone) for i, t in rows}

@@ -108,19 +108,35 @@ def test_lines_against_brute_force(spark):
     for i in range(60):
         lines = [str(rng.choice(shared)) if rng.random() < 0.4 else " ".join(rng.choice(words, rng.integers(0, 9))) for _ in range(rng.integers(1, 7))]
         rows.append((i, "\n".join(lines)))
+    rows += [(200 + i, f"take the long {x} way home from {y} now") for i, (x, y) in enumerate((x, y) for x in ("old", "new") for y in "abcdefgh")]
+    rows += [(300 + i, "yes") for i in range(70)] + [(400 + i, "no") for i in range(50)] + [(500 + i, " ".join(f"w{chr(97 + j)}" for j in range(30))) for i in range(2)]
     rows += [(100, None), (101, ""), (102, "\n\n"), (103, "one two three four\tfive"), (104, "one two three four\x0bfive"), (105, "one two three four five"), (106, "é" * 5000 + " " + "1" * 5000 + " z" * 3000)]
     got = {r.doc_id: r for r in op5.dedup(frame(spark, rows)).collect()}
     want = kept_lines(rows)
     assert {i: r.text for i, r in got.items()} == want
-    assert got[100].n_lines == 0 and got[101].n_lines == 1 and got[102].n_lines == 3 and got[103].n_dropped == 0 and got[104].n_dropped == got[105].n_dropped == 1
+    assert got[100].n_lines == 0 and got[101].n_lines == 1 and got[102].n_lines == 3 and got[103].n_dropped == got[104].n_dropped == got[105].n_dropped == 0
+    # a single word on its sixtieth document, thirty tokens on their second
+    assert [got[i].n_dropped for i in (300, 301, 369, 400, 449, 500, 501)] == [0, 1, 1, 0, 0, 0, 1]
+
+
+def test_every_family_of_a_leaf_has_a_template(spark):
+    """Two families of lines in one leaf, of different size, whose variable field has no digit; also shared equally."""
+    for many in (30, 12):
+        rows = [(i, f"job of user {chr(97 + i)}{chr(98 + i)} has started on the main host and waits for input") for i in range(many - 20 if many == 30 else 12)]
+        rows += [(100 + i, f"job of user {chr(97 + i)}{chr(98 + i)} was removed by an operator because it ran too long") for i in range(12)]
+        got = {r.doc_id: r.text for r in op5.dedup(frame(spark, rows)).collect()}
+        assert got == kept_lines(rows) and [i for i, t in got.items() if t] == [0, 100]
 
 
 def test_repeated_rows_and_clashing_columns(spark):
-    rows = [(1, "a b c d\nunique here now"), (1, "a b c d\nunique here now"), (2, "a b c d"), (3, "a b c d"), (None, "a b c d")]
-    docs = frame(spark, rows).selectExpr("*", "1 AS n_lines", "2 AS dropped", "3 AS pos", "4 AS terms", "5 AS email")
+    long = "a b c d " * 5
+    rows = [(1, f"{long}\nunique here now")] * 2 + [(2, long), (3, long), (None, long)]
+    docs = frame(spark, rows).selectExpr("*", "1 AS n_lines", "2 AS dropped", "3 AS pos", "4 AS terms", "5 AS email", "6 AS _k1", "7 AS _dropped", "8 AS _row", "9 AS `a.b`")
     out = op5.dedup(docs).collect()
-    assert sorted(((r.doc_id or 0), r.text) for r in out) == [(0, "a b c d"), (1, "unique here now"), (1, "unique here now"), (2, ""), (3, "")]
-    assert op7.sanitise(docs).count() == 5
+    assert sorted(((r.doc_id or 0), r.text) for r in out) == [(0, long), (1, "unique here now"), (1, "unique here now"), (2, ""), (3, "")]
+    assert {(r._k1, r._dropped, r._row, r["a.b"]) for r in out} == {(6, 7, 8, 9)} and sorted(r.n_dropped for r in out) == [0, 1, 1, 1, 1]
+    got = op7.sanitise(docs).collect()
+    assert len(got) == 5 and {(r._k1, r._dropped, r._row, r.n_lines) for r in got} == {(6, 7, 8, 1)}
 
 
 def test_myers_equals_the_table():
