@@ -1,21 +1,23 @@
 r"""Personal data by information-theoretic sanitisation, in DataFrame operations only.
 
 Protected entities are e-mail addresses, IP addresses, payment cards and phone
-numbers, found by pattern.  A term near an entity discloses it when corpus
-co-occurrence tells as much: with document frequencies over the whole corpus,
-PMI(term; entity) / IC(entity) reaches 1 when the term occurs with that entity
-only.  From ``disclosure`` on a term is generalised (its first letters stay),
-from ``removal`` on it is removed.
-
-A context proposes (entity, term) pairs; they are counted over whole documents,
-however few hold them, and a term that discloses any entity is marked wherever
-it stands, also in documents without the entity.  :func:`detect_in_contexts` is
-the narrower method that the SQL of ``op7_pii`` tells: it counts and marks in
-contexts only and needs ``support`` documents for a pair.
-
-Offsets count code points.  Defined cases: null text is empty; rows that agree
-in id and text count as one document and get the same spans; without entities
-nothing is a term; an empty table gives none; other columns are ignored.
+numbers, found by pattern.  A term is any word of letters.  It discloses an
+entity when corpus co-occurrence tells as much: with counts of whole documents
+over the whole corpus, PMI(term; entity) / IC(entity) reaches 1 when the term
+stands only in documents that hold the entity.  From ``disclosure`` on a term
+is generalised (its first letters stay), from ``removal`` on it is removed,
+wherever it stands, also in documents without the entity.
+
+Every (entity, term) pair of a document counts, however far apart they stand.
+Terms that stand in the same documents have the same ratios, and so do
+entities; one of each such class is counted for all, so that a document of many
+words and many entities does not give their product.
+
+Offsets count code points.  Defined cases: null text is empty; a row that is
+there k times counts k times, and each gets the same spans; an entity that
+stands in every row has no information to disclose; without entities nothing is
+a term; an empty table gives none; other columns are ignored, and kept by
+:func:`sanitise` whatever their names.
 
 The patterns use possessive repeats where no character could be given back,
 and ``\G|(?<!...)`` in front of runs that could be entered midway: the matches
@@ -38,8 +40,8 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: Words that can be terms, and how many code points around an entity are its context.
-WORD, CONTEXT = r"\p{L}{4,}", 80
+#: Words that can be terms.
+WORD = r"\p{L}+"
 KEYS = ["_k1", "_k2"]
 #: Bits of the table of term hashes that words are sieved with.
 SIEVE_BITS = 24
@@ -111,48 +113,15 @@ def entities(text: Column) -> dict[str, Column]:
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row key, one array of spans for each kind, contexts of the entities)."""
+    """(id, row key, one array of spans for each kind, words: the distinct words of a text with entities, else null)."""
     rows = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col), text_of(text_col).alias("_text"))
     rows = rows.select("*", *[c.alias(k) for k, c in entities(F.col("_text")).items()])
-
-    def of(kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-
-    kinds = [of(k) for k in KINDS]
-    around = F.transform(
-        F.concat(*kinds),
-        lambda s: F.struct(
-            F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"),
-            F.greatest(s["start"] - CONTEXT, F.lit(0)).alias("left_at"),
-            F.substring(F.col("_text"), F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))).alias("left"),
-            s["end"].alias("right_at"),
-            F.substring(F.col("_text"), s["end"] + 1, F.lit(CONTEXT)).alias("right"),
-        ),
-    )
-    return rows.select("id", *KEYS, *KINDS, around.alias("around"))
-
-
-def occurrences(spans: DataFrame) -> DataFrame:
-    """(row key, entity, term, start, end) of each word in the context of an entity."""
-    rows = spans.where(F.size("around") > 0).select(*KEYS, *KINDS, F.explode("around").alias("a"))
-    moved = lambda side, at: F.transform(spans_of(F.col(side), WORD), lambda s: F.struct((s["start"] + F.col(at)).alias("start"), (s["end"] + F.col(at)).alias("end"), F.lower(s["value"]).alias("value")))
-    # a word at the outer edge of a context may be cut off
-    left = F.filter(moved("a.left", "a.left_at"), lambda s: (s["start"] > F.col("a.left_at")) | (F.col("a.left_at") == 0))
-    right = F.filter(moved("a.right", "a.right_at"), lambda s: s["end"] < F.col("a.right_at") + CONTEXT)
-    rows = rows.withColumn("w", F.explode(F.concat(left, right)))
-    inside = F.exists(F.concat(*KINDS), lambda s: (s["start"] < F.col("w.end")) & (F.col("w.start") < s["end"]))
-    return rows.where(~inside).select(*KEYS, F.col("a.entity").alias("entity"), F.col("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")).distinct()
+    return rows.select("id", *KEYS, *KINDS, F.when(F.size(F.concat(*KINDS)) > 0, _words(F.col("_text"))).alias("words"))
 
 
-def _words(text_col: str) -> Column:
-    """The distinct words of a text, as :func:`occurrences` tells terms."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text_of(text_col), F.lit(WORD), F.lit(0)), F.lower))
-
-
-def term_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, df): documents that hold a word, over the whole corpus."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit(WORD), F.lit(0)))
-    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def _words(text: Column) -> Column:
+    """The distinct words of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
 
 def _sieve(words: DataFrame, terms: DataFrame) -> DataFrame:
@@ -165,35 +134,51 @@ def _sieve(words: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.where(F.expr("(shiftright(_bits[cast(shiftright(_b, 6) AS int)], cast(_b & 63 AS int)) & 1) = 1")).drop("_b", "_bits")
 
 
-def disclosures(docs: DataFrame, base: DataFrame, disclosure: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(term, ratio) of the terms that disclose an entity, and (row key, term) of the rows that hold one that might.
+def _classes(postings: DataFrame, name: str, *same: str) -> DataFrame:
+    """(name, as): of values that stand in the same rows (and agree in ``same``) the least stands for all."""
+    row = F.xxhash64(*KEYS)
+    told = postings.groupBy(name, *same).agg(F.count("*").alias("_c"), F.bit_xor(row).alias("_x"), F.sum(row.cast("decimal(20,0)")).alias("_s"))
+    told = cut(told, "classes")
+    least = told.groupBy("_c", "_x", "_s", *same).agg(F.min(name).alias("as"))
+    return cut(told.join(least, ["_c", "_x", "_s", *same]).select(name, "as", *same, F.col("_c").alias("rows")), "classes")
+
+
+def disclosures(docs: DataFrame, base: DataFrame, disclosure: float = 0.8, text_col: str = "text") -> DataFrame:
+    """(term, ratio) of the terms that disclose an entity.
 
-    Documents are counted whole.  The ratio cannot exceed IC(term) / IC(entity),
-    so only pairs that reach ``disclosure`` there are counted; the rest could not
-    be rated.
+    The ratio cannot exceed IC(term) / IC(entity), so only terms that reach
+    ``disclosure`` with the most frequent entity are paired; no other could.
     """
-    holds = cut(base.where(F.size("around") > 0).select(*KEYS, F.explode(F.array_distinct(F.transform("around", lambda a: a["entity"]))).alias("entity")), "entities")
-    whole = holds.groupBy("entity").agg(F.count("*").alias("de"))
+    holding = base.where(F.col("words").isNotNull())
+    named = F.concat(*[F.transform(k, lambda s, k=k: F.concat(F.lit(f"{k}:"), F.lower(s["value"]))) for k in KINDS])
+    holds = cut(holding.select(*KEYS, F.explode(F.array_distinct(named)).alias("entity")), "entities")
+    entity = _classes(holds, "entity").withColumnRenamed("rows", "de")
     total = docs.agg(F.count("*").alias("n"))
-    words = docs.select(*row_key(id_col, text_col), F.explode(_words(text_col)).alias("term"))
-    pairs = cut(occurrences(base).select("entity", "term").distinct(), "proposed")
-    df = _sieve(words.select("term"), pairs).groupBy("term").agg(F.count("*").alias("df"))
-    ic = F.log2(F.col("n") / F.col("de"))
-    rated = pairs.join(whole, "entity").join(df, "term").crossJoin(F.broadcast(total))  # one row
-    able = cut(rated.where((F.col("n") > F.col("de")) & (F.round(F.log2(F.col("n") / F.col("df")) / ic, 9) >= disclosure)), "pairs")
-    rows = cut(_sieve(words, able).join(able.select("term").distinct(), "term", "left_semi").select(*KEYS, "term"), "postings")
-    # a row that is there k times counts k times everywhere
-    seen = able.join(rows, "term").join(holds.distinct(), ["entity", *KEYS], "left_semi").groupBy("entity", "term", "n", "de", "df").agg(F.count("*").alias("both"))
+    # the most rows that an entity has, below all of them: one row
+    most = cut(entity.crossJoin(F.broadcast(total)).where("de < n").groupBy("n").agg(F.max("de").alias("most")), "most")
+    here = holding.select(*KEYS, F.explode("words").alias("term"))
+    terms = cut(here.select("term").distinct(), "terms")
+    df = _sieve(docs.select(F.explode(_words(text_of(text_col))).alias("term")), terms).groupBy("term").agg(F.count("*").alias("df"))
+    ic = lambda x: F.log2(F.col("n") / F.col(x))
+    able = df.join(terms, "term", "left_semi").crossJoin(F.broadcast(most)).where(F.round(ic("df") / ic("most"), 9) >= disclosure)
+    postings = cut(here.join(cut(able.select("term", "df", "n"), "able"), "term"), "postings")
+    term = _classes(postings, "term", "df", "n")
+    left = postings.join(term.where("term = `as`").select("term"), "term", "left_semi")
+    right = holds.join(entity.where("entity = `as`").select("entity", "de"), "entity").distinct()
+    seen = left.join(right, KEYS).where((F.col("n") > F.col("de")) & (F.round(ic("df") / ic("de"), 9) >= disclosure))
+    seen = seen.groupBy("term", "entity", "df", "de", "n").agg(F.count("*").alias("both"))
     pmi = F.log2(F.col("n") * F.col("both") / (F.col("df") * F.col("de")))
-    ratios = seen.select("term", F.least(F.round(pmi / ic, 9), F.lit(1.0)).alias("ratio")).where(F.col("ratio") >= disclosure)
-    return ratios.groupBy("term").agg(F.max("ratio").alias("ratio")), rows
+    ratios = seen.select(F.col("term").alias("as"), F.least(F.round(pmi / ic("de"), 9), F.lit(1.0)).alias("ratio")).where(F.col("ratio") >= disclosure)
+    best = cut(ratios.groupBy("as").agg(F.max("ratio").alias("ratio")), "ratios")
+    return term.join(best, "as").select("term", "ratio")
 
 
 def detect(docs: DataFrame, disclosure: float = 0.8, removal: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row key, spans of each kind, terms: start, end, ratio, action) of every row."""
     base = cut(found(docs, id_col, text_col), "entities")
-    rated, rows = disclosures(docs, base, disclosure, id_col, text_col)
-    hits = rows.join(rated, "term").groupBy(*KEYS).agg(F.map_from_entries(F.collect_set(F.struct("term", "ratio"))).alias("_ratios"))
+    rated = cut(disclosures(docs, base, disclosure, text_col), "rated")
+    words = docs.select(*row_key(id_col, text_col), F.explode(_words(text_of(text_col))).alias("term"))
+    hits = _sieve(words, rated).join(rated, "term").groupBy(*KEYS).agg(F.map_from_entries(F.collect_set(F.struct("term", "ratio"))).alias("_ratios"))
     texts = docs.select(*row_key(id_col, text_col), text_of(text_col).alias("_text"))
     marked = texts.join(hits.hint("shuffle_hash"), KEYS).dropDuplicates(KEYS)
     words = F.filter(spans_of(F.col("_text"), WORD), lambda s: F.map_contains_key("_ratios", F.lower(s["value"])))
@@ -204,36 +189,10 @@ def detect(docs: DataFrame, disclosure: float = 0.8, removal: float = 0.95, id_c
 
     marked = marked.select(*KEYS, F.transform(words, term).alias("terms"))
     inside = lambda t: F.exists(F.concat(*KINDS), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    out = base.drop("around").join(marked, KEYS, "left").withColumn("terms", F.coalesce("terms", F.array().cast(TERMS)))
+    out = base.drop("words").join(marked, KEYS, "left").withColumn("terms", F.coalesce("terms", F.array().cast(TERMS)))
     return out.withColumn("terms", F.filter("terms", lambda t: ~inside(t)))
 
 
-def disclosures_in_contexts(docs: DataFrame, spots: DataFrame, support: int = 3, disclosure: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(entity, term, ratio) of the terms that disclose an entity.
-
-    Counting is partial before each shuffle, and pairs are those that stand in
-    one context: their number follows the text.
-    """
-    seen = spots.groupBy("entity", "term", *KEYS).agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    whole = spots.select("entity", *KEYS).distinct().groupBy("entity").agg(F.count("*").alias("de"))
-    total = docs.agg(F.count("*").alias("n"))
-    rated = seen.join(whole, "entity").join(term_frequencies(docs, text_col), "term").crossJoin(F.broadcast(total))  # one row
-    ic = F.log2(F.col("n") / F.col("de"))
-    pmi = F.log2(F.col("n") * F.col("both") / (F.col("df") * F.col("de")))
-    return rated.where(F.col("n") > F.col("de")).select("entity", "term", F.least(F.round(pmi / ic, 9), F.lit(1.0)).alias("ratio")).where(F.col("ratio") >= disclosure)
-
-
-def detect_in_contexts(docs: DataFrame, support: int = 3, disclosure: float = 0.8, removal: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As :func:`detect`, but pairs are counted and terms marked in contexts only."""
-    base = found(docs, id_col, text_col)
-    spots = cut(occurrences(base), "contexts")
-    rated = disclosures_in_contexts(docs, spots, support, disclosure, id_col, text_col)
-    hits = spots.join(rated, ["entity", "term"]).groupBy(*KEYS, "start", "end").agg(F.max("ratio").alias("ratio"))
-    action = F.when(F.col("ratio") >= removal, F.lit("remove")).otherwise(F.lit("generalise"))
-    terms = hits.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("start", "end", "ratio", action.alias("action")))).alias("terms"))
-    return base.drop("around").join(terms, KEYS, "left").withColumn("terms", F.coalesce("terms", F.array().cast(TERMS)))
-
-
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
     """All columns of ``docs`` with entities named by kind and disclosing terms generalised or removed.
 
@@ -245,13 +204,14 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     # a null replacement stands for a generalised term
     terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.when(s["action"] == "remove", F.lit("[TERM]")).alias("to")))
     spans = detect(docs, id_col=id_col, text_col=text_col, **rules).select(*KEYS, F.sort_array(F.concat(*[of(k) for k in KINDS], terms)).alias("_all")).dropDuplicates(KEYS)
-    joined = docs.select("*", *row_key(id_col, text_col)).join(spans.hint("shuffle_hash"), KEYS, "left")
+    joined = docs.select(F.struct("*").alias("_row"), *row_key(id_col, text_col)).join(spans.hint("shuffle_hash"), KEYS, "left")
+    whole = F.col(f"_row.`{text_col}`")
 
     def step(acc: Column, s: Column) -> Column:
-        to = F.coalesce(s["to"], F.concat(F.substring(F.col(text_col), s["start"] + 1, F.lit(2)), F.lit("...")))
-        new = F.struct((-s["back"]).alias("at"), F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), to).alias("out"))
+        to = F.coalesce(s["to"], F.concat(F.substring(whole, s["start"] + 1, F.lit(2)), F.lit("...")))
+        new = F.struct((-s["back"]).alias("at"), F.concat(acc["out"], F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), to).alias("out"))
         return F.when(s["start"] >= acc["at"], new).otherwise(acc)
 
-    folded = F.aggregate("_all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col(text_col), a["at"] + 1, F.length(F.col(text_col)))))
-    text = F.when(F.size("_all") > 0, folded).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, text).drop(*KEYS, "_all")
+    folded = F.aggregate("_all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, F.length(whole))))
+    text = F.when(F.size("_all") > 0, folded).otherwise(whole)
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns])

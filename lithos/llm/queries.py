@@ -60,12 +60,6 @@ def _private(rows: DataFrame) -> DataFrame:
 
 
 def op7_pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As the SQL tells it: terms counted and marked in contexts, three documents a pair."""
-    return _private(op7_pii.detect_in_contexts(_documents(spark, sf_dir).select("doc_id", "text")))
-
-
-def op7_pii_whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms counted over whole documents and marked wherever they stand, which the SQL does not tell."""
     return _private(op7_pii.detect(_documents(spark, sf_dir).select("doc_id", "text")))
 
 
@@ -96,7 +90,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_lines": op5_lines_query,
         "op6_jaccard": op6_jaccard_query,
         "op7_pii": op7_pii_query,
-        "op7_pii_whole": op7_pii_whole_query,
         "op8_flac": op8_flac_query,
         "op9_quality": op9_quality_query,
         "op10_ctw": op10_ctw_query,

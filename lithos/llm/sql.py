@@ -115,33 +115,33 @@ _PII = (
     ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN.format(d=_DIGITS)}"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15"),
 )
-_WORDS = "[\\p{L}]{4,}"
+_WORDS = "\\p{L}+"
 _JOINED = "array_to_string(list_transform({0}, lambda z: z.k || ':' || z.s || ':' || z.e), ',')"
 
 _OP7 = f"""
 WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 f AS MATERIALIZED (SELECT doc_id, t, {", ".join(f"{_spans('t', p, repr(name), keep)} AS {name}" for name, p, keep in _PII)} FROM d),
 b AS MATERIALIZED (SELECT *, email || ip || card || phone AS base FROM f),
-e AS (SELECT doc_id, t, base, unnest(base) AS x FROM b),
-c AS (
-  SELECT doc_id, base, x.k || ':' || lower(x.m) AS entity, greatest(x.s - 80, 0) AS la, x.e AS ra,
-         substr(t, greatest(x.s - 80, 0) + 1, least(x.s, 80)) AS lt, substr(t, x.e + 1, 80) AS rt FROM e),
-w AS (
-  SELECT doc_id, base, entity, la AS off, unnest(list_filter({_spans("lt", _WORDS, "''")}, lambda z: z.s > 0 OR la = 0)) AS v FROM c
-  UNION ALL
-  SELECT doc_id, base, entity, ra AS off, unnest(list_filter({_spans("rt", _WORDS, "''")}, lambda z: z.e < 80)) AS v FROM c),
-spots AS MATERIALIZED (
-  SELECT DISTINCT doc_id, entity, lower(v.m) AS term, off + v.s AS s, off + v.e AS e FROM w
-  WHERE len(list_filter(base, lambda z: z.s < off + v.e AND off + v.s < z.e)) = 0),
-df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(t), '{_WORDS}'))) AS term FROM d) GROUP BY term),
-seen AS (SELECT entity, term, count(DISTINCT doc_id) AS n_both FROM spots GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
-de AS (SELECT entity, count(DISTINCT doc_id) AS de FROM spots GROUP BY entity),
-rated AS (
-  SELECT entity, term FROM seen JOIN de USING (entity) JOIN df USING (term), (SELECT count(*) AS n FROM d)
-  WHERE n > de AND round(log2(n::DOUBLE * n_both / (df::DOUBLE * de)) / log2(n::DOUBLE / de), 9) >= 0.8),
-terms AS (
-  SELECT doc_id, list({{'s': s, 'e': e, 'k': 'term'}} ORDER BY s, e) AS terms
-  FROM (SELECT DISTINCT doc_id, s, e FROM spots JOIN rated USING (entity, term)) GROUP BY doc_id)
+holds AS MATERIALIZED (SELECT DISTINCT doc_id, x.k || ':' || lower(x.m) AS entity FROM (SELECT doc_id, unnest(base) AS x FROM b)),
+words AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(t, '{_WORDS}'), lambda x: lower(x)))) AS term FROM d),
+df AS (SELECT term, count(*) AS df FROM words GROUP BY term),
+de AS (SELECT entity, count(*) AS de FROM holds GROUP BY entity),
+every AS (SELECT count(*) AS n FROM d),
+pairs AS (
+  SELECT term, entity, any_value(df) AS df, any_value(de) AS de, any_value(n) AS n, count(*) AS n_both
+  FROM words JOIN holds USING (doc_id) JOIN df USING (term) JOIN de USING (entity), every
+  WHERE n > de AND round(log2(n::DOUBLE / df) / log2(n::DOUBLE / de), 9) >= 0.8 GROUP BY term, entity),
+rated AS MATERIALIZED (SELECT DISTINCT term FROM pairs WHERE round(log2(n::DOUBLE * n_both / (df::DOUBLE * de)) / log2(n::DOUBLE / de), 9) >= 0.8),
+marked AS (SELECT * FROM d SEMI JOIN (SELECT doc_id FROM words SEMI JOIN rated USING (term)) USING (doc_id)),
+steps AS (
+  SELECT doc_id, unnest(range(len(m))) AS i, unnest(m) AS m, unnest(g[1:len(m)]) AS g
+  FROM (SELECT doc_id, regexp_extract_all(t, '{_WORDS}') AS m, string_split_regex(t, '{_WORDS}') AS g FROM marked)),
+spots AS (SELECT doc_id, m, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM steps),
+hits AS (SELECT doc_id, (e - length(m))::BIGINT AS s, e::BIGINT AS e FROM spots SEMI JOIN rated ON lower(spots.m) = rated.term),
+free AS (
+  SELECT doc_id, s, e FROM hits JOIN b USING (doc_id)
+  WHERE len(list_filter(base, lambda z: z.s < e AND s < z.e)) = 0),
+terms AS (SELECT doc_id, list({{'s': s, 'e': e, 'k': 'term'}} ORDER BY s, e) AS terms FROM free GROUP BY doc_id)
 SELECT doc_id, len(email)::BIGINT AS n_email, len(ip)::BIGINT AS n_ip, len(card)::BIGINT AS n_card, len(phone)::BIGINT AS n_phone,
        sha256(coalesce({_JOINED.format("base")}, '')) AS base_sha256,
        concat_ws(',', nullif({_JOINED.format("base")}, ''), {_JOINED.format("terms")}) AS spans

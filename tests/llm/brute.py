@@ -1,5 +1,6 @@
 """Plain versions of the operators, for small inputs."""
 
+import math
 import re
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -125,3 +126,18 @@ def kept_lines(rows, min_tokens=60, similarity=0.8):
         if docs >= 2 and docs * n >= min_tokens:
             gone |= set(where) - {min(where)}
     return {i: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone) for i, t in rows}
+
+
+def disclosing(rows, disclosure=0.8):
+    """{term: ratio}: every pair of a term and an entity, counted document by document."""
+    words = [{w.lower() for w in re.findall(r"[^\W\d_]+", t or "")} for _, t in rows]
+    held = [{f"{k}:{t[a:b].lower()}" for k, a, b in spans(t, PRIVATE, False)} for _, t in rows]
+    n, out = len(rows), {}
+    df, de = Counter(w for x in words for w in x), Counter(e for x in held for e in x)
+    both = Counter((w, e) for x, y in zip(words, held, strict=True) for w in x for e in y)
+    for (w, e), c in both.items():
+        if n > de[e]:
+            ratio = min(1.0, round(math.log2(n * c / (df[w] * de[e])) / math.log2(n / de[e]), 9))
+            if ratio >= disclosure:
+                out[w] = max(ratio, out.get(w, 0.0))
+    return out

@@ -9,7 +9,7 @@ from lithos.llm import op2_secrets as op2
 from lithos.llm import op5_lines as op5
 from lithos.llm import op7_pii as op7
 
-from .brute import PRIVATE, SECRET, edits_in, frame, kept_lines, span_digest, spans
+from .brute import PRIVATE, SECRET, disclosing, edits_in, frame, kept_lines, span_digest, spans
 
 HEX = "0123456789abcdef" * 2
 TRICKY = [
@@ -88,10 +88,32 @@ def test_disclosing_terms(spark):
     assert clean[2] == "meeting with [TERM] about taxes, mail [EMAIL] now 2" and clean[10] == rows[4][1] and clean[99] is None
 
 
+def test_disclosing_terms_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    words = [f"{a}{b}" for a in "abcdefghijklmnop" for b in ("", "ly", "ing", "é")]
+    kinds = ["x@y.org", "m@n.de", "1.2.3.4", "+49 30 1234567"]
+    rows = []
+    for i in range(150):
+        text = list(rng.choice(words, rng.integers(0, 9))) + list(rng.choice(kinds, int(rng.integers(0, 3)) if i % 4 == 0 else 0))
+        if i % 3 == 0:
+            text.append("".join(rng.choice(list("qrstuvw"), 3)))
+        rng.shuffle(text)
+        rows.append((i, " ".join(text)))
+    rows += [(500, " ".join(f"u{i}@host{i}.net" for i in range(300)) + " " + "far " * 400 + "away"), (501, None), (502, ""), (503, "one@every.where alone"), (503, "one@every.where alone")]
+    want = disclosing(rows)
+    assert len(want) > 20
+    for r in op7.detect(frame(spark, rows)).collect():
+        text = dict(rows)[r.id] or ""
+        base = [(s.start, s.end) for k in op7.KINDS for s in r[k]]
+        spots = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", text) if m[0].lower() in want]
+        assert [(t.start, t.end) for t in r.terms] == [(a, b) for a, b in spots if not any(x < b and a < y for x, y in base)]
+        assert all(abs(t.ratio - want[text[t.start : t.end].lower()]) < 1e-6 for t in r.terms)
+
+
 def test_terms_of_rare_entities_are_marked_everywhere(spark):
     far = "meeting about taxes and mail now with everyone " * 3
     rows = [(1, f"contact zanzibar via a.b@x.org today {far}zanzibar"), (2, "Zanzibar plans"), (3, "call c@y.org for everyone")]
-    rows += [(10 + i, "meeting about taxes, contact plans and mail today, call everyone now via with") for i in range(40)]
+    rows += [(10 + i, "meeting about taxes, contact plans and mail today, call everyone now via with for") for i in range(40)]
     docs = frame(spark, rows + [(None, None)])
     got = {r.id: r for r in op7.detect(docs).collect()}
     assert {i: [rows[i - 1][1][t.start : t.end] for t in got[i].terms] for i in (1, 2, 3)} == {1: ["zanzibar"] * 2, 2: ["Zanzibar"], 3: []}
