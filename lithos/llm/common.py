@@ -61,3 +61,25 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
         F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000")).alias("_k1"),
         F.xxhash64(text_of(text_col)).alias("_k2"),
     ]
+
+
+#: Bits of the table of hashes that rows are sieved with.
+SIEVE_BITS = 24
+
+
+def sieve(rows: DataFrame, wanted: DataFrame, *names: str) -> DataFrame:
+    """``rows`` rid of most that agree with no row of ``wanted`` in ``names``, before they are shuffled; none that agrees goes."""
+    bucket = F.pmod(F.xxhash64(*names), F.lit(1 << SIEVE_BITS))
+    words = wanted.select(bucket.alias("b")).groupBy(F.shiftright("b", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("x"))
+    every = wanted.sparkSession.range(1 << SIEVE_BITS - 6).join(words, "id", "left").select(F.struct("id", F.coalesce("x", F.lit(0).cast("long")).alias("x")).alias("s"))
+    bits = cut(every.agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["x"]).alias("_bits")), "sieve")  # one row of 2 MB
+    kept = rows.withColumn("_b", bucket).crossJoin(F.broadcast(bits))
+    return kept.where(F.expr("(shiftright(_bits[cast(shiftright(_b, 6) AS int)], cast(_b & 63 AS int)) & 1) = 1")).drop("_b", "_bits")
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores as set it apart from ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -2,7 +2,9 @@
 
 Every version of a file is content-addressed; a blob is scanned once for each
 rule version that the ledger has not seen, and findings are joined back to all
-paths that hold the blob.  Defined cases: null text is the empty blob; rows
+paths that hold the blob.  :func:`scan_history` does so for one version of a
+corpus after the other and keeps ledger and findings as tables of the shared
+folder.  Defined cases: null text is the empty blob; rows
 that agree in id and text are one path each and get the same findings; an
 empty table gives empty results; other columns are ignored.
 """
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import cut, sieve, text_of
 
 FINDINGS = "array<struct<rule:string,version:int,start:int,end:int>>"
 
@@ -76,9 +78,12 @@ def scan_unseen(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Da
     if ledger is not None:
         one = one.withColumn("_todo", F.explode(every)).select("blob", "_path", "_todo.rule", "_todo.version")
         one = one.join(ledger.select("blob", "rule", "version"), ["blob", "rule", "version"], "left_anti").groupBy("blob", "_path").agg(F.collect_set(F.concat_ws(":", "rule", "version")).alias("todo"))
+        one = cut(one, "unseen")
     else:
         one = one.withColumn("todo", F.transform(every, lambda r: F.concat_ws(":", r["rule"], r["version"])))
     texts = versions.select(F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000")).alias("_path"), text_of(text_col).alias("_text"), F.unhex(F.sha2(text_of(text_col), 256)).alias("blob"))
+    if ledger is not None:  # texts of blobs that were seen are not shuffled
+        texts = sieve(texts, one, "_path", "blob")
     # the keys are built into hash tables, so the texts are shuffled once and never sorted
     picked = texts.join(one.hint("shuffle_hash"), ["_path", "blob"]).select("blob", "todo", "_text")
 
@@ -106,13 +111,32 @@ def findings_rows(scanned: DataFrame) -> DataFrame:
     return scanned.select("blob", F.explode("findings").alias("f")).select("blob", "f.*").distinct()
 
 
-def by_path(versions: DataFrame, scanned: DataFrame, rules: tuple[Rule, ...] = RULES, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def by_path(versions: DataFrame, scanned: DataFrame | None, rules: tuple[Rule, ...] = RULES, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, findings) of every path: those just found and those in ``known``, in order of start."""
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(f"{r.name}:{r.version}"), F.lit(i))])
-    rows = findings_rows(scanned)
-    if known is not None:
-        rows = rows.unionByName(known.select("blob", "rule", "version", "start", "end")).distinct()
+    rows = known.select("blob", "rule", "version", "start", "end") if known is not None else None
+    if scanned is not None:
+        rows = findings_rows(scanned) if rows is None else rows.unionByName(findings_rows(scanned)).distinct()
     rows = rows.withColumn("_order", order[F.concat_ws(":", "rule", "version")]).where("_order IS NOT NULL")
     each = rows.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "_order", "rule", "version", "end"))).alias("findings"))
     joined = blobs(versions, id_col, text_col).join(each, "blob", "left")
     return joined.select(F.col(id_col), F.coalesce("findings", F.array().cast("array<struct<start:int,_order:int,rule:string,version:int,end:int>>")).alias("findings"))
+
+
+class History(NamedTuple):
+    """What the scans of the versions so far left: (blob, rule, version), their findings, and how many blobs each version had scanned."""
+
+    ledger: DataFrame
+    known: DataFrame
+    scanned: tuple[int, ...]
+
+
+def scan_history(versions: list[DataFrame], rules: tuple[Rule, ...] = RULES, before: History | None = None, id_col: str = "doc_id", text_col: str = "text") -> History:
+    """Scans each version in turn; the ledger decides which blobs of a version are read."""
+    for version in versions:
+        done = cut(scan_unseen(version, rules, before.ledger if before else None, id_col, text_col), "scanned")
+        ledger, known, counts = ledger_rows(done), findings_rows(done), (done.select("blob").distinct().count(),)
+        if before:
+            ledger, known, counts = before.ledger.unionByName(ledger), before.known.unionByName(known), before.scanned + counts
+        before = History(cut(ledger, "ledger"), cut(known, "findings"), counts)
+    return before

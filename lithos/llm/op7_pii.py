@@ -31,7 +31,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, text_of
+from .common import cut, row_key, sieve, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -43,8 +43,6 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Words that can be terms.
 WORD = r"\p{L}+"
 KEYS = ["_k1", "_k2"]
-#: Bits of the table of term hashes that words are sieved with.
-SIEVE_BITS = 24
 SPAN = "array<struct<start:int,end:int,value:string>>"
 TERMS = "array<struct<start:int,end:int,ratio:double,action:string>>"
 
@@ -124,16 +122,6 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
 
-def _sieve(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """``words`` rid of most rows that have no term of ``terms``, before they are shuffled; none with one goes."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(1 << SIEVE_BITS))
-    set_ = terms.select(bucket.alias("b")).groupBy(F.shiftright("b", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("x"))
-    every = terms.sparkSession.range(1 << SIEVE_BITS - 6).join(set_, "id", "left").select(F.struct("id", F.coalesce("x", F.lit(0).cast("long")).alias("x")).alias("s"))
-    bits = cut(every.agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["x"]).alias("_bits")), "sieve")  # one row of 2 MB
-    rows = words.withColumn("_b", bucket).crossJoin(F.broadcast(bits))
-    return rows.where(F.expr("(shiftright(_bits[cast(shiftright(_b, 6) AS int)], cast(_b & 63 AS int)) & 1) = 1")).drop("_b", "_bits")
-
-
 def _classes(postings: DataFrame, name: str, *same: str) -> DataFrame:
     """(name, as): of values that stand in the same rows (and agree in ``same``) the least stands for all."""
     row = F.xxhash64(*KEYS)
@@ -158,7 +146,7 @@ def disclosures(docs: DataFrame, base: DataFrame, disclosure: float = 0.8, text_
     most = cut(entity.crossJoin(F.broadcast(total)).where("de < n").groupBy("n").agg(F.max("de").alias("most")), "most")
     here = holding.select(*KEYS, F.explode("words").alias("term"))
     terms = cut(here.select("term").distinct(), "terms")
-    df = _sieve(docs.select(F.explode(_words(text_of(text_col))).alias("term")), terms).groupBy("term").agg(F.count("*").alias("df"))
+    df = sieve(docs.select(F.explode(_words(text_of(text_col))).alias("term")), terms, "term").groupBy("term").agg(F.count("*").alias("df"))
     ic = lambda x: F.log2(F.col("n") / F.col(x))
     able = df.join(terms, "term", "left_semi").crossJoin(F.broadcast(most)).where(F.round(ic("df") / ic("most"), 9) >= disclosure)
     postings = cut(here.join(cut(able.select("term", "df", "n"), "able"), "term"), "postings")
@@ -178,7 +166,7 @@ def detect(docs: DataFrame, disclosure: float = 0.8, removal: float = 0.95, id_c
     base = cut(found(docs, id_col, text_col), "entities")
     rated = cut(disclosures(docs, base, disclosure, text_col), "rated")
     words = docs.select(*row_key(id_col, text_col), F.explode(_words(text_of(text_col))).alias("term"))
-    hits = _sieve(words, rated).join(rated, "term").groupBy(*KEYS).agg(F.map_from_entries(F.collect_set(F.struct("term", "ratio"))).alias("_ratios"))
+    hits = sieve(words, rated, "term").join(rated, "term").groupBy(*KEYS).agg(F.map_from_entries(F.collect_set(F.struct("term", "ratio"))).alias("_ratios"))
     texts = docs.select(*row_key(id_col, text_col), text_of(text_col).alias("_text"))
     marked = texts.join(hits.hint("shuffle_hash"), KEYS).dropDuplicates(KEYS)
     words = F.filter(spans_of(F.col("_text"), WORD), lambda s: F.map_contains_key("_ratios", F.lower(s["value"])))

@@ -1,25 +1,35 @@
 """Media columns: FLAC streams as binary columns.
 
-``encode`` writes 8-bit mono streams of fixed predictors and Rice residuals;
-``decode`` reads any mono or stereo FLAC subset stream of constant, verbatim,
-fixed and linear-prediction subframes and verifies every checksum;
-``decode_many`` reads back streams of :func:`encode` many frames at a time.
+``encode`` writes 8-bit mono streams of fixed and linear predictors and Rice
+residuals; ``decode`` reads any mono or stereo FLAC subset stream of constant,
+verbatim, fixed and linear-prediction subframes and verifies every checksum;
+``decode_many`` reads back streams of :func:`encode` many frames at a time;
+``read_at`` reads some samples by the seek table.  Stored streams are read into
+PCM blocks, one for each seek point, with the offset of their first sample.
 Defined cases: null bytes give null, an empty payload an empty stream without
-frames, equal payloads equal streams.
+frames and no block, equal payloads equal streams; ids keep their type and other
+columns are ignored; null text is empty.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import fresh, text_of
 
 BLOCK = 192
+#: Frames of one PCM block: from one seek point to the next.
 SEEK_EVERY = 16
+#: Order of the linear predictors, bits of a coefficient, and bits behind its point.
+LPC, PRECISION, SHIFT = 6, 8, 6
 #: Frames handled together; bounds the memory of the bit matrices.
 CHUNK = 2048
 
@@ -78,28 +88,48 @@ def _headers(most: int) -> list[bytes]:
     return _HEADERS
 
 
-def _frames(samples: np.ndarray, numbers: np.ndarray, orders: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Frames of ``samples`` (rows of BLOCK values of -128..127): bytes and lengths."""
-    n = len(samples)
-    best_z, best, order = None, None, np.zeros(n, np.int64)
-    residual = samples.astype(np.int32)
-    for o in range(orders):
-        r = np.diff(residual, n=o, axis=1) if o else residual
+def _rice(z: np.ndarray) -> np.ndarray:
+    """The Rice parameter for each row of folded residuals."""
+    return np.clip(np.floor(np.log2(np.maximum(z.mean(axis=1) * 0.69, 1))), 0, 14).astype(np.int32)
+
+
+def _predictors(samples: np.ndarray) -> np.ndarray:
+    """Linear prediction coefficients of each row (Levinson-Durbin), in steps of 2**-SHIFT."""
+    x = samples.astype(np.float64)
+    r = np.stack([(x[:, : BLOCK - k] * x[:, k:]).sum(axis=1) for k in range(LPC + 1)], axis=1)
+    error, a = r[:, 0] * (1 + 1e-9) + 1e-3, np.zeros((len(x), LPC))
+    for i in range(LPC):
+        step = (r[:, i + 1] - (a[:, :i] * r[:, i:0:-1]).sum(axis=1)) / error
+        a[:, :i], a[:, i] = a[:, :i] - step[:, None] * a[:, :i][:, ::-1], step
+        error = np.maximum(error * (1 - step * step), 1e-3)
+    half = 1 << (PRECISION - 1)
+    return np.clip(np.rint(a * (1 << SHIFT)), -half, half - 1).astype(np.int32)
+
+
+def _frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Frames of ``samples`` (rows of BLOCK values of -128..127): bytes and lengths.
+
+    Each takes the predictor of the fewest bits: fixed ones of order 0 to 4, or a linear one.
+    """
+    n, x = len(samples), samples.astype(np.int32)
+    best_z, best, order, linear = np.zeros((n, BLOCK), np.int32), np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, bool)
+    weights = _predictors(samples)
+    told = sum(weights[:, j : j + 1] * x[:, LPC - 1 - j : BLOCK - 1 - j] for j in range(LPC)) >> SHIFT
+    for o, r, extra in [*((o, np.diff(x, n=o, axis=1) if o else x, 0) for o in range(5)), (LPC, x[:, LPC:] - told, 9 + PRECISION * LPC)]:
         z = (r << 1) ^ (r >> 31)
-        cost = z.sum(axis=1) + 64 * o
-        if o == 0:
-            best_z, best = z, cost
-        else:
-            better = cost < best
-            best_z[better, o:], order[better], best = z[better], o, np.minimum(best, cost)
+        k = _rice(z)
+        cost = (z >> k[:, None]).sum(axis=1) + (BLOCK - o) * (1 + k) + 8 * o + extra
+        better = cost < best
+        best_z[better, o:], order[better], linear[better], best[better] = z[better], o, extra > 0, cost[better]
     counted = np.arange(BLOCK) >= order[:, None]
-    mean = np.where(counted, best_z, 0).sum(axis=1) / (BLOCK - order)
-    k = np.clip(np.floor(np.log2(np.maximum(mean * 0.69, 1))), 0, 14).astype(np.int32)
+    k = np.zeros(n, np.int32)
+    for o in np.unique(order):
+        k[order == o] = _rice(best_z[order == o, o:])
     high = best_z >> k[:, None]
     length = np.where(counted, high + 1 + k[:, None], 0)
     heads = _headers(int(numbers.max()) + 1)
     head_len = np.array([len(heads[i]) for i in numbers])
-    base = 8 * (head_len + 1 + order) + 10
+    base = 8 * (head_len + 1 + order) + np.where(linear, 9 + PRECISION * LPC, 0) + 10
     ends = base[:, None] + np.cumsum(length, axis=1)
     bits_of = ends[:, -1]
     n_bytes = (bits_of + 7) // 8
@@ -111,18 +141,23 @@ def _frames(samples: np.ndarray, numbers: np.ndarray, orders: int = 3) -> tuple[
     for b in range(int(k.max())):
         on = counted & (b < k[:, None]) & ((best_z >> np.maximum(k[:, None] - 1 - b, 0)) & 1).astype(bool)
         flat[(one + 1 + b)[on]] = 1
+    for b in range(4):  # Rice method 0, one partition, parameter k
+        flat[row[:, 0] + base - 4 + b] = k >> (3 - b) & 1
+    at = np.flatnonzero(linear)
+    if len(at):  # precision, shift, coefficients
+        lead = np.array([int(c) for c in f"{PRECISION - 1:04b}{SHIFT:05b}"], np.uint8)
+        each = np.unpackbits(weights[at].astype(np.int8).view(np.uint8).reshape(len(at), LPC), axis=1)
+        both = np.concatenate([np.broadcast_to(lead, (len(at), 9)), each], axis=1)
+        flat[(row[at, 0] + 8 * (head_len[at] + 1 + LPC))[:, None] + np.arange(both.shape[1])] = both
     out = np.packbits(bits, axis=1)
     for size in np.unique(head_len):
         at = np.flatnonzero(head_len == size)
         out[at, :size] = np.frombuffer(b"".join(heads[i] for i in numbers[at]), np.uint8).reshape(-1, size)
     rows = np.arange(n)
-    out[rows, head_len] = 0x10 | order << 1  # a fixed predictor, no wasted bits
-    for o in range(1, orders):
+    out[rows, head_len] = np.where(linear, 0x20 | LPC - 1, 8 | order) << 1  # no wasted bits
+    for o in range(1, int(order.max()) + 1):
         at = np.flatnonzero(order >= o)
         out[at, head_len[at] + o] = samples[at, o - 1].astype(np.int8).view(np.uint8)
-    at = head_len + 1 + order  # Rice method 0, one partition, parameter k: 10 bits
-    out[rows, at] |= (k >> 2).astype(np.uint8)
-    out[rows, at + 1] |= ((k & 3) << 6).astype(np.uint8)
     crc = _crc_rows(out, n_bytes, 16)
     out[rows, n_bytes], out[rows, n_bytes + 1] = crc >> 8, crc & 255
     return out, n_bytes + 2
@@ -254,10 +289,13 @@ def _subframe(bits: _Bits, n: int, depth: int) -> list[int]:
     return [v << wasted for v in out]
 
 
-def frames(data: bytes) -> Iterator[tuple[int, list[list[int]]]]:
-    """(first sample, samples by channel) of each frame; both checksums are verified."""
+def frames(data: bytes, at: int | None = None, sample: int = 0) -> Iterator[tuple[int, list[list[int]]]]:
+    """(first sample, samples by channel) of each frame; both checksums are verified.
+
+    ``at`` is where a frame starts, ``sample`` its first sample.
+    """
     meta = read_meta(data)
-    at, sample = meta["first"], 0
+    at = meta["first"] if at is None else at
     while at < len(data):
         bits = _Bits(data, at)
         if bits.take(15) != 0x7FFC:
@@ -327,23 +365,41 @@ def _read_frames(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, head: n
     if not np.array_equal(crc, b[end - 2].astype(np.int32) << 8 | b[end - 1]):
         return None
     kind = b[start + head].astype(np.int64)
-    order = (kind >> 1) - 8
-    if ((kind & 1) | (order < 0) | (order > 4)).any():
+    linear = kind >= 64
+    order = np.where(linear, (kind >> 1) - 31, (kind >> 1) - 8)
+    if ((kind & 1) | (order < 0) | (~linear & (order > 4))).any():
         return None
-    at = start + head + 1 + order
-    word = b[at].astype(np.int64) << 8 | b[at + 1]
-    if (word >> 10).any():
+    wide = b.astype(np.int32)
+    window = np.concatenate([wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:], np.zeros(3, np.int32)])
+
+    def take(p: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        return window[p >> 3] >> (24 - (p & 7) - size) & ((1 << size) - 1)
+
+    p = 8 * (start + head + 1 + order)
+    most = int(order[linear].max(initial=0))
+    weights, shift = np.zeros((n, most), np.int32), np.zeros(n, np.int32)
+    if most:
+        precision = np.where(linear, take(p, 4) + 1, 0)
+        shift = np.where(linear, take(p + 4, 5), 0)
+        if (shift > 15).any() or (precision == 16).any():
+            return None  # a negative shift or the reserved precision
+        p = p + np.where(linear, 9, 0)
+        for j in range(most):
+            on = linear & (j < order)
+            v = take(p, precision)
+            weights[:, j] = np.where(on, v - (v >> np.maximum(precision - 1, 0) << precision), 0)
+            p = p + np.where(on, precision, 0)
+    if take(p, 6).any():
         return None
-    k = word >> 6 & 15
+    k = take(p + 6, 4)
     if (k == 15).any():
         return None
+    p = p + 10
     bits = np.unpackbits(b)
     before = np.cumsum(bits, dtype=np.int32)
     before -= bits
     ones = np.concatenate([np.flatnonzero(bits), np.full(8, len(bits) - 1)]).astype(np.int64)
-    wide = b.astype(np.int32)
-    window = np.concatenate([wide[:-3] << 24 >> 8 & 0xFF0000 | wide[1:-2] << 8 | wide[2:-1], np.zeros(3, np.int32)])
-    p, last = 8 * at + 10, len(bits) - 32
+    last = len(bits) - 32
     mask, drop = (1 << k) - 1, 24 - k
     z = np.zeros((BLOCK, n), np.int32)
     some = int(order.max())
@@ -360,17 +416,29 @@ def _read_frames(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, head: n
         return None
     out = ((z >> 1) ^ -(z & 1)).T.copy()
     for o in range(1, some + 1):
-        at_o = np.flatnonzero(order == o)
+        at_o = np.flatnonzero((order == o) & ~linear)
         if len(at_o):
-            warm = b[start[at_o, None] + head[at_o, None] + 1 + np.arange(o)].view(np.int8).astype(np.int32)
             part = out[at_o, o:]
+            warm = _warm(b, start, head, at_o, o)
             for level in range(o - 1, -1, -1):  # undo one difference at a time
                 lead = np.diff(warm, n=level, axis=1)[:, :1] if level else warm[:, :1]
                 part = np.cumsum(np.concatenate([lead, part], axis=1), axis=1)
             out[at_o] = part
+        at_o = np.flatnonzero((order == o) & linear)
+        if len(at_o):
+            x, w, s = out[at_o].T.copy(), weights[at_o, :o].T[::-1].copy(), shift[at_o]
+            x[:o] = _warm(b, start, head, at_o, o).T
+            for i in range(o, BLOCK):
+                x[i] += (w * x[i - o : i]).sum(axis=0) >> s
+            out[at_o] = x.T
     return out
 
 
+def _warm(b: np.ndarray, start: np.ndarray, head: np.ndarray, at: np.ndarray, o: int) -> np.ndarray:
+    """The samples that a subframe of order ``o`` starts with."""
+    return b[start[at, None] + head[at, None] + 1 + np.arange(o)].view(np.int8).astype(np.int32)
+
+
 def decode_many(streams: list[bytes]) -> list[bytes]:
     """Signed 8-bit PCM of each stream; streams not of :func:`encode` go through :func:`decode`."""
     out: list[bytes | None] = [None] * len(streams)
@@ -423,37 +491,57 @@ def decode_column(df: DataFrame, column: str = "media", out: str = "pcm") -> Dat
     return _added(df, column, out, lambda v: decode_many(v))
 
 
-def _added(df: DataFrame, column: str, out: str, of) -> DataFrame:
+def _added(df: DataFrame, column: str, out: str, of: Callable[[list], list], kind: str = "binary", arrow: pa.DataType = pa.binary()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(batch.schema.get_field_index(column)).to_pylist()
             for a, b in _groups(values):
                 some = [v for v in values[a:b] if v is not None]
                 made = iter(of(some) if some else [])
-                got = pa.array([None if v is None else next(made) for v in values[a:b]], pa.binary())
+                got = pa.array([None if v is None else next(made) for v in values[a:b]], arrow)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, got], [*batch.schema.names, out])
 
     kept = df.drop(out)
-    return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{out}` binary"]))
+    return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{out}` {kind}"]))
 
 
-def pcm_blocks(df: DataFrame, id_col: str, column: str = "media") -> DataFrame:
-    """Rows (id, sample_offset, samples, pcm) of every frame, in order; a block can be sought by its offset."""
+def read_at(data: bytes, first: int, count: int) -> bytes:
+    """PCM of ``count`` samples from ``first`` on: frames before its seek point are not read."""
+    meta = read_meta(data)
+    wide = (meta["bits"] + 7) // 8
+    sample, offset, _ = max((p for p in meta["seek"] if p[0] <= first), default=(0, 0, 0))
+    out = []
+    for at, block in frames(data, meta["first"] + offset, sample):
+        if at >= first + count:
+            break
+        rows = list(zip(*block, strict=True))[max(0, first - at) : first + count - at]
+        out += [v.to_bytes(wide, "little", signed=True) for row in rows for v in row]
+    return b"".join(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["media"] is None:
-                    continue
-                meta, pcm = read_meta(row["media"]), decode_many([row["media"]])[0]
-                step = meta["block"][1] * meta["channels"] * ((meta["bits"] + 7) // 8)
-                cuts = range(0, len(pcm), step) if step else []
-                yield pa.RecordBatch.from_pylist(
-                    [{"id": row["id"], "sample_offset": i // step * meta["block"][1], "samples": len(pcm[i : i + step]) * meta["block"][1] // step, "pcm": pcm[i : i + step]} for i in cuts],
-                    pa.schema([("id", pa.int64()), ("sample_offset", pa.int64()), ("samples", pa.int64()), ("pcm", pa.binary())]),
-                )
 
-    return df.selectExpr(f"cast(`{id_col}` as bigint) AS id", f"`{column}` AS media").mapInArrow(run, "id bigint, sample_offset bigint, samples bigint, pcm binary").withColumnRenamed("id", id_col)
+BLOCKS = "array<struct<sample_offset:bigint,samples:int,pcm:binary>>"
+
+
+def _blocks(data: bytes, pcm: bytes) -> list[dict]:
+    """The PCM from each seek point to the next; a stream without a seek table is one block."""
+    if not pcm:
+        return []
+    meta = read_meta(data)
+    width = meta["channels"] * ((meta["bits"] + 7) // 8)
+    starts = sorted({p[0] for p in meta["seek"]} | {0})
+    return [{"sample_offset": a, "samples": (b or len(pcm) // width) - a, "pcm": pcm[a * width : b and b * width]} for a, b in zip(starts, [*starts[1:], None], strict=True)]
+
+
+def blocks_column(df: DataFrame, column: str = "media", out: str = "blocks") -> DataFrame:
+    """Adds ``out``: the PCM blocks of the stream in ``column``, read from its stored bytes; null stays null."""
+    kind = pa.list_(pa.struct([("sample_offset", pa.int64()), ("samples", pa.int32()), ("pcm", pa.binary())]))
+    return _added(df, column, out, lambda v: [_blocks(d, p) for d, p in zip(v, decode_many(v), strict=True)], BLOCKS, kind)
+
+
+def pcm_blocks(df: DataFrame, id_col: str, column: str = "media") -> DataFrame:
+    """Rows (id, sample_offset, samples, pcm): a block can be sought by its offset."""
+    rows = blocks_column(df.select(F.col(id_col), F.col(column).alias(fresh("media", [id_col]))), fresh("media", [id_col]), fresh("blocks", [id_col]))
+    return rows.select(F.col(id_col), F.explode(fresh("blocks", [id_col])).alias("b")).select(F.col(id_col), "b.*")
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -463,10 +551,9 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores each text as a stream and reads it back: (id, n_bytes, media, pcm).
-
-    Every row gives one; null text counts as empty.  pcm is what the stored bytes decode to.
-    """
+    """(id, n_bytes, media): each text stored as a stream; every row gives one, null text counts as empty."""
+    names = [id_col, "n_bytes", "media"]
+    source = df.select(F.col(id_col), text_of(text_col).alias(fresh("text", [id_col])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -474,34 +561,34 @@ def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             made = [payload_of(t) for t in texts.to_pylist()]
             for a, b in _groups([p for _, p in made]):
                 media = encode_many([p for _, p in made[a:b]])
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([n for n, _ in made[a:b]], pa.int64()), pa.array(media, pa.binary()), pa.array(decode_many(media), pa.binary())], ["id", "n_bytes", "media", "pcm"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([n for n, _ in made[a:b]], pa.int64()), pa.array(media, pa.binary())], names)
 
-    return df.selectExpr(f"cast(`{id_col}` as bigint) AS id", f"cast(`{text_col}` as string) AS text").mapInArrow(run, "id bigint, n_bytes bigint, media binary, pcm binary").withColumnRenamed("id", id_col)
+    return source.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_bytes bigint, media binary")
 
 
 def media_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per text of what its stream holds: sizes, digests, features of the samples.
+    """One row per text of what its stored stream holds: sizes, digests, features of the samples.
 
-    Same steps as :func:`text_media`, digested in the worker so that no stream crosses to the JVM.
+    What is told of the samples comes from the PCM blocks that the stored column is read into.
     """
-    import zlib
+    rows = blocks_column(text_media(df, id_col, text_col))
+    kinds = [("payload_bytes", "bigint", pa.int64()), ("payload_sha256", "string", pa.string()), ("tail_crc32", "bigint", pa.int64()), ("feature", "string", pa.string())]
+    kept = [id_col, "n_bytes", "media_bytes", "media_sha256"]
+    rows = rows.select(id_col, "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.columns
-            made = [payload_of(t) for t in texts.to_pylist()]
-            for a, b in _groups([p for _, p in made]):
-                media = encode_many([p for _, p in made[a:b]])
-                rows = []
-                for (n, _), stored, pcm in zip(made[a:b], media, decode_many(media), strict=True):
-                    signed = np.frombuffer(pcm, np.int8)
-                    back = (signed.view(np.uint8) ^ 0x80).tobytes()
-                    wide = signed.astype(np.int32)
-                    turns = int(np.count_nonzero((signed[1:] < 0) != (signed[:-1] < 0)))
-                    feature = f"frames={len(pcm) // BLOCK};min={wide.min()};max={wide.max()};sum={wide.sum()};energy={int((wide * wide).sum(dtype=np.int64))};turns={turns}"
-                    rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return df.selectExpr(f"cast(`{id_col}` as bigint) AS id", f"cast(`{text_col}` as string) AS text").mapInArrow(run, "id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string").withColumnRenamed("id", id_col)
+            out = []
+            for blocks in batch.column(4):
+                signed = np.frombuffer(b"".join(x.as_py() for x in blocks.values.field("pcm")), np.int8)
+                back = (signed.view(np.uint8) ^ 0x80).tobytes()
+                wide = signed.astype(np.int32)
+                turns = int(np.count_nonzero((signed[1:] < 0) != (signed[:-1] < 0)))
+                feature = f"frames={len(signed) // BLOCK};min={wide.min()};max={wide.max()};sum={wide.sum()};energy={int((wide * wide).sum(dtype=np.int64))};turns={turns}"
+                out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), feature))
+            cols = list(zip(*out, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(c, t) for c, (_, _, t) in zip(cols, kinds, strict=True))], [*kept, *(n for n, _, _ in kinds)])
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    found = rows.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in kept), *(f"{n} {t}" for n, t, _ in kinds)]))
+    return found.select(id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -22,8 +22,10 @@ def op1_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of the corpus: half of the rows, then all of them; the ledger tells the second what is new."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    rows = op2_secrets.by_path(docs, op2_secrets.scan_unseen(docs))
+    history = op2_secrets.scan_history([docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), docs])
+    rows = op2_secrets.by_path(docs, None, known=history.known)
     base = [r.name for r in op2_secrets.BASE]
     of = lambda *kinds: F.filter("findings", lambda f: f["rule"].isin(*kinds))
     named = lambda spans: F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["rule"], f["start"], f["end"])), ",")

@@ -1,11 +1,14 @@
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from lithos.llm import op6_jaccard as op6
 from lithos.llm import op8_flac as op8
 
@@ -121,21 +124,63 @@ def test_any_subframe_decodes():
     assert op8.decode(stream) == pcm == op8.decode_many([stream])[0]
 
 
-def test_columns(spark):
-    texts = [None, "", "a", "é" * 100, "x" * 60_000, "a"]
-    docs = frame(spark, list(enumerate(texts)) + [(None, "b")]).selectExpr("*", "1 AS media")
+PROSE = "Some quiet words about the sea, and of what it leaves on the sand each evening. " * 40
+
+
+def test_linear_frames_are_written_and_decoded(monkeypatch):
+    """Frames of linear prediction, of noise and of ramps: the fast reader and the bit-by-bit one agree with the payload."""
+    ramp = bytes((i * 3) % 256 for i in range(op8.BLOCK * 5))
+    payloads = [op8.payload_of(PROSE)[1], ramp, bytes(op8.BLOCK), bytes([255] * op8.BLOCK), np.random.default_rng(3).integers(0, 256, op8.BLOCK * 40, dtype=np.uint8).tobytes()]
+    streams = op8.encode_many(payloads)
+    kinds = Counter()
+    for stream in streams:
+        for i, at in enumerate(op8._starts(np.frombuffer(stream, np.uint8), op8.read_meta(stream)["first"])):
+            kinds[stream[at + len(op8._headers(i + 1)[i])] >> 1] += 1
+    assert kinds[31 + op8.LPC] > 10 and sum(n for k, n in kinds.items() if 8 <= k <= 12) > 5
+    slow = [op8.decode(s) for s in streams]
+    monkeypatch.setattr(op8, "decode", None)  # the fast reader needs no help
+    assert op8.decode_many(streams) == slow and [bytes(x ^ 128 for x in p) for p in slow] == payloads
+
+
+def test_seek_point_reads_only_what_follows():
+    stream = op8.encode(op8.payload_of(PROSE)[1])
+    pcm, meta = op8.decode(stream), op8.read_meta(stream)
+    assert [p[0] for p in meta["seek"]] == list(range(0, len(pcm), op8.BLOCK * op8.SEEK_EVERY)) and len(meta["seek"]) > 1
+    broken = bytearray(stream)
+    broken[meta["first"] + 9] ^= 0xFF  # a frame before the seek point
+    at = op8.BLOCK * op8.SEEK_EVERY + 5
+    assert op8.read_at(bytes(broken), at, 300) == pcm[at : at + 300] and op8.read_at(stream, 0, 10**9) == pcm
+    with pytest.raises(op8.FlacError):
+        op8.read_at(bytes(broken), 0, 10)
+
+
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_columns(spark, text_ids):
+    texts = [None, "", "a", "é" * 100, "x" * 60_000, "a", PROSE]
+    docs = frame(spark, list(enumerate(texts)) + [(None, "b")]).selectExpr("*", "1 AS media", "2 AS blocks", "3 AS n_bytes")
+    if text_ids:
+        docs = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    key = (lambda i: f"d{i}") if text_ids else (lambda i: i)
+    stored = op8.text_media(docs).collect()
+    media = {r.doc_id: r.media for r in stored}
+    assert len(stored) == 8 and media[key(0)] == media[key(1)] and media[key(2)] == media[key(5)]
+    by = {key(i): t for i, t in enumerate(texts)} | {None: "b"}
     for row in op8.media_digests(docs).collect():
-        n, payload = op8.payload_of("b" if row.doc_id is None else texts[row.doc_id])
+        n, payload = op8.payload_of(by[row.doc_id])
         assert (row.n_bytes, row.payload_bytes, row.payload_sha256, row.tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-    stored = op8.text_media(docs)
-    rows = {r.doc_id: r for r in stored.collect()}
-    assert rows[0].media == rows[1].media and rows[2].media == rows[5].media
-    assert op8.decode_column(stored.drop("pcm")).where("pcm is null").count() == 0
-    blocks = op8.pcm_blocks(stored.where("doc_id = 4"), "doc_id").orderBy("sample_offset").collect()
-    assert b"".join(b.pcm for b in blocks) == rows[4].pcm and [b.sample_offset for b in blocks] == list(range(0, len(rows[4].pcm), 192))
-    binary = docs.selectExpr("doc_id", "unhex(if(doc_id = 0, null, repeat('41', 192))) AS payload")
+        form, signed = op8.encode(payload), [b - 128 for b in payload]
+        turns = sum((a < 0) != (b < 0) for a, b in zip(signed, signed[1:]))
+        assert (row.media_bytes, row.media_sha256) == (len(form), hashlib.sha256(form).hexdigest())
+        assert row.feature == f"frames={len(payload) // 192};min={min(signed)};max={max(signed)};sum={sum(signed)};energy={sum(v * v for v in signed)};turns={turns}"
+    table = op8.text_media(docs)
+    blocks = op8.pcm_blocks(table, "doc_id").where(F.col("doc_id") == key(4)).orderBy("sample_offset").collect()
+    pcm = op8.decode(media[key(4)])
+    step = op8.BLOCK * op8.SEEK_EVERY
+    assert b"".join(b.pcm for b in blocks) == pcm and [b.sample_offset for b in blocks] == list(range(0, len(pcm), step)) and all(b.samples == len(b.pcm) for b in blocks)
+    binary = docs.selectExpr("doc_id", f"unhex(if(doc_id = '{key(0)}', null, repeat('41', 192))) AS payload")
     back = op8.decode_column(op8.encode_column(binary, "payload")).collect()
     assert all((r.pcm is None) == (r.payload is None) for r in back)
+    assert op8.pcm_blocks(op8.encode_column(docs.selectExpr("doc_id", "unhex('') AS payload"), "payload"), "doc_id").count() == 0
     assert op8.media_digests(frame(spark, [])).count() == 0
 
 

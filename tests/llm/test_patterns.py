@@ -4,6 +4,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from lithos.llm import op1_decontaminate as op1
 from lithos.llm import op2_secrets as op2
 from lithos.llm import op5_lines as op5
@@ -53,8 +55,26 @@ def test_ledger_scans_only_what_is_new(spark):
     assert paths == {1: [("assign", 2)], 2: [("assign", 2)], 3: [], 4: [("hex", 1)], 5: [("hex", 1)], 6: [("assign", 2)]}
 
 
+def test_history_reads_each_blob_once(spark):
+    """Rows of all versions get their findings; of a later version only blobs that no earlier one had are read."""
+    rows = [(i, TRICKY[i % len(TRICKY)]) for i in range(60)] + [(None, None), (70, "same"), (70, "same")]
+    docs = frame(spark, rows).withColumn("_path", F.lit(1)).withColumn("blob", F.lit(2))
+    history = op2.scan_history([docs.where("doc_id < 9"), docs, docs])
+    early, every = {t or "" for i, t in rows if i is not None and i < 9}, {t or "" for _, t in rows}
+    assert history.scanned == (len(early), len(every - early), 0)
+    assert history.ledger.count() == len(every) * len(op2.RULES)
+    got = op2.by_path(docs, None, known=history.known).collect()
+    assert len(got) == len(rows)
+    texts = dict(rows)
+    for r in got:
+        assert [(f.rule, f.start, f.end) for f in r.findings if f.rule in SECRET] == spans(texts[r.doc_id], SECRET, True)
+    again = op2.scan_history([frame(spark, [(1, "new " + HEX)])], before=history)
+    assert again.scanned == (*history.scanned, 1)
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
+    assert op2.scan_history([none, none]).scanned == (0, 0)
     assert op2.by_path(none, op2.scan_unseen(none)).count() == 0
     assert op7.detect(none).count() == 0 and op7.sanitise(none).count() == 0
     assert op5.dedup(none).count() == 0
