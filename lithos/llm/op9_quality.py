@@ -1,19 +1,24 @@
 """Document quality by attention-based multiple-instance learning.
 
 A document is a bag of passages of up to ``WORDS`` words.  Every passage is
-encoded; gated attention, learned from document labels only, weighs the
-passages, and the weighted passage representation is scored.
-
-The network is fitted on a bounded sample of labelled documents (parameter
-``sample``); scoring reads every passage of every whole text.  Defined cases:
-a null or empty text is one passage without words and gets its score; a
-document with several labels counts by their mean; without labels of both
-kinds every score is the share of good labels (0.5 without labels); repeated
-rows are scored alike; other columns are ignored.
+encoded from its words and its runs of three bytes, hashed with signs into
+``WORD_SLOTS`` and ``GRAM_SLOTS`` sums, and from shares of byte classes; gated
+attention, learned from document labels only, weighs the passages, and the
+weighted passage representation is scored.
+
+The network is fitted on a bounded sample of labelled documents (parameters
+``sample``: rows, ``most_passages``: passages of all of them together), each
+with its whole text; scoring reads every passage of every whole text, some
+passages at a time.  Defined cases: a null or empty text is one passage without
+words and gets its score; a document with several labels counts by their mean,
+one whose id has several texts by the greatest; without labels of both kinds
+every score is the share of good labels (0.5 without labels); repeated rows are
+scored alike; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from operator import eq
 from typing import NamedTuple
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import cut, fresh, text_of
 
 WORDS = 64
 _MARKS = ".,;:!?|*#$%&@/<>=_-'\"()[]{}"
@@ -42,28 +47,59 @@ def _class_table() -> np.ndarray:
 
 
 _CLASS_OF = _class_table()
-FEATURES = _CLASSES + 5
+WORD_SLOTS, GRAM_SLOTS = 128, 128
+FEATURES = _CLASSES + 5 + WORD_SLOTS + GRAM_SLOTS
+#: Passages that are encoded together; bounds the memory for a long text.
+TOGETHER = 2048
 
 
-def passages(text: str | None) -> np.ndarray:
-    """A row of features for each passage of the text; one row at least."""
+class _Slots(dict):
+    """The hash of each lower-cased word: a slot and a sign."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        out = self[word] = zlib.crc32(word.lower().encode()) % (2 * WORD_SLOTS)
+        return out
+
+
+def passages(text: str | None) -> list[list[str]]:
+    """The words of each passage of the text; one passage at least."""
     words = (text or "").split()
-    chunks = [words[i : i + WORDS] for i in range(0, len(words), WORDS)] or [[]]
+    return [words[i : i + WORDS] for i in range(0, len(words), WORDS)] or [[]]
+
+
+def _signed(row: np.ndarray, hashed: np.ndarray, n: int, slots: int) -> np.ndarray:
+    """Sums of signs at each row's slots; a hash is twice the slot and the sign."""
+    return np.bincount(row * slots + (hashed >> 1), 1.0 - 2.0 * (hashed & 1), n * slots).reshape(n, slots)
+
+
+def features(chunks: list[list[str]], of: list[int], slots: _Slots | None = None) -> np.ndarray:
+    """A row for each passage; ``of`` has the number of passages of its text."""
+    slots, n = _Slots() if slots is None else slots, len(chunks)
     joined = [" ".join(c).encode() for c in chunks]
-    sizes = np.array([len(j) for j in joined])
-    codes = _CLASS_OF[np.frombuffer(b"".join(joined), np.uint8)]
-    n = len(chunks)
-    kinds = np.bincount(np.repeat(np.arange(n) * _CLASSES, sizes) + codes, minlength=n * _CLASSES).reshape(n, _CLASSES)
-    out = np.empty((n, FEATURES))
+    sizes, counts = np.array([len(j) for j in joined]), np.array([len(c) for c in chunks])
+    data = np.frombuffer(b"".join(joined), np.uint8)
+    row = np.repeat(np.arange(n), sizes)
+    kinds = np.bincount(row * _CLASSES + _CLASS_OF[data], minlength=n * _CLASSES).reshape(n, _CLASSES)
+    out = np.empty((n, FEATURES), np.float32)
     out[:, :_CLASSES] = np.sqrt(kinds / np.maximum(1, sizes)[:, None])
     for i, c in enumerate(chunks):
-        out[i, _CLASSES:] = (
+        out[i, _CLASSES : _CLASSES + 5] = (
             len(set(c)) / len(c) if c else 1.0,
             sum(map(eq, c, c[1:])) / len(c) if c else 0.0,
             np.log1p(sizes[i] / len(c)) if c else 0.0,
             np.log1p(len(c)),
-            np.log1p(n),
+            np.log1p(of[i]),
         )
+    hashed = np.fromiter((slots[w] for c in chunks for w in c), np.int64, int(counts.sum()))
+    at = _CLASSES + 5
+    out[:, at : at + WORD_SLOTS] = _signed(np.repeat(np.arange(n), counts), hashed, n, WORD_SLOTS) / np.sqrt(np.maximum(1, counts))[:, None]
+    low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint32)
+    three = (low[:-2] * np.uint32(0x9E3779B1) + low[1:-1] * np.uint32(0x85EBCA77) + low[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F)
+    inside = row[:-2] == row[2:]  # a run of three bytes is of one passage
+    hashed = (three[inside] >> np.uint32(32 - (2 * GRAM_SLOTS - 1).bit_length())).astype(np.int64)
+    out[:, at + WORD_SLOTS :] = _signed(row[:-2][inside], hashed, n, GRAM_SLOTS) / np.sqrt(np.maximum(1, sizes))[:, None]
     return out
 
 
@@ -73,25 +109,46 @@ class Network(NamedTuple):
     weights: dict[str, np.ndarray]
     prior: float
 
-    def scores(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Scores of bags whose passages are the rows of x from each start on."""
-        if not self.weights:
-            return np.full(len(starts), self.prior)
-        return _forward(self.weights, (x - self.mean) / self.scale, starts)["p"]
+    def scores(self, texts: list[str | None], slots: _Slots | None = None) -> np.ndarray:
+        """The score of each text; passages of several texts are encoded together."""
+        if not self.weights or not texts:
+            return np.full(len(texts), self.prior)
+        chunks, of, starts = [], [], []
+        for text in texts:
+            own = passages(text)
+            starts.append(len(chunks))
+            chunks += own
+            of += [len(own)] * len(own)
+        parts = []
+        for i in range(0, len(chunks), TOGETHER):
+            x = features(chunks[i : i + TOGETHER], of[i : i + TOGETHER], slots)
+            parts.append(_encode(self.weights, (x - self.mean) / self.scale))
+        h, a = (np.concatenate([p[k] for p in parts]) for k in ("h", "s"))
+        return _pool(self.weights, h, a, np.array(starts))["p"]
+
+
+def _encode(w: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
+    """Each passage's representation h and attention s before it is shared out."""
+    h = np.tanh(x @ w["e"] + w["e0"])
+    t, g = np.tanh(h @ w["v"]), 1 / (1 + np.exp(-(h @ w["u"])))
+    return {"h": h, "t": t, "g": g, "s": (t * g) @ w["a"]}
 
 
-def _forward(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
-    bag = np.zeros(len(x), np.int64)
+def _pool(w: dict[str, np.ndarray], h: np.ndarray, s: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
+    """The attention of each passage within its bag, and the score of each bag."""
+    bag = np.zeros(len(h), np.int64)
     bag[starts[1:]] = 1
     bag = np.cumsum(bag)
-    h = np.tanh(x @ w["e"] + w["e0"])
-    t, g = np.tanh(h @ w["v"]), 1 / (1 + np.exp(-(h @ w["u"])))
-    a = (t * g) @ w["a"]
-    a = np.exp(a - np.maximum.reduceat(a, starts)[bag])
+    a = np.exp(s - np.maximum.reduceat(s, starts)[bag])
     a = a / np.add.reduceat(a, starts)[bag]
     z = np.add.reduceat(h * a[:, None], starts, axis=0)
     p = 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["c0"], -40, 40)))
-    return {"bag": bag, "h": h, "t": t, "g": g, "a": a, "z": z, "p": p}
+    return {"bag": bag, "a": a, "z": z, "p": p}
+
+
+def _forward(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
+    made = _encode(w, x)
+    return made | _pool(w, made["h"], made["s"], starts)
 
 
 def _gradients(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray, y: np.ndarray, decay: float) -> dict[str, np.ndarray]:
@@ -111,18 +168,18 @@ def _gradients(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray, y: n
 def fit_bags(bags: list[np.ndarray], labels: np.ndarray, width: int = 12, gate: int = 6, rounds: int = 250, rate: float = 0.02, decay: float = 1e-4) -> Network:
     """Adam on the log loss of the bags' labels, from a fixed start."""
     prior = float(labels.mean()) if len(labels) else 0.5
-    nothing = np.zeros(FEATURES)
+    nothing = np.zeros(FEATURES, np.float32)
     if len(set(labels.tolist())) < 2:
         return Network(nothing, nothing + 1, {}, prior)
-    x = np.concatenate(bags)
+    x = np.concatenate(bags).astype(np.float32)
     starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 0.02
     x = (x - mean) / scale
     rng = np.random.default_rng(7)
     shapes = {"e": (FEATURES, width), "e0": (width,), "v": (width, gate), "u": (width, gate), "a": (gate,), "c": (width,), "c0": (1,)}
-    w = {k: rng.normal(0, 0.5 / np.sqrt(s[0]), s) for k, s in shapes.items()}
-    first = {k: np.zeros(s) for k, s in shapes.items()}
-    second = {k: np.zeros(s) for k, s in shapes.items()}
+    w = {k: rng.normal(0, 0.5 / np.sqrt(s[0]), s).astype(np.float32) for k, s in shapes.items()}
+    first = {k: np.zeros(s, np.float32) for k, s in shapes.items()}
+    second = {k: np.zeros(s, np.float32) for k, s in shapes.items()}
     for step in range(1, rounds + 1):
         for k, d in _gradients(w, x, starts, labels, decay).items():
             first[k] = 0.9 * first[k] + 0.1 * d
@@ -131,54 +188,61 @@ def fit_bags(bags: list[np.ndarray], labels: np.ndarray, width: int = 12, gate:
     return Network(mean, scale, w, prior)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 3000, most_passages: int = 64, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 3000, most_passages: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
     """Learns from labelled rows where ``train`` (on the label table's id) holds.
 
     Labels are sampled by a hash of the id, about ``sample`` of them, so that
-    only as many texts are read and joined.  A training text of more than
-    ``most_passages`` passages lends that many, spread evenly over all of it.
+    only as many texts are read and joined.  The sampled rows are taken in the
+    order of another hash while their passages fit ``most_passages``; a row that
+    does not fit is no part of the sample, and no text is cut.
     """
     known = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("double").alias("y"))
     total, good = known.agg(F.count("*"), F.coalesce(F.avg("y"), F.lit(0.5))).first()
     if not total or good in (0.0, 1.0):
         return Network(np.zeros(FEATURES), np.ones(FEATURES), {}, float(good))
-    grain = 1 << 30
-    chosen = known.where(F.pmod(F.xxhash64(F.lit(23), F.col("_id")), F.lit(grain)) < int(min(1.0, sample / total) * grain)).orderBy(F.xxhash64(F.lit(29), "_id"), "_id").limit(2 * sample)  # the limit bounds what is broadcast
+    grain, order = 1 << 30, F.xxhash64(F.lit(29), "_id")
+    chosen = known.where(F.pmod(F.xxhash64(F.lit(23), F.col("_id")), F.lit(grain)) < int(min(1.0, sample / total) * grain)).select("_id", "y", order.alias("at")).orderBy("at", "_id").limit(2 * sample)  # the limit bounds what is broadcast
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "_id")
+    texts = cut(texts.groupBy("at", "_id", "y").agg(F.max("text").alias("text")).select("at", "y", "text"), "sample")
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(passages(t)) for t in batch.column(2).to_pylist()], pa.int64())], ["at", "n"])
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = _Slots()
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                rows = passages(text)
-                if len(rows) > most_passages:
-                    rows = rows[np.linspace(0, len(rows) - 1, most_passages).astype(int)]
-                out.append(rows.astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["_id", "y", "bag"])
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    got = texts.select("_id", "text", "y").mapInArrow(features, f"_id {id_type}, y double, bag binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["_id"], r["bag"]))
-    bags = [np.frombuffer(r["bag"], "<f4").reshape(-1, FEATURES).astype(float) for r in got]
-    return fit_bags(bags, np.array([r["y"] for r in got]))
-
-
-def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = (), whole_rows: bool = False) -> DataFrame:
-    """(id, the kept columns, score) of every row; with ``whole_rows`` all columns and the score."""
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                own = passages(text)
+                made = [features(own[j : j + TOGETHER], [len(own)] * len(own[j : j + TOGETHER]), slots).astype("<f4").tobytes() for j in range(0, len(own), TOGETHER)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns[:2], pa.array([b"".join(made)], pa.binary())], ["at", "y", "bag"])
+
+    taken, room = [], most_passages
+    for row in sorted(texts.mapInArrow(sizes, "at bigint, n bigint").collect()):
+        if row.n <= room:
+            taken.append(row.at)
+            room -= row.n
+    got = texts.where(F.col("at").isin(taken)).mapInArrow(bags, "at bigint, y double, bag binary").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["at"], r["bag"]))
+    return fit_bags([np.frombuffer(r["bag"], "<f4").reshape(-1, FEATURES) for r in got], np.array([r["y"] for r in got]))
+
+
+def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = (), whole_rows: str | None = None) -> DataFrame:
+    """(id, the kept columns, score) of every row; with ``whole_rows`` all columns, and the score under that name."""
     if whole_rows:
-        source = docs.select(*[F.col(c) for c in docs.columns if c != "_score"])
-        at, names, out = docs.columns.index(text_col), source.columns, "_score"
+        source = docs
+        at, names, out = docs.columns.index(text_col), source.columns, whole_rows
     else:
-        source = docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias("_text"))
+        source = docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias(fresh("_text", [id_col])))
         at, names, out = len(source.columns) - 1, source.columns[:-1], "score"
+    sent = docs.sparkSession.sparkContext.broadcast(net)  # some thousand weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = _Slots()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bags = [passages(t) for t in batch.column(at).to_pylist()]
-            starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]])
-            got = net.scores(np.concatenate(bags), starts)
+            got = sent.value.scores(batch.column(at).to_pylist(), slots)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(got, pa.float64())], [*names, out])
 
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}

@@ -58,8 +58,40 @@ def test_quality_learns_from_document_labels(spark):
     got = {r.doc_id: r.score for r in op9.score(docs, net).collect()}
     assert np.mean([(got[i] >= 0.5) == bool(labels[i][1]) for i in range(200, 300)]) > 0.95
     assert got[900] == got[901] and all(0 <= s <= 1 for s in got.values()) and None in got
-    whole = op9.score(docs, net, whole_rows=True)
-    assert whole.columns == [*docs.columns, "_score"] and whole.count() == len(rows)
+    whole = op9.score(docs.withColumn("_score", F.lit("mine")), net, whole_rows="_score_")
+    assert whole.columns == [*docs.columns, "_score", "_score_"] and whole.count() == len(rows)
+    twice = op9.score(docs.unionByName(docs.where("doc_id = 902")), net).where("doc_id = 902").collect()
+    assert twice[0] == twice[1]
+
+
+def test_quality_reads_words(spark):
+    """Good and bad texts of the same letters, lengths and marks: only their words differ."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)]
+    text = lambda good: " ".join(rng.choice(words[:30] if good else ["".join(sorted(w)) for w in words[:30]], 150))
+    rows = [(i, text(i % 2)) for i in range(160)]
+    docs = frame(spark, rows)
+    net = op9.fit(docs, spark.createDataFrame([(i, i % 2, 0) for i in range(160)], "doc_id long, quality int, toxic int"), F.col("doc_id") < 100)
+    assert np.mean([(r.score >= 0.5) == bool(r.doc_id % 2) for r in op9.score(docs, net).where("doc_id >= 100").collect()]) > 0.95
+
+
+def test_quality_of_long_texts(spark, monkeypatch):
+    """A training text lends all its passages, or is no part of the sample; long texts are scored in parts."""
+    long = " ".join(prose(np.random.default_rng(1), "en", 64) for _ in range(200))
+    rows = [(1, long), (2, "short good one"), (3, "BAD !!"), (4, "also GOOD"), (5, "!! ?? BAD")]
+    docs, marks = frame(spark, rows), spark.createDataFrame([(i, int(i not in (3, 5)), 0) for i in range(1, 6)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit = op9.fit_bags
+    monkeypatch.setattr(op9, "fit_bags", lambda bags, y: seen.append(sorted(len(b) for b in bags)) or fit(bags, y))
+    net = op9.fit(docs, marks, F.lit(True))
+    op9.fit(docs, marks, F.lit(True), most_passages=100)
+    assert seen == [[1, 1, 1, 1, 200], [1, 1, 1, 1]]
+    whole = net.scores([long, "x"])
+    monkeypatch.setattr(op9, "TOGETHER", 7)
+    assert net.scores([long, "x"]) == pytest.approx(whole, abs=1e-5)
+    chunks = op9.passages(long)
+    x = op9.features(chunks, [len(chunks)] * len(chunks))
+    assert op9._forward(net.weights, (x - net.mean) / net.scale, np.array([0]))["p"][0] == pytest.approx(whole[0], abs=1e-5)
 
 
 def test_quality_gradients():
