@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,14 +28,41 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
+#: The lists that open :func:`scratch` blocks keep of the tables written inside.
+_OPEN: list[list[str]] = []
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there."""
+    """``df`` written to the shared folder and read again: lineage ends there.
+
+    The table stays until the enclosing :func:`scratch` block ends; without one
+    it is the caller's to delete, since what is returned may still read it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lithos-{name}-{uuid.uuid4().hex}"
+    for made in _OPEN[-1:]:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a table, wherever the cluster keeps it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what :func:`cut` writes inside; results must be written by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            delete(spark, path)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the memory of a batch that goes to a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

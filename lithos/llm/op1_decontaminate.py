@@ -8,7 +8,9 @@ pass; windows around them are verified with Myers' bit-parallel distance.
 Texts and items are compared in lower case with runs of white space as one
 space.  Defined cases: null or empty texts and items match nothing; an item
 below ``1 / rate`` characters must occur exactly; equal items each match;
-repeated rows each give their rows; other columns are ignored.
+repeated rows each give their rows; ids keep their types; other columns are
+ignored, and kept by :func:`decontaminate` whatever their names.  The test set
+is a stated query set: it passes through the driver in blocks.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ from typing import NamedTuple
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: The test set is a stated query set.  It goes to the workers in blocks of so many characters.
 BLOCK_CHARS = 4_000_000
 
 
 class Item(NamedTuple):
-    id: int
+    id: object
     text: str
     budget: int
 
@@ -122,7 +126,7 @@ class Matcher:
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, rate: float) -> Iterator[list[Item]]:
     block, size = [], 0
-    for row in benchmark.selectExpr(f"cast(`{item_col}` as bigint) AS i", f"cast(`{text_col}` as string) AS t").orderBy("i", "t").toLocalIterator():
+    for row in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).cast("string").alias("t")).orderBy("i", "t").toLocalIterator():
         text = normal(row.t)
         if text:
             block.append(Item(row.i, text, int(rate * len(text))))
@@ -140,10 +144,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, id_
     start and end count characters of the normalised text.  No shuffle: each
     block of items passes over the texts once.
     """
-    schema = "id bigint, item_id bigint, distance int, budget int, start int, end int"
+    types = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
+    schema = f"id {types[0].simpleString()}, item_id {types[1].simpleString()}, distance int, budget int, start int, end int"
     names = ["id", "item_id", "distance", "budget", "start", "end"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-    source = docs.selectExpr(f"cast(`{id_col}` as bigint) AS id", f"cast(`{text_col}` as string) AS text")
+    kinds = [*map(to_arrow_type, types), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     out = None
     for items in _blocks(benchmark, item_col, item_text_col, rate):
 

@@ -1,8 +1,10 @@
 """Language identification by hierarchical discrimination.
 
 A text's language family is predicted first; one-versus-one linear support
-vector machines then separate the languages within that family.  Features are
-hashed byte trigrams and bigrams of the whole lower-cased text.
+vector machines then separate the languages within that family.  Where a level
+has more than ``FAN`` classes, neighbours by name are put together on a further
+level, so that any number of languages gives few machines for each.  Features
+are hashed byte trigrams and bigrams of the whole lower-cased text.
 
 The classifiers are fitted on a bounded sample of labelled rows (parameter
 ``sample``); prediction reads every whole text.  Defined cases: a null text or
@@ -27,6 +29,8 @@ from .common import text_of
 
 UNDETERMINED = "und"
 DIMS = 1 << 13
+#: Classes that one level tells apart.
+FAN = 12
 #: Families by language code; a language not listed is a family of its own.
 FAMILIES = {
     "germanic": ("de", "en", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "lb", "yi"),
@@ -68,10 +72,29 @@ class Machine(NamedTuple):
 
 
 class Model(NamedTuple):
-    families: tuple[str, ...]
-    languages: dict[str, tuple[str, ...]]
+    """``children`` names each node's classes, from the root "" over families to languages."""
+
+    children: dict[str, tuple[str, ...]]
     machines: dict[tuple[str, str], Machine]
 
+    @property
+    def families(self) -> tuple[str, ...]:
+        return self.children.get("", ())
+
+
+NOTHING = Model({}, {})
+
+
+def _grow(children: dict[str, tuple[str, ...]], name: str, classes: list[str]) -> None:
+    """Puts ``classes`` below ``name``, on as many levels as it takes."""
+    level = 0
+    while len(classes) > FAN:
+        level += 1
+        groups = [classes[i : i + FAN] for i in range(0, len(classes), FAN)]
+        children |= {f"{name}/{level}.{i}": tuple(g) for i, g in enumerate(groups)}
+        classes = [f"{name}/{level}.{i}" for i in range(len(groups))]
+    children[name] = tuple(classes)
+
 
 def _machine(x: np.ndarray, y: np.ndarray, a: str, b: str, rounds: int = 150, penalty: float = 1e-3) -> Machine:
     """Squared-hinge linear SVM by accelerated gradient descent; classes weigh the same."""
@@ -90,15 +113,23 @@ def _machine(x: np.ndarray, y: np.ndarray, a: str, b: str, rounds: int = 150, pe
 
 
 def fit_arrays(x: np.ndarray, langs: list[str]) -> Model:
-    names = np.array(langs)
-    kinds = np.array([family_of(v) for v in langs])
-    families = tuple(sorted(set(kinds)))
-    machines = {}
-    for level, classes in [(kinds, families)] + [(np.where(kinds == f, names, ""), tuple(sorted(set(names[kinds == f])))) for f in families]:
-        for a, b in combinations(classes, 2):
-            at = (level == a) | (level == b)
-            machines[a, b] = _machine(x[at], np.where(level[at] == a, 1, -1).astype(np.float32), a, b)
-    return Model(families, {f: tuple(sorted(set(names[kinds == f]))) for f in families}, machines)
+    names, children, machines = np.array(langs), {}, {}
+    by: dict[str, list[str]] = {}
+    for lang in sorted(set(langs)):
+        by.setdefault(f"family {family_of(lang)}", []).append(lang)
+    for family, some in by.items():
+        _grow(children, family, some)
+    _grow(children, "", sorted(by))
+
+    def below(name: str) -> set[str]:
+        return set().union(*(below(c) for c in children[name])) if name in children else {name}
+
+    for classes in children.values():
+        held = {c: np.isin(names, sorted(below(c))) for c in classes} if len(classes) > 1 else {}
+        for a, b in combinations(classes if held else (), 2):
+            at = held[a] | held[b]
+            machines[a, b] = _machine(x[at], np.where(held[a][at], 1, -1).astype(np.float32), a, b)
+    return Model(children, machines)
 
 
 def _scaled(counts: np.ndarray) -> np.ndarray:
@@ -126,37 +157,41 @@ class Predictor:
     """Applies a model to whole texts: the margins are sums of weights over the text's slots."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.keys = model, list(model.machines)
-        self.table = np.stack([model.machines[k].weights for k in self.keys], axis=1) if self.keys else np.zeros((DIMS, 0), np.float32)
+        self.model = model
+        self.keys = {name: list(combinations(classes, 2)) for name, classes in model.children.items()}
+        self.tables = {name: np.stack([model.machines[k].weights for k in keys], axis=1) for name, keys in self.keys.items() if keys}
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.model.families or not has_letter(text):
+        if not self.model.children or not has_letter(text):
             return UNDETERMINED, 0.0
         counts = np.bincount(slots(text), minlength=DIMS)
         used = np.flatnonzero(counts)
-        found = _scaled(counts[used]) @ self.table[used]
-        margin = {k: float(v) + self.model.machines[k].bias for k, v in zip(self.keys, found, strict=True)}
-        family, sure = _vote(self.model.families, margin, self.model.machines)
-        lang, sure2 = _vote(self.model.languages[family], margin, self.model.machines)
-        return lang, min(1.0, max(0.0, sure * sure2))
+        at, share, sure = "", _scaled(counts[used]), 1.0
+        while at in self.model.children:
+            margin = {}
+            if self.keys[at]:
+                found = share @ self.tables[at][used]
+                margin = {k: float(v) + self.model.machines[k].bias for k, v in zip(self.keys[at], found, strict=True)}
+            at, p = _vote(self.model.children[at], margin, self.model.machines)
+            sure *= p
+        return at, min(1.0, max(0.0, sure))
 
 
-def fit(docs: DataFrame, train: Column, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most_labels: int = 400) -> Model:
-    """Learns from rows where ``train`` holds; at most ``sample`` of them, shared evenly by the labels.
+def fit(docs: DataFrame, train: Column, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
+    """Learns from rows where ``train`` holds; at most ``sample`` of them, or one for each label, shared evenly by the labels.
 
     Rows are chosen by a hash of id and text; only their hashed features come to the driver.
     """
     rows = docs.where(train & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(most_labels + 1).collect()}
-    if len(counts) > most_labels:
-        raise ValueError(f"over {most_labels} labels: {label_col} holds something else")
+    counts = {r[0]: r[1] for r in rows.groupBy(label_col).count().orderBy(F.desc("count"), label_col).collect()}
     if not counts:
-        return Model((), {}, {})
+        return NOTHING
     share = max(1, sample // len(counts))
     grain = 1 << 20
-    rates = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(grain, -(-share * grain // n))))])
+    rates = docs.sparkSession.createDataFrame([(k, min(grain, -(-share * grain // n))) for k, n in counts.items()], f"_label {docs.schema[label_col].dataType.simpleString()}, _rate long")
     order = F.xxhash64(F.lit(17), F.col(id_col).cast("string"), F.col(text_col))
-    picked = rows.where(F.pmod(order, F.lit(grain)) < rates[F.col(label_col)]).select(F.col(label_col).cast("string").alias("lang"), order.alias("at"), text_of(text_col).alias("text"))
+    picked = rows.select(F.col(label_col).alias("_label"), order.alias("at"), text_of(text_col).alias("text")).join(F.broadcast(rates), "_label")  # a row for each label
+    picked = picked.where(F.pmod("at", F.lit(grain)) < F.col("_rate")).select(F.col("_label").cast("string").alias("lang"), "at", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +211,7 @@ def fit(docs: DataFrame, train: Column, sample: int = 4000, id_col: str = "doc_i
             n = len(r["sparse"]) // 6
             x[len(langs), np.frombuffer(r["sparse"], "<u2", n)] = np.frombuffer(r["sparse"], "<f4", n, 2 * n)
             langs.append(r["lang"])
-    return fit_arrays(x[: len(langs)], langs) if langs else Model((), {}, {})
+    return fit_arrays(x[: len(langs)], langs) if langs else NOTHING
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:

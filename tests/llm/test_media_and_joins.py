@@ -232,14 +232,35 @@ def test_join_odd_tables(spark):
     docs = frame(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (3, "q " * 30_000)])
     got = sorted((r.id or 0, r.n_shingles, r.component_id) for r in op6.Join(docs).components().collect() if r.n_shingles)
     assert got == [(0, 2, 1), (1, 2, 1), (1, 2, 1), (3, 1, 3)]
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")).withColumn("id", F.lit(1)).withColumn("points", F.lit(2))
+    got = sorted((r.id or "", r.n_shingles, r.component_id) for r in op6.Join(named).components().collect() if r.n_shingles)
+    assert got == [("", 2, "d1"), ("d1", 2, "d1"), ("d1", 2, "d1"), ("d3", 1, "d3")]
+
+
+def test_tree_links_what_blocks_leave(spark, monkeypatch):
+    """Families that share one rare passage: they stand in one large block whose centre is near none of them."""
+    monkeypatch.setattr(op6, "SMALL", 4)
+    told = []
+    left = op6._left
+    monkeypatch.setattr(op6, "_left", lambda *a: told.append(left(*a)) or told[-1])
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rare = [f"rare{i}" for i in range(7)]
+    rows = []
+    for _ in range(8):
+        base = words(60)
+        rows += [" ".join(base + rare), " ".join(base[:57] + words(1) + base[58:] + rare)]
+    rows = list(enumerate(rows))
+    got = {r.id: (r.n_shingles, r.component_id) for r in op6.Join(frame(spark, rows)).components().collect()}
+    assert got == jaccard(rows) and len({c for _, c in got.values()}) == 8 and told
 
 
 def test_tree_search_is_complete():
     rng = np.random.default_rng(0)
     points = rng.poisson(4, (700, op6.GROUPS))
     points[350:] = np.maximum(0, points[:350] + rng.integers(-1, 2, (350, op6.GROUPS)))
-    tree = op6.Tree(points)
-    assert sorted(tree.order.tolist()) == list(range(700))
+    tree = op6.Tree(points, fan=8)
+    assert [len(x) for x in tree.children] == [88, 11, 2, 1] and sorted(np.concatenate(tree.children[0]).tolist()) == list(range(700))
     for q in points[:60]:
         want = np.flatnonzero(180 * np.minimum(points, q).sum(axis=1) >= 80 * (q.sum() + points.sum(axis=1)))
         assert set(want) == set(tree.search(q, 80))

@@ -27,7 +27,7 @@ def test_languages_held_out(spark):
     rows = [(i, prose(rng, lang), lang) for i, lang in enumerate(langs)] + [(900, None, "en"), (901, "", "de"), (902, "123 !!", "fr"), (903, "的的的", None), (904, prose(rng, "de", 30000), None), (None, prose(rng, "es"), None)]
     docs = frame(spark, rows)
     model = op4.fit(docs, F.col("doc_id") < 200)
-    assert set(model.families) == {"germanic", "romance"} and set(model.machines) == {("germanic", "romance"), ("de", "en"), ("es", "fr")}
+    assert set(model.families) == {"family germanic", "family romance"} and set(model.machines) == {("family germanic", "family romance"), ("de", "en"), ("es", "fr")}
     got = {r.doc_id: (r.lang_pred, r.score) for r in op4.predict(docs, model).collect()}
     assert np.mean([got[i][0] == langs[i] for i in range(200, 400)]) > 0.97
     assert got[900] == got[901] == got[902] == ("und", 0.0)
@@ -42,6 +42,33 @@ def test_languages_without_labels(spark):
     assert {r.lang_pred for r in op4.predict(docs, one).collect()} == {"en", "und"}
 
 
+def test_votes_against_every_machine():
+    """The walk over the levels, against each machine applied to a dense vector; many more labels than one level holds."""
+    rng = np.random.default_rng(3)
+    langs = ["en", "de", "fr"] + [f"x{i:03d}" for i in range(450)]
+    own = {v: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 12)) for v in langs}
+    text = lambda v: " ".join("".join(rng.choice(list(own[v]), 4)) for _ in range(60))
+    train = [(text(v), v) for v in langs for _ in range(2)]
+    x = np.zeros((len(train), op4.DIMS), np.float32)
+    for i, (t, _) in enumerate(train):
+        x[i] = op4._scaled(np.bincount(op4.slots(t), minlength=op4.DIMS))
+    model = op4.fit_arrays(x, [v for _, v in train])
+    assert max(map(len, model.children.values())) <= op4.FAN and len(model.machines) < 8 * len(langs)
+    tool, right = op4.Predictor(model), 0
+    for v in langs[::9]:
+        t = text(v)
+        dense, at = op4._scaled(np.bincount(op4.slots(t), minlength=op4.DIMS)), ""
+        while at in model.children:
+            some = model.children[at]
+            margin = {(a, b): float(dense @ model.machines[a, b].weights) + model.machines[a, b].bias for i, a in enumerate(some) for b in some[i + 1 :]}
+            wins = {c: (sum(m > 0 for (a, _), m in margin.items() if a == c) + sum(m < 0 for (_, b), m in margin.items() if b == c), sum(m for (a, _), m in margin.items() if a == c) - sum(m for (_, b), m in margin.items() if b == c)) for c in some}
+            at = max(some, key=wins.get)
+        got, sure = tool.predict(t)
+        right += got == v
+        assert got == at and 0 <= sure <= 1
+    assert right > 25
+
+
 def test_quality_learns_from_document_labels(spark):
     rng = np.random.default_rng(0)
     rows, labels = [], []

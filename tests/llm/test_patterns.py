@@ -229,5 +229,13 @@ def test_blocks_of_items_all_count(spark, monkeypatch):
     assert {r.doc_id for r in op1.decontaminate(docs, bench).collect()} <= {5}
 
 
+def test_ids_and_columns_of_any_kind(spark):
+    bench = spark.createDataFrame([("q1", "which of these is the right answer to give")], "item_id string, text string")
+    docs = frame(spark, [(1, "so which of these is the right answer to give?"), (2, "no"), (None, None)]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id")).withColumn("item_id", F.lit(3)).withColumn("id", F.lit(4))
+    assert [(r.doc_id, r.item_id, r.distance) for r in op1.contamination(docs, bench).collect()] == [("d1", "q1", 0)]
+    left = op1.decontaminate(docs, bench)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {"d2", None}
+
+
 def test_patterns_have_no_recursion():
     assert re.fullmatch(r"[0-9]{24,}", "1" * 10**6)
