@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 
 
+#: Folders of local applications that name none.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
@@ -24,8 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lithos-"))
-    return spark.conf.get("spark.checkpoint.dir")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="lithos-")
+    return _LOCAL[app]
 
 
 #: The lists that open :func:`scratch` blocks keep of the tables written inside.

@@ -171,15 +171,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, id_
 
     The matcher runs where the rows are, so nothing is joined or shuffled.
     """
-    blocks = list(_blocks(benchmark, "item_id", "text", rate))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    for items in blocks:
+    packed = docs.select(F.struct("*").alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    for items in _blocks(benchmark, "item_id", "text", rate):
 
         def run(batches: Iterator[pa.RecordBatch], items: list[Item] = items) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items)
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                yield batch.filter(pa.array([not matcher.matches(normal(t)) for t in texts], pa.bool_()))
+                yield batch.filter(pa.array([not matcher.matches(normal(t)) for t in batch.column(1).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, fields)
-    return docs
+        packed = packed.mapInArrow(run, packed.schema)
+    return packed.select(*[F.col(f"_row.`{c}`") for c in docs.columns])

@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, fresh, text_of
+from .common import cut, text_of
 
 WORDS = 64
 _MARKS = ".,;:!?|*#$%&@/<>=_-'\"()[]{}"
@@ -229,21 +230,17 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 3000, m
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = (), whole_rows: str | None = None) -> DataFrame:
     """(id, the kept columns, score) of every row; with ``whole_rows`` all columns, and the score under that name."""
-    if whole_rows:
-        source = docs
-        at, names, out = docs.columns.index(text_col), source.columns, whole_rows
-    else:
-        source = docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias(fresh("_text", [id_col])))
-        at, names, out = len(source.columns) - 1, source.columns[:-1], "score"
+    text = F.col(text_col).cast("string").alias("_text")
+    source = docs.select(F.struct("*").alias("_row"), text) if whole_rows else docs.select(F.struct(F.col(id_col), *keep).alias("_row"), text)
     sent = docs.sparkSession.sparkContext.broadcast(net)  # some thousand weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = _Slots()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            got = sent.value.scores(batch.column(at).to_pylist(), slots)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(got, pa.float64())], [*names, out])
+            if batch.num_rows:
+                got = sent.value.scores(batch.column(1).to_pylist(), slots)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], ["_row", "_out"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
-    return source.mapInArrow(run, ", ".join([*(f"`{n}` {kinds[n]}" for n in names), f"`{out}` double"]))
+    names = source.schema["_row"].dataType.names
+    made = source.mapInArrow(run, T.StructType([source.schema["_row"], T.StructField("_out", T.DoubleType())]))
+    return made.select(*[F.col(f"_row.`{n}`") for n in names], F.col("_out").alias(whole_rows or "score"))

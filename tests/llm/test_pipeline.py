@@ -1,6 +1,9 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from lithos.llm import common
 
 from .brute import frame, jaccard, kept_lines
 
@@ -13,7 +16,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     shared = "a line that many documents share word for word"
     rows = []
     for i in range(60):
-        body = rows[i - 1][1] if i % 10 == 1 else f"{text(40)} {item if i % 15 == 0 else ''}\n{shared if i % 4 == 0 else text(5)}"
+        body = rows[i - 1][1] if i % 10 == 1 else "\n".join([text(10) for _ in range(4)] + [f"{text(6)} {item if i % 15 == 0 else ''}", shared if i % 4 == 0 else text(5)])
         rows.append((i, body, "en", f"s{i % 3}", len(body)))
     bad = [(100 + i, " ".join(f"{w.upper()}!!" for w in text(60).split()), "en", "s0", 1) for i in range(20)]
     spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(100 + i, 0, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -48,3 +51,51 @@ def test_one_row_of_each_group_stays(spark, tmp_path):
     assert out.columns == frame(spark, rows).columns
     got = sorted((r.text or "", r.doc_id is None) for r in out.collect())
     assert got == sorted([(body, True), (other, True), (" \n", False), (" \n", False), ("", True), ("short", False)])
+
+
+ODD = [(None, None, None, None, None), (1, "", "en", "s0", 0), (1, "", "en", "s0", 0), (2, " \n ", None, "s1", 3), (3, "x" * 100_000, "en", None, 1), (None, "a text without an id of some words", "en", "s1", 9), (5, "twice the same row of words", "en", "s2", 1), (5, "twice the same row of words", "en", "s2", 1)]
+MORE = ["_k1", "_k2", "_row", "_score", "_text", "_lines", "n_lines", "n_dropped", "dropped", "id", "digest", "points", "block", "slot", "_source", "_chunk", "_units", "a.b", "score", "item_id", "text_"]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    top = str(tmp_path_factory.mktemp("odd"))
+    spark.createDataFrame([(1, 1, 0), (3, 0, 0), (5, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, " "), (3, "an item that stands nowhere at all in here")], "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
+    return top
+
+
+@pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
+def test_stages_take_odd_tables(spark, tables, name):
+    """Nulls, empty and long texts, repeated rows, text ids, clashing names, an empty table."""
+    stage = dict(pipeline.STAGES)[name]
+    docs = frame(spark, ODD)
+    for c in MORE:
+        docs = docs.withColumn(c, F.lit("mine"))
+    for df in (docs, docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), docs.where("false")):
+        out = stage(spark, df, tables)
+        names = [c for c in df.columns if c not in ("block", "slot")] + ["block", "slot"] if name == "mixing sources" else df.columns
+        assert out.columns == names
+        rows = out.collect()
+        assert {r[c] for r in rows for c in MORE if c not in ("block", "slot")} <= {"mine"}
+        if df.where("true").isEmpty():
+            assert not rows
+        elif name == "n-gram Jaccard join":
+            assert len(rows) == len(ODD) - 1
+            assert sum(r.text == ODD[-1][1] for r in rows) == 1 and sum(not (r.text or "").strip() for r in rows) == 4
+        elif name != "quality classifier":
+            assert len(rows) == len(ODD)
+        else:
+            assert sum(r.text == ODD[-1][1] for r in rows) in (0, 2)
+
+
+def test_run_leaves_only_its_result(spark, tables, tmp_path, monkeypatch):
+    """All stages in turn; the tables of the way are gone."""
+    monkeypatch.setattr(common, "_LOCAL", {spark.sparkContext.applicationId: str(tmp_path / "shared")})
+    frame(spark, ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{tables}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    out = pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "block", "slot"] and out.count() > 0
+    made = list((tmp_path / "shared").iterdir())
+    assert len(made) == 1 and [p.name for p in made[0].iterdir() if p.is_dir()] == [str(len(pipeline.STAGES) - 1)]
