@@ -28,28 +28,34 @@ def positions(digest: bytes, bits: int, hashes: int) -> list[int]:
     return [(a + i * (b | 1)) % bits for i in range(hashes)]
 
 
-def build(rows: DataFrame, key: str, shard: str, items: int, rate: float = 0.01) -> DataFrame:
-    """(shard, bits): a filter of the hex digests of each shard, sized for ``items`` each.
+def build(rows: DataFrame, key: str, shard: str, rate: float = 0.01) -> DataFrame:
+    """(shard, items, bits): a filter of the hex digests of each shard, sized by what the shard holds.
 
-    Every task sends its own filter, a bounded bitmap, and those are joined.
+    Every task sends its own filter of a shard, a bitmap, and those are joined.
     """
-    bits, hashes = parameters(items, rate)
+    keyed = rows.select(F.col(shard).cast("string").alias("shard"), F.col(key).alias("key")).where(F.col("key").isNotNull() & F.col("shard").isNotNull())
+    sized = keyed.join(F.broadcast(keyed.groupBy("shard").agg(F.count("*").alias("items"))), "shard")  # shards are few: digits of the digest
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[str, np.ndarray] = {}
+        own: dict[str, tuple[int, np.ndarray]] = {}
         for batch in batches:
-            for s, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own.setdefault(s, np.zeros((bits + 7) // 8 * 8, np.uint8))[positions(bytes.fromhex(digest), bits, hashes)] = 1
+            for s, digest, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                bits, hashes = parameters(items, rate)
+                if s not in own:
+                    own[s] = items, np.zeros((bits + 7) // 8, np.uint8)
+                at = np.array(positions(bytes.fromhex(digest), bits, hashes))
+                np.bitwise_or.at(own[s][1], at >> 3, (1 << (at & 7)).astype(np.uint8))
         if own:
-            yield pa.RecordBatch.from_arrays([pa.array(list(own)), pa.array([np.packbits(x, bitorder="little").tobytes() for x in own.values()], pa.binary())], ["shard", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(own)), pa.array([n for n, _ in own.values()], pa.int64()), pa.array([x.tobytes() for _, x in own.values()], pa.binary())], ["shard", "items", "bits"])
 
     def join(table: pa.Table) -> pa.Table:
-        out = np.zeros((bits + 7) // 8, np.uint8)
-        for x in table["bits"]:
+        out = np.frombuffer(table["bits"][0].as_py(), np.uint8).copy()
+        for x in table["bits"][1:]:
             out |= np.frombuffer(x.as_py(), np.uint8)
-        return pa.table({"shard": table["shard"][:1], "bits": pa.array([out.tobytes()], pa.binary())})
+        return pa.table({"shard": table["shard"][:1], "items": table["items"][:1], "bits": pa.array([out.tobytes()], pa.binary())})
 
-    return rows.select(F.col(shard).alias("shard"), F.col(key)).mapInArrow(local, "shard string, bits binary").groupBy("shard").applyInArrow(join, "shard string, bits binary")
+    schema = "shard string, items bigint, bits binary"
+    return sized.select("shard", "key", "items").mapInArrow(local, schema).groupBy("shard").applyInArrow(join, schema)
 
 
 def holds(filter_bits: bytes, digest: bytes, items: int, rate: float = 0.01) -> bool:

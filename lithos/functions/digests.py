@@ -74,8 +74,15 @@ def hash_kind(value: Column) -> Column:
     return F.when(plain.rlike("^[0-9a-f]{64}$"), "sha256").when(plain.rlike("^[0-9a-f]{32}$"), "md5").otherwise("invalid")
 
 
+def normal_fuzzy(kind: Column, value: Column) -> Column:
+    """A fuzzy hash without blanks around it, in the form of its kind (ssdeep, tlsh, or hex digits in pairs); null if it has not that form."""
+    plain = F.trim(value)
+    ssdeep = F.when(plain.rlike(r"^[0-9]+[:|-][A-Za-z0-9+/]+[:|-][A-Za-z0-9+/]+$"), plain)
+    tlsh = F.when(F.lower(plain).rlike("^(t[0-9a-f])?[0-9a-f]{70}$"), F.lower(plain))
+    digits = F.when(plain.rlike("^([0-9A-Fa-f]{2})+$"), F.lower(plain))
+    return F.when(kind == "ssdeep", ssdeep).when(kind == "tlsh", tlsh).otherwise(digits)
+
+
 def valid_fuzzy(kind: Column, value: Column) -> Column:
     """Whether a value has the form of its kind of fuzzy hash (ssdeep or tlsh)."""
-    ssdeep = value.rlike(r"^[0-9]+[:|-][A-Za-z0-9+/]*[:|-][A-Za-z0-9+/]*$")
-    tlsh = F.lower(value).rlike("^(t[0-9a-f])?[0-9a-f]{70}$")
-    return F.when(kind == "ssdeep", ssdeep).when(kind == "tlsh", tlsh).otherwise(value.rlike("^([0-9A-Fa-f]{2})+$"))
+    return F.when(value.isNotNull(), normal_fuzzy(kind, value).isNotNull())

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .filetype_tables import EXPECTED, MACHINES, MAGIC, OPTIONAL_MAGICS, PATTERNS, RUNNING_EXTENSIONS, RUNNING_TYPES, ZIP_ENTRIES
+from .filetype_tables import EXPECTED, MACHINES, MAGIC, OPTIONAL_MAGICS, PATTERNS, RUNNING_EXTENSIONS, RUNNING_TYPES, ZIP_GENERIC, ZIP_STRONG
 
 HEAD, TAIL = 1024, 512
 
@@ -104,7 +104,7 @@ def archive_type(data: bytes) -> dict | None:
     names = central_names(data)
     method = "magic+ooxml-cd" if names else "magic+ooxml"
     names = names or local_names(data[:HEAD])
-    for prefix, name, code, category in ZIP_ENTRIES:
+    for prefix, name, code, category in (*ZIP_STRONG, *ZIP_GENERIC):
         if any(n.lower().startswith(prefix) for n in names):
             return {"name": name, "cl_type": code, "category": category, "method": method, "arch": None, "suspect": None}
     return None
@@ -171,7 +171,7 @@ def extension(filename: Column) -> Column:
 def mismatch(filename: Column, kind: Column) -> Column:
     """What is wrong about the extension, or null."""
     ext, code = extension(filename), kind["cl_type"]
-    expected = F.create_map(*[x for e, types in EXPECTED.items() for x in (F.lit(e), F.array(*[F.lit(f"CL_TYPE_{t}") for t in types.split()]))])
+    expected = F.create_map(*[x for e, types in EXPECTED.items() for x in (F.lit(e), F.array(*[F.lit(t) for t in types]))])
     wrong = expected[ext].isNotNull() & ~F.array_contains(expected[ext], code) & (code != "CL_TYPE_ANY")
     hides = code.isin(*RUNNING_TYPES) & ~ext.isin(*RUNNING_EXTENSIONS)
     text = F.concat(F.lit("扩展名 "), ext, F.lit(" 与内容不符: 实际为"))

@@ -21,10 +21,10 @@ def rate_limited(events: DataFrame, key: str, ts: str, order: str, window: int =
     if limit <= 0:
         return events.withColumn("accepted", F.lit(True))
     second = micros(F.col(ts)) / F.lit(1e6)
-    seen = events.withColumn("_t", second)
-    before = Window.partitionBy(key).orderBy("_t", order)
+    seen = events.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(order).alias("_order"), second.alias("_t"))
+    before = Window.partitionBy("_key").orderBy("_t", "_order")
     seen = seen.withColumn("_new", F.coalesce(F.col("_t") - F.lag("_t").over(before) > window, F.lit(True)).cast("int"))
-    seen = seen.withColumn("_session", F.sum("_new").over(before))
+    seen = seen.withColumn("_session", F.sum("_new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
     start = F.struct(F.array().cast("array<double>").alias("kept"), F.array().cast("array<boolean>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -32,10 +32,12 @@ def rate_limited(events: DataFrame, key: str, ts: str, order: str, window: int =
         ok = F.size(kept) < limit
         return F.struct(F.when(ok, F.concat(kept, F.array(x["_t"]))).otherwise(kept).alias("kept"), F.concat(acc["out"], F.array(ok)).alias("out"))
 
-    folded = seen.groupBy(key, "_session").agg(F.sort_array(F.collect_list(F.struct("_t", order))).alias("_e"))
-    folded = folded.withColumn("_o", F.aggregate("_e", start, step, lambda a: a["out"]))
-    flags = folded.select(key, F.explode(F.arrays_zip("_e", "_o")).alias("z")).select(key, F.col(f"z._e.{order}").alias(order), F.col("z._o").alias("accepted"))
-    return events.join(flags, [key, order])
+    # the rows travel with their times: null keys are one key, and equal rows stay as many as they are
+    order_of = lambda a, b: F.when(a["_t"] < b["_t"], -1).when(a["_t"] > b["_t"], 1).when(a["_order"] < b["_order"], -1).when(a["_order"] > b["_order"], 1).otherwise(0)
+    folded = seen.groupBy("_key", "_session").agg(F.array_sort(F.collect_list(F.struct("_t", "_order", "_row")), order_of).alias("_e"))
+    flags = F.aggregate(F.transform("_e", lambda x: F.struct(x["_t"].alias("_t"))), start, step, lambda a: a["out"])
+    each = folded.select(F.explode(F.arrays_zip(F.transform("_e", lambda x: x["_row"]).alias("_row"), flags.alias("_ok"))).alias("_z"))
+    return each.select("_z._row.*", F.col("_z._ok").alias("accepted"))
 
 
 def capped_history(rows: DataFrame, key: str, order: list[str], most: int = 100) -> DataFrame:

@@ -405,7 +405,7 @@ def bloom_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bloom_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     sigs = stores.with_shard(_sigs(_docs(spark, sf_dir)))
-    return bloom.build(sigs, "hash", "shard", 1000)
+    return bloom.build(sigs, "hash", "shard")
 
 
 # --- file types --------------------------------------------------------------------------------------------
@@ -451,7 +451,7 @@ def _filename() -> F.Column:
     return out.otherwise(".html")
 
 
-_EXPECTED = "MAP {" + ", ".join(f"'{e}': [{', '.join(f"'CL_TYPE_{t}'" for t in ts.split())}]" for e, ts in EXPECTED.items()) + "}"
+_EXPECTED = "MAP {" + ", ".join(f"'{e}': [{', '.join(f"'{t}'" for t in ts)}]" for e, ts in EXPECTED.items()) + "}"
 _TYPED = f"""b AS (SELECT page_id, {_NAME} AS fname, CASE WHEN page_id % 3 = 0 THEN 'FWS' || html ELSE html END AS html FROM pages WHERE html IS NOT NULL),
 c AS (SELECT page_id, fname, strlen(html)::BIGINT AS n, {_HEX.format('html')} AS hx, substr(html, 1, 1024) AS t, CASE WHEN fname[1] = '.' THEN '' ELSE regexp_extract(fname, '\\.[^.]*$') END AS ext FROM b),
 e AS (SELECT page_id, ext, CASE {_MAGIC_CASE} WHEN {_HTML} THEN 'CL_TYPE_HTML' ELSE {_TEXT_TYPE} END AS cl_type FROM c),

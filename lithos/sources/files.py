@@ -32,9 +32,10 @@ def from_text(rows: DataFrame, key: str, text: str, filename: str | None = None)
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, seq, value) of text files; ``seq`` orders the lines of a file."""
-    rows = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
-    return rows.withColumn("seq", F.monotonically_increasing_id())
+    """(file, value, seq) of text files; ``seq`` orders all lines by file, then by place in it, however files are dealt to tasks."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("_start"))
+    # a block is read by one task in order, so the running number orders its lines
+    return rows.select("file", "value", F.struct("file", "_start", F.monotonically_increasing_id().alias("line")).alias("seq"))
 
 
 def generated(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:

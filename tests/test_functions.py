@@ -111,8 +111,8 @@ def test_sizes_and_forms(spark):
     assert got == [human(x) for x in n]
     rows = spark.createDataFrame([("aaaaabbbbbbcd",), ("abc",), ("AAAA",)], "s string").select(ctph.strip_runs(F.col("s"))).collect()
     assert [r[0] for r in rows] == ["aaabbbcd", "abc", "AAA"]
-    kinds = spark.createDataFrame([("ssdeep", "3:abc:de"), ("ssdeep", "3-abc-de"), ("tlsh", "T1" + "A" * 70), ("tlsh", "A" * 69), ("imphash", "abcd"), ("imphash", "xyz")], "k string, v string").select(digests.valid_fuzzy(F.col("k"), F.col("v"))).collect()
-    assert [r[0] for r in kinds] == [True, True, True, False, True, False]
+    kinds = spark.createDataFrame([("ssdeep", "3:abc:de"), ("ssdeep", "3-abc-de"), ("tlsh", "T1" + "A" * 70), ("tlsh", "A" * 69), ("imphash", "abcd"), ("imphash", "xyz"), ("ssdeep", "3::"), ("ssdeep", " 3:a:b "), ("ssdeep", None)], "k string, v string").select(digests.valid_fuzzy(F.col("k"), F.col("v"))).collect()
+    assert [r[0] for r in kinds] == [True, True, True, False, True, False, False, True, None]
     m, k = spark.range(1).select(*digests.bloom_size(F.lit(1_000_000))).first()
     assert (m, k) == bloom.parameters(1_000_000)
 
@@ -219,10 +219,17 @@ def test_bloom_has_no_false_negatives(spark):
     import hashlib
 
     rows = [(hashlib.sha256(b"%d" % i).hexdigest(), "a" if i % 2 else "b") for i in range(500)]
-    made = {r.shard: r.bits for r in bloom.build(spark.createDataFrame(rows, "hash string, shard string"), "hash", "shard", 250).collect()}
-    assert all(bloom.holds(made[s], bytes.fromhex(h), 250) for h, s in rows)
-    wrong = sum(bloom.holds(made["a"], hashlib.sha256(b"x%d" % i).digest(), 250) for i in range(2000))
-    assert wrong < 60
+    rows += [(hashlib.sha256(b"y%d" % i).hexdigest(), "large") for i in range(6000)] + [(None, "a")]
+    made = {r.shard: (r.bits, r.items) for r in bloom.build(spark.createDataFrame(rows, "hash string, shard string").repartition(5), "hash", "shard").collect()}
+    assert {s: n for s, (_, n) in made.items()} == {"a": 250, "b": 250, "large": 6000}
+    assert all(bloom.holds(made[s][0], bytes.fromhex(h), made[s][1]) for h, s in rows if h)
+    for bits, items in made.values():  # each is as large as its shard needs
+        assert sum(bloom.holds(bits, hashlib.sha256(b"x%d" % i).digest(), items) for i in range(2000)) < 60
+
+
+def test_entropy_reads_whole_contents(spark):
+    whole = spark.range(1).select(pe.entropy_column(F.encode(F.concat(F.repeat(F.lit("a"), 5 << 20), F.repeat(F.lit("b"), 5 << 20)), "UTF-8"))).first()[0]
+    assert whole == 1.0
 
 
 @pytest.mark.parametrize("n,want", [(2 * 1024, "2KB"), (3 << 20, "3MB"), (1023, "0KB")])

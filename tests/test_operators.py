@@ -136,6 +136,30 @@ def test_rate_limit(spark):
     assert serving.rate_limited(df, "client", "ts", "id", 60, 0).where("NOT accepted").count() == 0
 
 
+def test_rate_limit_keeps_every_row(spark):
+    """Null keys are one client; equal rows stay as many as they are; other columns pass whatever their names."""
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, None, at), (1, None, at), (2, "a", at), (2, "a", at), (3, "a", at + dt.timedelta(seconds=70))]
+    df = spark.createDataFrame(rows, "id long, client string, ts timestamp").withColumns({"_row": F.lit(1), "_t": F.lit(2), "_session": F.lit(3)})
+    got = serving.rate_limited(df, "client", "ts", "id", 60, 1)
+    assert got.columns == [*df.columns, "accepted"]
+    assert sorted((r.client or "", r.id, r.accepted) for r in got.collect()) == [("", 1, False), ("", 1, True), ("a", 2, False), ("a", 2, True), ("a", 3, True)]
+
+
+def test_lines_are_ordered_by_file_and_place(spark, tmp_path):
+    """Large files are read first and in blocks: the order of lines does not follow that."""
+    from lithos.sources import files
+
+    (tmp_path / "a.hdb").write_text("".join(f"a{i}\n" for i in range(3)))
+    (tmp_path / "b.hdb").write_text("".join(f"b{i:05d}\n" for i in range(4000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = [r.value for r in files.lines(spark, str(tmp_path)).orderBy("seq").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [f"a{i}" for i in range(3)] + [f"b{i:05d}" for i in range(4000)]
+
+
 def test_histories_and_percentiles(spark):
     old = spark.createDataFrame([("a", "f1", 1, 1), ("a", "f1", 1, 2)], "k string, f string, t long, seq long")
     new = spark.createDataFrame([("a", "f1", 1, 3), ("a", "f2", 2, 4), ("a", "f2", 2, 5)], "k string, f string, t long, seq long")
