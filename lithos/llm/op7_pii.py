@@ -68,8 +68,8 @@ def _luhn(m: Column) -> Column:
     return _let(_digits(m), valid)
 
 
-def spans_of(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
-    """(start, end, value) of the leftmost non-overlapping matches that ``keep`` accepts.
+def spans_of(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None, pick: Callable[[Column], Column] | None = None) -> Column:
+    """(start, end, value) of the leftmost non-overlapping matches that ``keep`` accepts; only those that ``pick`` names are placed at all.
 
     Matches and the text between them alternate, so starts are sums of lengths;
     they are summed by 64s, so that many matches in one text cost little.
@@ -90,7 +90,10 @@ def spans_of(text: Column, pattern: str, keep: Callable[[Column], Column] | None
             before = F.aggregate(F.slice(sums, F.lit(1), chunk), F.lit(0), lambda t, x: t + x) + total(F.slice(steps, chunk * 64 + 1, i % 64)) + x["g"]
             return _let(before, lambda start: F.struct(start.alias("start"), (start + x["w"]).alias("end"), x["m"].alias("value")))
 
-        return F.transform(steps, span)
+        if pick is None:
+            return F.transform(steps, span)
+        wanted = F.filter(F.sequence(F.lit(0), F.size(steps) - 1), lambda i: pick(F.get(steps, i)["m"]))
+        return F.transform(wanted, lambda i: span(F.get(steps, i), i))
 
     def spans(found: Column) -> Column:
         return F.when(F.size(found) > 0, _let(steps_of(found), lambda steps: _let(sums_of(steps), lambda sums: place(steps, sums)))).otherwise(F.array().cast(SPAN))
@@ -169,7 +172,7 @@ def detect(docs: DataFrame, disclosure: float = 0.8, removal: float = 0.95, id_c
     hits = sieve(words, rated, "term").join(rated, "term").groupBy(*KEYS).agg(F.map_from_entries(F.collect_set(F.struct("term", "ratio"))).alias("_ratios"))
     texts = docs.select(*row_key(id_col, text_col), text_of(text_col).alias("_text"))
     marked = texts.join(hits.hint("shuffle_hash"), KEYS).dropDuplicates(KEYS)
-    words = F.filter(spans_of(F.col("_text"), WORD), lambda s: F.map_contains_key("_ratios", F.lower(s["value"])))
+    words = spans_of(F.col("_text"), WORD, pick=lambda w: F.map_contains_key("_ratios", F.lower(w)))
 
     def term(s: Column) -> Column:
         action = lambda r: F.when(r >= removal, F.lit("remove")).otherwise(F.lit("generalise"))
