@@ -181,3 +181,7 @@ def fast_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """As :func:`distance`, a batch at a time."""
     rows = lambda s: np.frombuffer(bytes.fromhex("".join(s)), np.uint8).reshape(-1, 35)
     return pd.Series(distances(rows(a), rows(b)), dtype="int32") if len(a) else pd.Series([], dtype="int32")
+
+
+#: So marked, a filter on the distance does not compute it once more.
+fast_distance = fast_distance.asNondeterministic()

@@ -17,6 +17,7 @@ from lithos.functions.pe import entropy_column
 from lithos.operators import lookup, packer, rules, serving, similarity, stores
 from lithos.plans import scan
 from lithos.sources import files
+from lithos.sources.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,8 +42,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 _DOCS = "d AS (SELECT doc_id, text, strlen(text)::BIGINT AS size, md5(text) AS md5, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL)"
 _SIZE = "CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN size ELSE size + doc_id % 2 END"
-_SIGS = f"sigs AS (SELECT sha256 AS hash, min_by(sz, doc_id) AS size, min_by(name, doc_id) AS name, min(doc_id) AS seq FROM (SELECT *, {_SIZE} AS sz, 'Known.' || doc_id AS name FROM d WHERE doc_id % 7 = 0) GROUP BY sha256)"
-_MD5S = f"md5s AS (SELECT md5 AS hash, min(doc_id) AS seq, min_by({_SIZE}, doc_id) AS size, min_by('Md5.' || doc_id, doc_id) AS name FROM d WHERE doc_id % 5 = 0 GROUP BY md5)"
+# every document gives an entry; only some of them are entries of the document's own digest
+_SIGS = f"sigs AS (SELECT hash, first(sz ORDER BY doc_id) AS size, first(name ORDER BY doc_id) AS name, min(doc_id) AS seq FROM (SELECT *, CASE WHEN doc_id % 7 = 0 THEN sha256 ELSE sha256(text || 'x') END AS hash, {_SIZE} AS sz, 'Known.' || doc_id AS name FROM d) GROUP BY hash)"
+_MD5S = f"md5s AS (SELECT hash, min(doc_id) AS seq, first({_SIZE} ORDER BY doc_id) AS size, first('Md5.' || doc_id ORDER BY doc_id) AS name FROM (SELECT *, CASE WHEN doc_id % 5 = 0 THEN md5 ELSE md5(text || 'x') END AS hash FROM d) GROUP BY hash)"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +57,9 @@ def _size() -> F.Column:
 
 
 def _sigs(docs: DataFrame, kind: str = "sha256", every: int = 7, prefix: str = "Known.") -> DataFrame:
-    rows = docs.where(F.col("doc_id") % every == 0).select(F.col(kind).alias("hash"), F.col("doc_id").alias("seq"), _size().alias("size"), F.concat(F.lit(prefix), "doc_id").alias("name"))
+    salted = F.encode(F.concat("text", F.lit("x")), "UTF-8")
+    other = F.sha2(salted, 256) if kind == "sha256" else F.md5(salted)
+    rows = docs.select(F.when(F.col("doc_id") % every == 0, F.col(kind)).otherwise(other).alias("hash"), F.col("doc_id").alias("seq"), _size().alias("size"), F.concat(F.lit(prefix), "doc_id").alias("name"))
     return stores.first_wins(rows, ["hash"]).select("hash", "size", "name", "seq")
 
 
@@ -172,9 +176,9 @@ def ssdeep_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.parse_ssdeep8(_lines8(_docs(spark, sf_dir)))
 
 
-@query("SELECT sha256('1:' || i) AS hash, 100 + i % 900 AS size, printf('Test.Gen.1.%09d', i) AS name FROM range(5000) t(i)")
+@query("SELECT sha256('1:' || i) AS hash, 100 + i % 900 AS size, printf('Test.Gen.1.%09d', i) AS name FROM (SELECT unnest(range((SELECT 5 * count(*) FROM documents))) AS i)")
 def synthetic_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.generated(spark, 5000)
+    return files.generated(spark, 5 * table(spark, sf_dir, "documents").count())
 
 
 # --- changes of stores -----------------------------------------------------------------------------
@@ -185,17 +189,17 @@ def sig_dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.first_wins(_docs(spark, sf_dir).select(F.col("md5").alias("hash"), F.col("doc_id").alias("seq"), "size"), ["hash"])
 
 
-@query(f"WITH {_DOCS}, {_SIGS} SELECT hash, seq, name FROM sigs UNION ALL SELECT sha256, min(doc_id), 'Added.' || min(doc_id) FROM d WHERE doc_id % 3 = 0 AND sha256 NOT IN (SELECT hash FROM sigs) GROUP BY sha256")
+@query(f"WITH {_DOCS}, {_SIGS} SELECT hash, seq, name FROM sigs UNION ALL SELECT sha256, min(doc_id), 'Added.' || min(doc_id) FROM d WHERE sha256 NOT IN (SELECT hash FROM sigs) GROUP BY sha256")
 def sig_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    new = docs.where("doc_id % 3 = 0").select(F.col("sha256").alias("hash"), F.col("doc_id").alias("seq"), F.concat(F.lit("Added."), "doc_id").alias("name"))
+    new = docs.select(F.col("sha256").alias("hash"), F.col("doc_id").alias("seq"), F.concat(F.lit("Added."), "doc_id").alias("name"))
     return stores.add(_sigs(docs).select("hash", "seq", "name"), new, ["hash"])
 
 
-@query(f"WITH {_DOCS}, {_SIGS} SELECT hash, name FROM sigs WHERE hash NOT IN (SELECT sha256 FROM d WHERE doc_id % 14 = 0)")
+@query(f"WITH {_DOCS}, {_SIGS} SELECT hash, name FROM sigs WHERE hash NOT IN (SELECT CASE WHEN doc_id % 2 = 0 THEN sha256 ELSE md5 END FROM d)")
 def sig_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    return stores.delete(_sigs(docs).select("hash", "name"), docs.where("doc_id % 14 = 0").select(F.col("sha256").alias("hash")), ["hash"])
+    return stores.delete(_sigs(docs).select("hash", "name"), docs.select(F.when(F.col("doc_id") % 2 == 0, F.col("sha256")).otherwise(F.col("md5")).alias("hash")), ["hash"])
 
 
 @query(f"WITH {_DOCS}, {_SIGS} SELECT hash, lpad((('0x' || substr(hash, 1, 8))::UBIGINT % 16)::VARCHAR, 4, '0') AS shard FROM sigs")
@@ -207,7 +211,8 @@ def reshard_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'f' || doc_id AS name FROM documents WHERE doc_id % 4 <> 0")
 def import_registry_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("f"), "doc_id").alias("name"))
-    return stores.not_imported(names.select("name"), names.where("doc_id % 4 = 0"))
+    registry = names.select(F.concat(F.when(F.col("doc_id") % 4 == 0, "f").otherwise("g"), "doc_id").alias("name"))
+    return stores.not_imported(names.select("name"), registry)
 
 
 # --- lookups ------------------------------------------------------------------------------------------
@@ -247,18 +252,18 @@ def lookup_fuzzy_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.computed(docs.select("doc_id", "size", F.col("md5").alias("imphash"), F.col("sha256").alias("authentihash")), store, "doc_id").select("doc_id", "fuzzy_type", F.col("sig_name").alias("name"))
 
 
-@query(f"WITH {_DOCS}, {_TLSH} SELECT a.doc_id, b.doc_id AS entry FROM t a JOIN t b ON a.tlsh = b.tlsh WHERE b.doc_id % 2 = 0")
+@query(f"WITH {_DOCS}, {_TLSH} SELECT a.doc_id, b.doc_id AS entry FROM t a JOIN t b ON a.tlsh = b.tlsh")
 def lookup_tlsh_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tlsh(_docs(spark, sf_dir))
     probes = t.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lower("tlsh")).otherwise(F.concat(F.lit("T1"), "tlsh")).alias("value"))
-    return lookup.tlsh_exact(probes, t.where("doc_id % 2 = 0").select("tlsh", F.col("doc_id").alias("name"))).select("doc_id", F.col("sig_name").alias("entry"))
+    return lookup.tlsh_exact(probes, t.select("tlsh", F.col("doc_id").alias("name"))).select("doc_id", F.col("sig_name").alias("entry"))
 
 
-@query(f"WITH {_DOCS}, {_SSDEEP} SELECT a.doc_id, b.doc_id AS entry FROM s a JOIN s b ON b.ssdeep = CASE WHEN a.doc_id % 4 = 0 THEN replace(a.ssdeep, ':', '-') ELSE a.ssdeep END WHERE b.doc_id % 3 = 0 AND a.size = b.size")
+@query(f"WITH {_DOCS}, {_SSDEEP} SELECT a.doc_id, b.doc_id AS entry FROM s a JOIN s b ON b.ssdeep = CASE WHEN a.doc_id % 4 = 0 THEN replace(a.ssdeep, ':', '-') ELSE a.ssdeep END WHERE a.size = b.size")
 def lookup_ssdeep_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _ssdeep(_docs(spark, sf_dir))
     probes = s.select("doc_id", "size", F.when(F.col("doc_id") % 4 == 0, F.replace("ssdeep", F.lit(":"), F.lit("-"))).otherwise(F.col("ssdeep")).alias("value"))
-    return lookup.ssdeep_exact(probes, s.where("doc_id % 3 = 0").select("ssdeep", "size", F.col("doc_id").alias("name"))).select("doc_id", F.col("sig_name").alias("entry"))
+    return lookup.ssdeep_exact(probes, s.select("ssdeep", "size", F.col("doc_id").alias("name"))).select("doc_id", F.col("sig_name").alias("entry"))
 
 
 # --- TLSH -----------------------------------------------------------------------------------------------
@@ -279,7 +284,7 @@ def _distance(a: str, b: str) -> str:
 
 
 _PRUNE = f"{_circle('a.lv', 'b.lv', 256)} <= 3 AND {_circle('a.q1', 'b.q1', 16)} <= 4 AND {_circle('a.q2', 'b.q2', 16)} <= 4 AND a.tlsh <> b.tlsh"
-_PAIRS = f"pairs AS (SELECT a.doc_id, b.doc_id AS entry, b.tlsh AS e, {_distance('a', 'b')} AS distance FROM x a JOIN x b ON b.doc_id % 2 = 0 AND {_PRUNE})"
+_PAIRS = f"pairs AS (SELECT a.doc_id, b.doc_id AS entry, b.tlsh AS e, {_distance('a', 'b')} AS distance FROM x a JOIN x b ON {_PRUNE})"
 
 
 @query(f"WITH {_DOCS}, {_TLSH}, {_HEADER} SELECT doc_id, lv, q1, q2 FROM x")
@@ -295,22 +300,22 @@ def tlsh_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(nxt, "doc_id").select("doc_id", tlsh.distance(F.col("tlsh"), F.col("other")).alias("distance"))
 
 
-@query(f"WITH {_DOCS}, {_TLSH}, {_HEADER} SELECT a.doc_id, b.doc_id AS entry FROM x a JOIN x b ON b.doc_id % 2 = 0 AND {_PRUNE}")
+@query(f"WITH {_DOCS}, {_TLSH}, {_HEADER} SELECT a.doc_id, b.doc_id AS entry FROM x a JOIN x b ON {_PRUNE}")
 def tlsh_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tlsh(_docs(spark, sf_dir)).select("doc_id", "tlsh")
-    return similarity.tlsh_candidates(t, t.where("doc_id % 2 = 0")).select("doc_id", F.col("e_doc_id").alias("entry"))
+    return similarity.tlsh_candidates(t, t).select("doc_id", F.col("e_doc_id").alias("entry"))
 
 
 @query(f"WITH {_DOCS}, {_TLSH}, {_HEADER}, {_PAIRS} SELECT doc_id, e AS entry_tlsh, distance FROM pairs WHERE distance <= 40 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, e) <= 10")
 def tlsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tlsh(_docs(spark, sf_dir)).select("doc_id", "tlsh")
-    return similarity.tlsh_top(t, t.where("doc_id % 2 = 0"), "doc_id").select("doc_id", F.col("e_tlsh").alias("entry_tlsh"), "distance")
+    return similarity.tlsh_top(t, t, "doc_id").select("doc_id", F.col("e_tlsh").alias("entry_tlsh"), "distance")
 
 
 @query(f"WITH {_DOCS}, {_TLSH}, {_HEADER}, {_PAIRS} SELECT doc_id, entry, distance FROM pairs WHERE entry < doc_id AND distance <= 100 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, e, entry) <= 1000".replace("<= 3 AND", "<= 8 AND").replace("<= 4 AND", "<= 9 AND"))
 def library_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tlsh(_docs(spark, sf_dir)).select("doc_id", "tlsh", F.col("doc_id").alias("seq"))
-    return similarity.tlsh_replay(t, t.where("doc_id % 2 = 0"), "doc_id", 100, 1000).select("doc_id", F.col("e_doc_id").alias("entry"), "distance")
+    return similarity.tlsh_replay(t, t, "doc_id", 100, 1000).select("doc_id", F.col("e_doc_id").alias("entry"), "distance")
 
 
 @query()
@@ -321,7 +326,7 @@ def tlsh_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tlsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the texts, joined: near copies among all documents."""
-    t = tlsh_digest(spark, sf_dir).where("tlsh IS NOT NULL")
+    t = written(tlsh_digest(spark, sf_dir)).where("tlsh IS NOT NULL")  # each text is digested once
     return similarity.tlsh_top(t, t, "doc_id").select("doc_id", F.col("e_doc_id").alias("entry"), "distance")
 
 
@@ -359,10 +364,10 @@ def gram_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.gram_rarity(_ssdeep(_docs(spark, sf_dir)))
 
 
-@query(f"WITH {_DOCS}, {_SSDEEP}, {_PARTS} SELECT DISTINCT p.doc_id, e.doc_id AS entry FROM pg p JOIN eg e ON p.b = e.b AND p.gram = e.gram AND p.b > 0 WHERE e.doc_id % 2 = 0 AND p.ssdeep <> e.ssdeep AND e.size BETWEEN p.size // 2 AND p.size * 2")
+@query(f"WITH {_DOCS}, {_SSDEEP}, {_PARTS} SELECT DISTINCT p.doc_id, e.doc_id AS entry FROM pg p JOIN eg e ON p.b = e.b AND p.gram = e.gram AND p.b > 0 WHERE p.ssdeep <> e.ssdeep AND e.size BETWEEN p.size // 2 AND p.size * 2")
 def ssdeep_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _ssdeep(_docs(spark, sf_dir))
-    return similarity.ssdeep_candidates(s, s.where("doc_id % 2 = 0"), "doc_id", "doc_id").select("doc_id", F.col("e_doc_id").alias("entry"))
+    return similarity.ssdeep_candidates(s, s, "doc_id", "doc_id").select("doc_id", F.col("e_doc_id").alias("entry"))
 
 
 @query()
@@ -372,7 +377,7 @@ def ssdeep_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ssdeep_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _docs(spark, sf_dir).select("doc_id", "size", ctph.digest_column(F.encode("text", "UTF-8")).alias("ssdeep")).where("ssdeep IS NOT NULL")
+    s = written(_docs(spark, sf_dir).select("doc_id", "size", ctph.digest_column(F.encode("text", "UTF-8")).alias("ssdeep"))).where("ssdeep IS NOT NULL")
     return similarity.ssdeep_top(s, s, "doc_id", "doc_id").select("doc_id", F.col("e_doc_id").alias("entry"), "score")
 
 
@@ -431,12 +436,12 @@ def filetype_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MAGICS = ", ".join(f"({i}, '{('20' * o + m.hex()).upper()}')" for i, (o, m, *_) in enumerate(MAGIC))
 
 
-@query(f"WITH b AS (SELECT v.i, v.h || substr({_HEX.format('text')}, 1, 200) AS hx FROM documents, (VALUES {_MAGICS}) v(i, h) WHERE doc_id = v.i) SELECT i, CASE {_MAGIC_CASE} END AS cl_type FROM b")
+@query(f"WITH b AS (SELECT doc_id, v.h || {_HEX.format('text')} AS hx FROM documents, (VALUES {_MAGICS}) v(i, h) WHERE doc_id % {len(MAGIC)} = v.i AND text IS NOT NULL) SELECT doc_id, CASE {_MAGIC_CASE} END AS cl_type FROM b")
 def filetype_magic(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = spark.createDataFrame([(i, bytes(b" " * o + m)) for i, (o, m, *_) in enumerate(MAGIC)], "i int, start binary")
-    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("i"), F.substring(F.encode("text", "UTF-8"), 1, 100).alias("rest"))
+    docs = _docs(spark, sf_dir).select("doc_id", (F.col("doc_id") % len(MAGIC)).alias("i"), F.encode("text", "UTF-8").alias("rest"))
     # what starts like a ZIP stays one here: its entries are not read
-    return starts.join(docs, "i").select("i", filetype.file_type(F.concat("start", "rest"))["cl_type"].alias("cl_type"))
+    return docs.join(F.broadcast(starts), "i").select("doc_id", filetype.file_type(F.concat("start", "rest"))["cl_type"].alias("cl_type"))
 
 
 _EXTS = ["txt", "pdf", "html", "exe", "png", "tar.gz", "htm", "jar"]
@@ -504,13 +509,13 @@ def yara_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select(F.col("sample_id").alias("doc_id"), F.array_join(F.transform("rule_hits", lambda h: h["rule"]), ",").alias("rules"), F.size("rule_hits").alias("n_rules"))
 
 
-_EVIDENCE = "ev AS (SELECT l_orderkey AS sample_id, 'F' || l_partkey % 7 AS family, (1 + l_linenumber % 3)::INT AS weight FROM lineitem WHERE l_orderkey % 5 = 0 AND l_suppkey % 3 = 0), hv AS (SELECT l_orderkey AS sample_id, CASE WHEN l_quantity > 25 THEN 15 ELSE 10 END AS weight FROM lineitem WHERE l_orderkey % 5 <= 1 AND l_suppkey % 3 = 1)"
+_EVIDENCE = "ev AS (SELECT l_orderkey AS sample_id, 'F' || l_partkey % 7 AS family, (1 + l_linenumber % 3)::INT AS weight FROM lineitem WHERE l_orderkey % 5 = 0), hv AS (SELECT l_orderkey AS sample_id, CASE WHEN l_quantity > 25 THEN 15 ELSE 10 END AS weight FROM lineitem WHERE l_orderkey % 5 <> 0 OR l_linenumber = 1)"
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "lineitem")
-    ev = rows.where("l_orderkey % 5 = 0 AND l_suppkey % 3 = 0").select(F.col("l_orderkey").alias("sample_id"), F.concat(F.lit("F"), F.col("l_partkey") % 7).alias("family"), (1 + F.col("l_linenumber") % 3).cast("int").alias("weight"))
-    hv = rows.where("l_orderkey % 5 <= 1 AND l_suppkey % 3 = 1").select(F.col("l_orderkey").alias("sample_id"), F.when(F.col("l_quantity") > 25, 15).otherwise(10).alias("weight"))
+    ev = rows.where("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("sample_id"), F.concat(F.lit("F"), F.col("l_partkey") % 7).alias("family"), (1 + F.col("l_linenumber") % 3).cast("int").alias("weight"))
+    hv = rows.where("l_orderkey % 5 <> 0 OR l_linenumber = 1").select(F.col("l_orderkey").alias("sample_id"), F.when(F.col("l_quantity") > 25, 15).otherwise(10).alias("weight"))
     return ev, hv
 
 

@@ -235,3 +235,20 @@ def test_entropy_reads_whole_contents(spark):
 @pytest.mark.parametrize("n,want", [(2 * 1024, "2KB"), (3 << 20, "3MB"), (1023, "0KB")])
 def test_size_kb(spark, n, want):
     assert spark.range(1).select(digests.size_kb(F.lit(n))).first()[0] == want
+
+
+def test_edit_distance_equals_the_table():
+    import random
+
+    def slow(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (0 if x == y else 2))
+        return row[-1]
+
+    r = random.Random(5)
+    for _ in range(300):
+        a, b = ("".join(r.choice("abcd") for _ in range(r.randint(0, 64))) for _ in range(2))
+        assert ctph._edit(a, b) == slow(a, b)
