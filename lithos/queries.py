@@ -6,6 +6,7 @@ rules that SQL can repeat, so that nearly every query has an exact oracle.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from lithos.functions.filetype_tables import EXPECTED, MAGIC, RUNNING_EXTENSIONS
 from lithos.functions.pe import entropy_column
 from lithos.operators import lookup, packer, rules, serving, similarity, stores
 from lithos.plans import scan
+from lithos.schemas import DETECTION, PE
 from lithos.sources import files
 from lithos.sources.tables import written
 
@@ -566,6 +568,64 @@ def scan_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("samples"), F.sum("size").alias("bytes"))
 
 
+_DEEP = f"""{_DOCS}, {_MATCHED}, {_LINES8}, {_UNPIVOT}, {_TLSH}, {_HEADER}, {_SSDEEP}, fz AS (SELECT fuzzy_type, value, first(size ORDER BY seq) AS size FROM u GROUP BY ALL),
+nf AS (SELECT doc_id, string_agg(fuzzy_type, ',' ORDER BY CASE fuzzy_type WHEN 'imphash' THEN 0 ELSE 1 END) AS fuzzy FROM d JOIN fz ON value = CASE fuzzy_type WHEN 'imphash' THEN d.md5 WHEN 'authentihash' THEN d.sha256 END WHERE fz.size IS NULL OR fz.size = d.size GROUP BY doc_id),
+sl AS (SELECT ssdeep, first(size ORDER BY doc_id) AS size, min(doc_id) AS seq FROM s GROUP BY ssdeep), ns AS (SELECT doc_id, 'Lib.' || seq AS same FROM s JOIN sl ON sl.ssdeep = s.ssdeep AND sl.size = s.size),
+tl AS (SELECT tlsh, lv, q1, q2, min(doc_id) AS seq FROM x GROUP BY ALL), near AS (SELECT a.doc_id, 'Lib.' || b.seq AS name, {_distance('a', 'b')} AS distance, b.tlsh FROM x a JOIN tl b ON {_PRUNE}),
+nt AS (SELECT doc_id, string_agg(name || '=' || distance, ',' ORDER BY distance, tlsh) AS near FROM (SELECT * FROM near WHERE distance <= 40 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, tlsh) <= 10) GROUP BY doc_id)"""
+
+
+@query(f"WITH {_DEEP} SELECT m.doc_id, concat_ws(',', r1, r2, r3, r4) AS rules, coalesce(fuzzy, '') AS fuzzy, coalesce(same, '') AS same, coalesce(near, '') AS near, 'YARA,SSDeep Hash DB,TLSH Hash DB' AS scanners FROM m LEFT JOIN nf USING (doc_id) LEFT JOIN ns USING (doc_id) LEFT JOIN nt USING (doc_id)")
+def scan_phase2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second phase over given digests; similar piecewise hashes, which SQL cannot score, are tested apart."""
+    docs = _docs(spark, sf_dir)
+    found = rules.scan(docs.withColumn("content", F.encode("text", "UTF-8")), rules.parse(RULES)).select("doc_id", "rule_hits", F.col("md5").alias("imphash"), F.col("sha256").alias("authentihash"))
+    t, s = _tlsh(docs).select("doc_id", "tlsh"), _ssdeep(docs)
+    null = lambda kind: F.lit(None).cast(kind)
+    none = {"notes": F.array().cast("array<string>"), "pe": null(PE), "evidence": null(f"array<{packer.EVIDENCE}>"), "heuristics": null("array<struct<key:string,weight:int>>")}
+    slim = written(found.join(t, "doc_id").join(s, "doc_id").withColumns(none))
+    entry = lambda rows, kind: stores.first_wins(rows.select(kind, F.col("doc_id").alias("seq"), "size"), [kind]).select(kind, "seq", "size", F.concat(F.lit("Lib."), "seq").alias("name"), null("string").alias("sha256"))
+    fuzzy = stores.first_wins(stores.parse_hdb8(_lines8(docs)), ["fuzzy_type", "value"])
+    hits = scan.deep_hits(slim, fuzzy, entry(slim, "ssdeep"), entry(slim, "tlsh"), "doc_id")
+    out = scan.deep_report(slim, hits, True, "doc_id")
+
+    def named(engine: str, kind: str, text: Callable[[F.Column], F.Column]) -> F.Column:
+        return F.array_join(F.transform(F.filter("detections", lambda d: (d["engine"] == engine) & (d["type"] == kind)), text), ",")
+
+    name = lambda d: d["name"]
+    return out.select(
+        "doc_id", named("YARA", "yara", name).alias("rules"), named("Fuzzy Hash DB", "fuzzy", lambda d: d["meta"]["fuzzy_type"]).alias("fuzzy"), named("SSDeep Hash DB", "fuzzy", name).alias("same"),
+        named("TLSH Hash DB", "fuzzy-similar", lambda d: F.concat(d["name"], F.lit("="), d["score"])).alias("near"), F.array_join("scanners", ",").alias("scanners"),
+    )
+
+
+def _stub() -> bytes:
+    """A portable executable of one section, UPX0, that may be written and run and holds the entry point; what follows is its overlay."""
+    dos = b"MZ" + bytes(58) + struct.pack("<I", 64)
+    optional = struct.pack("<HBB9I6H4I2H6I", 0x10B, 0, 0, 0, 0, 0, 0x1000, 0x1000, 0, 0x400000, 0x1000, 512, 4, 0, 0, 0, 4, 0, 0, 0x2000, 512, 0, 3, 0, 0, 0, 0, 0, 0, 16) + bytes(128)
+    head = dos + b"PE\0\0" + struct.pack("<2H3I2H", 0x14C, 1, 0, 0, 0, len(optional), 0x102) + optional
+    head += struct.pack("<8s6I2HI", b"UPX0", 512, 0x1000, 512, 512, 0, 0, 0, 0, 0xE0000020)
+    return head.ljust(512, b"\0") + b"\x60\xbe".ljust(512, b"\0")
+
+
+_STRINGS = ", ".join(f"('{family}', '{magic.lower()}')" for family, magic in packer.MAGIC_STRINGS)
+
+
+@query(
+    f"WITH ev AS (SELECT doc_id, 'UPX' AS family, 4 AS weight FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, family, 3 FROM documents, (VALUES {_STRINGS}) v(family, magic) WHERE contains(lower(text), magic)), "
+    "fam AS (SELECT doc_id, family, sum(weight)::INT AS weight, least(60, 20 + (sum(weight)::INT - 1) * 12) AS score FROM ev GROUP BY ALL) "
+    "SELECT doc_id, (least(60, sum(score)) + 30)::INT AS packed_score, 'high' AS confidence, string_agg(family, ',' ORDER BY weight DESC, family) AS packers FROM fam GROUP BY doc_id"
+)
+def scan_packers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packers of executables on their bytes: each text is the overlay of one."""
+    docs = _docs(spark, sf_dir)
+    samples = docs.select("doc_id", F.lit("f.exe").alias("filename"), F.concat(F.lit(_stub()), F.encode("text", "UTF-8")).alias("content"))
+    slim = written(scan.deep(samples, [], [], "doc_id"))
+    none = spark.createDataFrame([], f"doc_id long, detection {DETECTION}")
+    packed = scan.deep_report(slim, none, False, "doc_id").select("doc_id", "static_info.packer.*")
+    return packed.select("doc_id", "packed_score", "confidence", F.array_join("packers", ",").alias("packers"))
+
+
 @query(
     "WITH s AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT * (1 + o_orderkey % 4000) AS n FROM orders UNION ALL SELECT -1, 1280 UNION ALL SELECT -2, 1024) "
     "SELECT o_orderkey, n, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.1f GB', n / 1073741824) END AS human FROM s"

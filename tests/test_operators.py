@@ -225,3 +225,39 @@ def test_searches_cover_the_whole_library(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     for search in (queries.tlsh_search, queries.ssdeep_search):
         assert {(1, 3), (3, 1), (5, 6), (6, 5)} <= {(r.doc_id, r.entry) for r in search(spark, str(tmp_path)).collect()}
+
+
+def test_both_phases_on_real_contents(spark):
+    rng = np.random.default_rng(3)
+    body = " ".join(f"word{x}" for x in rng.integers(0, 900, 900))
+    packed = executable(sections=((b"UPX0", 0xE0000020, b"\x60\xbe" + b"\0" * 510),), overlay=b"xx UPX! " + body.encode())
+    texts = [body.encode() + b" MARKER", (body + " and a little more").encode(), packed, b"clean"]
+    df = spark.createDataFrame([(i, f"f{i}", bytes(b)) for i, b in enumerate(texts, 10)], "sample_id long, filename string, content binary")
+    info = {r.sample_id: r for r in scan.static_info(scan.first_phase(df)).collect()}
+    sha256 = scan.first_phase(df).where("sample_id = 10").select(F.col("sha256").alias("hash"), F.lit(None).cast("long").alias("size"), F.lit("Known").alias("name"))
+    md5 = spark.createDataFrame([], "hash string, size long, name string")
+    fuzzy = spark.createDataFrame([("imphash", info[12].imphash, None, "Imp", "aa")], "fuzzy_type string, value string, size long, name string, sha256 string")
+    ssdeep = spark.createDataFrame([(info[11].ssdeep, 1, "bb", None, "Piece")], "ssdeep string, seq long, sha256 string, size long, name string")
+    near = spark.createDataFrame([(info[11].tlsh, 1, "cc", None, None)], "tlsh string, seq long, sha256 string, size long, name string")
+    first = scan.report(df, sha256, md5, [])
+    second = scan.second_phase(df, rules.parse(RULES), [], fuzzy, ssdeep, near)
+    whole = scan.merged(first, second).cache()
+    got = {r.sample_id: r for r in whole.collect()}
+    assert [(d.engine, d.type, d.name) for d in got[10].detections] == [("SHA256 Hash DB", "hash", "Known"), ("YARA", "yara", "Text"), ("SSDeep Hash DB", "fuzzy-similar", "Piece"), ("TLSH Hash DB", "fuzzy-similar", "unknown")]
+    assert got[10].detections[2].score >= 90 and got[10].scanners == ["SHA256 Hash DB", "MD5 Hash DB", "YARA", "SSDeep Hash DB", "TLSH Hash DB"]
+    # an equal piecewise hash is an exact hit; an equal TLSH digest is left out
+    assert [(d.engine, d.type) for d in got[11].detections] == [("SSDeep Hash DB", "fuzzy")]
+    assert ("Fuzzy Hash DB", "Imp") in {(d.engine, d.name) for d in got[12].detections} and got[12].static_info.packer.packers[0] == "UPX"
+    assert got[13].clean and got[13].verdict == "CLEAN" and got[13].static_info.tlsh is None and "TLSH Hash DB" not in got[13].scanners
+    # only what a digest store knows enters the libraries, after the search
+    library = scan.grown(ssdeep, whole, "ssdeep").collect()
+    assert {(r.ssdeep, r.seq, r.name) for r in library} == {(info[11].ssdeep, 1, "Piece"), (info[10].ssdeep, 10, "Known")}
+    assert [r.seq for r in scan.grown(near, whole, "tlsh", most=1).collect()] == [10]
+
+
+def test_large_samples_get_rules_only(spark, monkeypatch):
+    monkeypatch.setattr(scan, "DEEP_BYTES", 100)
+    df = spark.createDataFrame([(1, b"MARKER" + b"word one two " * 50)], "sample_id long, content binary")
+    row = scan.deep(df, rules.parse(RULES), []).first()
+    assert [h.rule for h in row.rule_hits] == ["Text", "Two"]
+    assert row.ssdeep is None and row.tlsh is None and row.pe is None and len(row.notes) == 1
