@@ -46,8 +46,8 @@ def size_kb(size: Column) -> Column:
 
 
 def pe_timestamp(seconds: Column) -> Column:
-    """UTC time of a header's seconds; zero means none."""
-    return F.when(seconds != 0, F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss"))
+    """UTC time of a header's seconds; zero means none.  Years of more than four digits have no plus sign."""
+    return F.when(seconds != 0, F.ltrim(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss"), F.lit("+")))
 
 
 def bloom_size(items: Column, rate: float = 0.01) -> tuple[Column, Column]:

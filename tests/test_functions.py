@@ -117,6 +117,12 @@ def test_sizes_and_forms(spark):
     assert (m, k) == bloom.parameters(1_000_000)
 
 
+def test_times_beyond_four_digits(spark):
+    seconds = [0, 1, 253402300799, 253402300800, 1199999000000]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in seconds], "s long").select(digests.pe_timestamp(F.col("s"))).collect()]
+    assert got == [None, "1970-01-01 00:00:01", "9999-12-31 23:59:59", "10000-01-01 00:00:00", "39996-06-15 07:33:20"]
+
+
 def executable(sections=((b".text", 0xE0000020, b"\x60\xbe" + b"\0" * 510),), imports=(("KERNEL32.dll", ["ExitProcess", 5]),), machine=0x14C, overlay=b"", at=0x80):
     raw, va, body, heads = 0x400, 0x1000, b"", b""
     idata = b""
