@@ -185,3 +185,99 @@ def fast_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 #: So marked, a filter on the distance does not compute it once more.
 fast_distance = fast_distance.asNondeterministic()
+
+
+#: Pairs of digests that are compared together.
+_BLOCK = 1 << 14
+
+
+def _planes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """High and low bits of the 128 quartile codes of rows of 35 bytes, as two words each."""
+    words = np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
+    even = np.uint64(0x5555555555555555)
+    high, low = words >> np.uint64(1) & even, words & even
+    return tuple((x[:, :2] | x[:, 2:] << np.uint64(1)).T.copy() for x in (high, low))
+
+
+def _part(high: np.ndarray, low: np.ndarray, same: np.ndarray, other_high: np.ndarray, other_low: np.ndarray) -> np.ndarray:
+    """Distance of the 64 codes of a word: 1 where low bits differ, 2 where high ones do, 1 or 6 where both do."""
+    x, y = high ^ other_high, low ^ other_low
+    out = np.bitwise_count(y)
+    y &= x
+    x ^= y
+    two = np.bitwise_count(x)
+    two += two
+    out += two
+    y &= same  # codes 0 and 3, whose high and low bits are equal
+    return out.astype(np.uint16) + 5 * np.bitwise_count(y).astype(np.uint16)
+
+
+def _header_cost(lv: int, q1: int, q2: int, cells: np.ndarray) -> np.ndarray:
+    """What length codes and ratios cost; rows of ``cells`` are (lv, q1, q2)."""
+    out = np.zeros(len(cells), np.int64)
+    for i, (x, n, weight, free) in enumerate(((lv, 256, LENGTH_WEIGHT, 0), (q1, 16, RATIO_WEIGHT, 1), (q2, 16, RATIO_WEIGHT, 1))):
+        d = np.abs(cells[:, i] - x)
+        d = np.minimum(d, n - d)
+        out += np.where(d <= 1, d, (d - free) * weight)
+    return out
+
+
+def _cells(rows: np.ndarray) -> np.ndarray:
+    swapped = rows[:, 1:3] >> 4 | (rows[:, 1:3] & 15) << 4
+    return np.stack([swapped[:, 0], swapped[:, 1] & 15, swapped[:, 1] >> 4], axis=1)
+
+
+def nearest(probes: np.ndarray, entries: np.ndarray, threshold: int, k: int | None = None, before: np.ndarray | None = None, since: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probe, entry, distance) of rows of 35 bytes that differ and lie within the threshold: all, or the ``k`` least by (distance, entry's bytes).
+
+    With ``before`` and ``since`` a probe meets only entries whose ``since`` is
+    below its ``before``.  Pairs whose headers cost too much are never formed,
+    of the others those that 64 codes already put too far are told no more.
+    """
+    probe_cells, probe_at = np.unique(_cells(probes), axis=0, return_inverse=True)
+    probe_order = np.argsort(probe_at.reshape(-1), kind="stable")
+    probe_ends = np.searchsorted(probe_at.reshape(-1)[probe_order], np.arange(len(probe_cells) + 1))
+    cells, at = np.unique(_cells(entries), axis=0, return_inverse=True)
+    cells = cells.astype(np.int64)
+    order = np.lexsort([*entries.T[::-1], at.reshape(-1)])
+    sizes = np.bincount(at.reshape(-1), minlength=len(cells))
+    entries = entries[order]
+    by_bytes = np.empty(len(entries), np.int64)
+    by_bytes[np.lexsort(entries.T[::-1])] = np.arange(len(entries))
+    high, low = _planes(entries)
+    same = ~(high ^ low)
+    p_high, p_low = _planes(probes)
+    out = [(np.zeros(0, np.int64),) * 3]
+    for c, cell in enumerate(probe_cells):
+        base = np.repeat(_header_cost(*map(int, cell), cells).astype(np.uint16), sizes)
+        e = np.flatnonzero(base <= threshold)
+        if not len(e):
+            continue
+        base = base[e]
+        h, l, s = high[:, e], low[:, e], same[:, e]  # noqa: E741
+        mine = probe_order[probe_ends[c] : probe_ends[c + 1]]
+        step = max(1, _BLOCK // len(e))
+        for i in range(0, len(mine), step):
+            p, found = mine[i : i + step], []
+            for j in range(0, len(e), _BLOCK):
+                part = slice(j, j + _BLOCK)
+                d = _part(h[0, part], l[0, part], s[0, part], p_high[0, p, None], p_low[0, p, None]) + base[part]
+                x, y = np.nonzero(d <= threshold)
+                if len(x):
+                    d = d[x, y] + _part(h[1, part][y], l[1, part][y], s[1, part][y], p_high[1, p[x]], p_low[1, p[x]])
+                    d = d + (probes[p[x], 0] != entries[e[part][y], 0])
+                    keep = (d <= threshold) & (d > 0)  # at no distance both are the same
+                    if before is not None:
+                        keep &= since[order[e[part][y]]] < before[p[x]]
+                    found.append((p[x[keep]], e[part][y[keep]], d[keep].astype(np.int64)))
+            if not found:
+                continue
+            x, y, d = (np.concatenate(z) for z in zip(*found, strict=True))
+            if k is not None and len(x) > k:
+                by = np.lexsort([by_bytes[y], d, x])
+                x, y, d = x[by], y[by], d[by]
+                first = np.searchsorted(x, x)  # of the same probe
+                keep = np.arange(len(x)) - first < k
+                x, y, d = x[keep], y[keep], d[keep]
+            out.append((x, order[y], d))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True))

@@ -1,14 +1,16 @@
 """Similarity joins: TLSH distance and piecewise-hash score, each behind an exact condition.
 
 TLSH: codes of length and ratios that differ too much already cost more than the
-threshold, so probes meet only entries in the neighbouring cells (length code,
-first ratio).  Piecewise hashes: a score above zero needs a shared 7-gram at
+threshold, so probes meet only entries of near length codes, in blocks that
+compare bits.  Piecewise hashes: a score above zero needs a shared 7-gram at
 fitting block sizes, so candidates come from an equi-join on (block size, gram).
 Neither loses a pair.  The top k per probe is a window over the survivors.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,26 +36,87 @@ def tlsh_candidates(probes: DataFrame, library: DataFrame, threshold: int = 40)
     return joined.where((tlsh.circular(F.col("p_q2"), F.col("x_q2"), 16) <= ratio) & (F.col("tlsh") != F.col("e_tlsh"))).drop("_lv", "_q1", "p_lv", "p_q1", "p_q2", "x_lv", "x_q1", "x_q2")
 
 
+#: Digests of a block of probes, and of entries of one length code, that meet in one group.
+PROBES, ENTRIES = 1 << 15, 1 << 16
+
+
+def _tlsh_pairs(probes: DataFrame, entries: DataFrame, threshold: int, k: int | None = None) -> DataFrame:
+    """(tlsh, before, e_tlsh, distance) of all pairs of digests within the threshold, or of the ``k`` least of each probe.
+
+    ``probes`` are (tlsh, before), ``entries`` (tlsh, since), each once; a probe
+    meets entries with ``since < before``.  Entries of one length code meet the
+    probes of the codes within reach.  Both sides are dealt into blocks, so a
+    group is bounded however many digests share a code, and a group hands on
+    ``k`` entries of a probe at most.
+    """
+    lv = tlsh.header(F.col("tlsh"))["lv"].alias("lv")
+    p, e = probes.select(lv, "tlsh", "before"), entries.select(lv, "tlsh", "since")
+    counts = p.groupBy(F.lit(0).alias("side"), "lv").count().unionByName(e.groupBy(F.lit(1).alias("side"), "lv").count()).collect()
+    s = -(-sum(r["count"] for r in counts if r["side"] == 0) // PROBES) or 1
+    t = -(-max([r["count"] for r in counts if r["side"] == 1], default=1) // ENTRIES)
+    deal = lambda n: F.pmod(F.xxhash64("tlsh"), F.lit(n)).cast("int")
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    length, _ = tlsh.reach(threshold)
+    p = p.select(F.explode(_near(F.col("lv"), length, 256)).alias("lv"), deal(s).alias("i"), F.unhex("tlsh").alias("p"), "before").select("*", blocks(t).alias("j"))
+    e = e.select("lv", deal(t).alias("j"), F.unhex("tlsh").alias("e"), "since").select("*", blocks(s).alias("i"))
+    rows = lambda column: np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 35)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = left.column("p"), right.column("e")
+        x, y, d = (np.zeros(0, np.int64),) * 3
+        if len(a) and len(b):
+            x, y, d = tlsh.nearest(rows(a), rows(b), threshold, k, left.column("before").to_numpy(), right.column("since").to_numpy())
+        return pa.table({"p": a.take(pa.array(x)), "before": left.column("before").take(pa.array(x)), "e": b.take(pa.array(y)), "distance": pa.array(d, pa.int32())})
+
+    n = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # little data, much work: not merged
+    by = lambda frame: frame.repartition(n, "lv", "i", "j").groupBy("lv", "i", "j")
+    found = by(p).cogroup(by(e)).applyInArrow(run, "p binary, before bigint, e binary, distance int")
+    return found.select(F.hex("p").alias("tlsh"), "before", F.hex("e").alias("e_tlsh"), "distance")
+
+
+def _digests(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("tlsh").rlike("^[0-9A-F]{70}$"))
+
+
+def _entries(library: DataFrame) -> DataFrame:
+    return library.select(*[F.col(c).alias(f"e_{c}") for c in library.columns])
+
+
 def tlsh_join(probes: DataFrame, library: DataFrame, threshold: int = 40) -> DataFrame:
     """All pairs within the distance, with it; equal digests are left out."""
-    pairs = tlsh_candidates(probes, library, threshold).withColumn("distance", tlsh.fast_distance(F.col("tlsh"), F.col("e_tlsh")))
-    return pairs.where(F.col("distance") <= threshold)
+    each = lambda rows, name: _digests(rows).select("tlsh", F.lit(int(name == "before")).cast("bigint").alias(name)).distinct()
+    pairs = _tlsh_pairs(each(probes, "before"), each(library, "since"), threshold).drop("before")
+    return probes.join(pairs, "tlsh").join(_entries(library), "e_tlsh")
 
 
-def top(pairs: DataFrame, probe: str, order: list[Column], k: int) -> DataFrame:
+def top(pairs: DataFrame, probe: str | list[str], order: list[Column], k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(probe).orderBy(*order))).where(F.col("rank") <= k)
 
 
 def tlsh_top(probes: DataFrame, library: DataFrame, probe: str, threshold: int = 40, k: int = 10) -> DataFrame:
-    """The k closest entries of each probe; ties by digest."""
-    return top(tlsh_join(probes, library, threshold), probe, [F.col("distance"), F.col("e_tlsh")], k)
+    """The k closest entries of each probe; ties by digest, those of equal digests by the entry's other columns.
+
+    Equal digests have the same neighbours and are compared once; of the entries
+    of one digest the first k can be told.
+    """
+    ties = sorted((c for c in library.columns if c != "tlsh"), key=lambda c: c != "seq")
+    each = lambda rows, name: _digests(rows).select("tlsh", F.lit(int(name == "before")).cast("bigint").alias(name)).distinct()
+    pairs = _tlsh_pairs(each(probes, "before"), each(library, "since"), threshold, k).drop("before")
+    pairs = top(pairs, "tlsh", [F.col("distance"), F.col("e_tlsh")], k).drop("rank")
+    first = top(library, "tlsh", [F.col(c) for c in ties], k).drop("rank") if ties else library
+    ranked = top(pairs.join(_entries(first), "e_tlsh"), "tlsh", [F.col("distance"), F.col("e_tlsh"), *[F.col(f"e_{c}") for c in ties]], k)
+    return probes.join(ranked, "tlsh")
 
 
 def tlsh_replay(arrivals: DataFrame, library: DataFrame, probe: str, threshold: int = 40, k: int = 10) -> DataFrame:
-    """As :func:`tlsh_top`, but an arrival sees only entries with a smaller ``seq``."""
-    pairs = tlsh_candidates(arrivals, library, threshold).where(F.col("e_seq") < F.col("seq"))
-    pairs = pairs.withColumn("distance", tlsh.fast_distance(F.col("tlsh"), F.col("e_tlsh"))).where(F.col("distance") <= threshold)
-    return top(pairs, probe, [F.col("distance"), F.col("e_tlsh")], k)
+    """As :func:`tlsh_top`, but an arrival sees only entries with a smaller ``seq``; ties by digest, then ``seq``."""
+    before, since = _digests(arrivals).select("tlsh", F.col("seq").alias("before")).distinct(), _digests(library).groupBy("tlsh").agg(F.min("seq").alias("since"))
+    pairs = _tlsh_pairs(before, since, threshold, k).withColumnRenamed("before", "seq")
+    pairs = top(pairs, ["tlsh", "seq"], [F.col("distance"), F.col("e_tlsh")], k).drop("rank")
+    first = top(library, "tlsh", [F.col("seq")], k).drop("rank")  # the earliest are seen first
+    seen = pairs.join(_entries(first), "e_tlsh").where(F.col("e_seq") < F.col("seq"))
+    ranked = top(seen, ["tlsh", "seq"], [F.col("distance"), F.col("e_tlsh"), F.col("e_seq")], k)
+    return arrivals.join(ranked, ["tlsh", "seq"])
 
 
 def probe_grams(probes: DataFrame) -> DataFrame:

@@ -310,13 +310,13 @@ def tlsh_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_DOCS}, {_TLSH}, {_HEADER}, {_PAIRS} SELECT doc_id, e AS entry_tlsh, distance FROM pairs WHERE distance <= 40 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, e) <= 10")
 def tlsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tlsh(_docs(spark, sf_dir)).select("doc_id", "tlsh")
+    t = written(_tlsh(_docs(spark, sf_dir)).select("doc_id", "tlsh"))
     return similarity.tlsh_top(t, t, "doc_id").select("doc_id", F.col("e_tlsh").alias("entry_tlsh"), "distance")
 
 
 @query(f"WITH {_DOCS}, {_TLSH}, {_HEADER}, {_PAIRS} SELECT doc_id, entry, distance FROM pairs WHERE entry < doc_id AND distance <= 100 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, e, entry) <= 1000".replace("<= 3 AND", "<= 8 AND").replace("<= 4 AND", "<= 9 AND"))
 def library_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tlsh(_docs(spark, sf_dir)).select("doc_id", "tlsh", F.col("doc_id").alias("seq"))
+    t = written(_tlsh(_docs(spark, sf_dir)).select("doc_id", "tlsh", F.col("doc_id").alias("seq")))
     return similarity.tlsh_replay(t, t, "doc_id", 100, 1000).select("doc_id", F.col("e_doc_id").alias("entry"), "distance")
 
 

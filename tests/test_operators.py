@@ -102,6 +102,26 @@ def test_pruned_search_equals_brute_force(spark):
         assert got == want, t
 
 
+def test_nearest_digests_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "PROBES", 20)
+    monkeypatch.setattr(similarity, "ENTRIES", 7)
+    monkeypatch.setattr(tlsh, "_BLOCK", 16)
+    rng = np.random.default_rng(1)
+    base = rng.bytes(35)
+    forms = [(base[:3] + bytes(x ^ int(rng.integers(0, 2)) for x in base[3:])).hex().upper() for _ in range(25)]
+    rows = [(int(i), forms[int(rng.integers(0, 25))]) for i in rng.permutation(80)] + [(80, "X"), (81, None)]
+    df = spark.createDataFrame(rows, "id long, tlsh string").withColumn("seq", F.col("id"))
+    raw = lambda x: np.frombuffer(bytes.fromhex(x), np.uint8)[None]
+    far = {(a, b): int(tlsh.distances(raw(a), raw(b))[0]) for a in forms for b in forms}
+    for search, seen in ((similarity.tlsh_top, lambda i, j: True), (similarity.tlsh_replay, lambda i, j: j < i)):
+        got = {(r.id, r["rank"]): (r.distance, r.e_tlsh, r.e_id) for r in search(df, df, "id", 40, 9).collect()}
+        want = {}
+        for i, a in rows[:80]:
+            best = sorted((far[a, b], b, j) for j, b in rows[:80] if b != a and far[a, b] <= 40 and seen(i, j))[:9]
+            want |= {(i, n): x for n, x in enumerate(best, 1)}
+        assert got == want and any(x[0] <= 40 for x in want.values())
+
+
 def test_piecewise_search(spark):
     rng = np.random.default_rng(3)
     base = rng.bytes(4000)
