@@ -122,6 +122,14 @@ def test_nearest_digests_of_copies(spark, monkeypatch):
         assert got == want and any(x[0] <= 40 for x in want.values())
 
 
+def test_search_forms_no_pair_of_rows(spark, tmp_path):
+    """Distances are told within blocks: no join's output grows with the square of the rows."""
+    spark.createDataFrame([(i, f"text {i}") for i in range(10)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for search in (queries.library_replay, queries.tlsh_search, queries.tlsh_topk):
+        plan = search(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "fast_distance" not in plan
+
+
 def test_piecewise_search(spark):
     rng = np.random.default_rng(3)
     base = rng.bytes(4000)
