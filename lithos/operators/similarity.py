@@ -138,18 +138,45 @@ def gram_rarity(library: DataFrame) -> DataFrame:
     return entry_grams(library).groupBy("blocksize", "gram").agg(F.count("*").alias("entries"))
 
 
-def ssdeep_candidates(probes: DataFrame, library: DataFrame, probe: str, entry: str, size: str = "size") -> DataFrame:
-    """Pairs that share a gram at fitting block sizes and whose sizes fit, once each.
+def _gram_places(digests: DataFrame, sides: Column) -> DataFrame:
+    """(key, blocksize, gram, prev) of every place of a 7-gram; ``prev`` is the character before it, empty at the start.
+
+    ``sides`` is an array of (b, h): parts of the hash, and the block size under which they are met.
+    """
+    rows = digests.select("key", F.explode(F.filter(sides, lambda x: x["b"] > 0)).alias("x")).select("key", F.col("x.b").alias("blocksize"), ctph.strip_runs(F.col("x.h")).alias("h"))
+    rows = rows.where((F.length("h") >= ctph.WINDOW) & F.col("h").rlike("^[A-Za-z0-9+/]+$"))
+    rows = rows.select("key", "blocksize", "h", F.explode(F.sequence(F.lit(1), F.length("h") - ctph.WINDOW + 1)).alias("i"))
+    return rows.select("key", "blocksize", F.substring("h", F.col("i"), F.lit(ctph.WINDOW)).alias("gram"), F.when(F.col("i") > 1, F.substring("h", F.col("i") - 1, F.lit(1))).otherwise("").alias("prev"))
+
+
+def _ssdeep_pairs(probes: DataFrame, library: DataFrame, probe: str, entry: str, size: str) -> DataFrame:
+    """(ssdeep, e_ssdeep): pairs of differing digests that share a gram at fitting block sizes, once each; sizes of some rows fit.
 
-    Only keys travel with the grams: the digests are joined back afterwards, so
-    the shuffles on grams stay narrow, and a hot gram is a skewed join that
-    Spark splits.
+    Equal digests are one row here.  A shared run of characters gives a pair
+    where it begins and nowhere else: with the same character before both
+    places the grams one place earlier are shared too.  Only keys travel with
+    the grams; the digests are joined back afterwards.
     """
-    p = probe_grams(probes.select(probe, "ssdeep")).select(probe, "blocksize", "gram")
-    e = entry_grams(library.select(entry, "ssdeep")).select(F.col(f"e_{entry}"), "blocksize", "gram")
-    pairs = p.join(e, ["blocksize", "gram"]).select(probe, f"e_{entry}").distinct()
-    full = pairs.join(probes, probe).join(library.select(*[F.col(c).alias(f"e_{c}") for c in library.columns]), f"e_{entry}")
-    return full.where((F.col("ssdeep") != F.col("e_ssdeep")) & size_band(F.col(f"e_{size}"), F.col(size)))
+    classes = lambda rows, key: rows.where("ssdeep IS NOT NULL").groupBy("ssdeep").agg(F.min(key).alias("key"), F.min(size).alias("least"), F.max(size).alias("most"), F.max(F.col(size).isNull()).alias("open"))
+    p, e = classes(probes, probe), classes(library, entry)
+    b, one, two = ctph.block_size(F.col("ssdeep")), ctph.part(F.col("ssdeep"), 1), ctph.part(F.col("ssdeep"), 2)
+    side = lambda at, part: F.struct(at.cast("bigint").alias("b"), part.alias("h"))
+    left = _gram_places(p, F.array(side(b, one), side(b, two), side(F.floor(b / 2), one), side(b * 2, two)))
+    right = _gram_places(e, F.array(side(b, one), side(b, two))).select(F.col("key").alias("e_key"), "blocksize", "gram", F.col("prev").alias("e_prev"))
+    met = left.join(right, ["blocksize", "gram"]).where((F.col("prev") == "") | (F.col("prev") != F.col("e_prev"))).select("key", "e_key").distinct()
+    full = met.join(p, "key").join(e.select(*[F.col(c).alias(f"e_{c}") for c in e.columns]), "e_key")
+    sizes = F.col("open") | F.col("e_open") | (F.col("least") <= 0) | ((F.col("e_most") >= F.floor(F.col("least") / 2)) & (F.col("e_least") <= F.col("most") * 2))
+    return full.where((F.col("ssdeep") != F.col("e_ssdeep")) & sizes).select("ssdeep", "e_ssdeep")
+
+
+def _with_rows(pairs: DataFrame, probes: DataFrame, library: DataFrame, size: str) -> DataFrame:
+    """The rows of both digests of each pair, where sizes fit."""
+    return pairs.join(probes, "ssdeep").join(_entries(library), "e_ssdeep").where(size_band(F.col(f"e_{size}"), F.col(size)))
+
+
+def ssdeep_candidates(probes: DataFrame, library: DataFrame, probe: str, entry: str, size: str = "size") -> DataFrame:
+    """Pairs that share a gram at fitting block sizes and whose sizes fit, once each."""
+    return _with_rows(_ssdeep_pairs(probes, library, probe, entry, size), probes, library, size)
 
 
 def ssdeep_without_grams(probes: DataFrame, library: DataFrame, size: str = "size") -> DataFrame:
@@ -163,5 +190,6 @@ def ssdeep_without_grams(probes: DataFrame, library: DataFrame, size: str = "siz
 
 def ssdeep_top(probes: DataFrame, library: DataFrame, probe: str, entry: str, threshold: int = 50, k: int = 5) -> DataFrame:
     """The k entries that score highest with each probe; ties by digest."""
-    pairs = ssdeep_candidates(probes, library, probe, entry).withColumn("score", ctph.score_column(F.col("ssdeep"), F.col("e_ssdeep")))
-    return top(pairs.where(F.col("score") >= threshold), probe, [F.desc("score"), F.col("e_ssdeep")], k)
+    pairs = _ssdeep_pairs(probes, library, probe, entry, "size").withColumn("score", ctph.score_column(F.col("ssdeep"), F.col("e_ssdeep")))
+    rows = _with_rows(pairs.where(F.col("score") >= threshold), probes, library, "size")
+    return top(rows, probe, [F.desc("score"), F.col("e_ssdeep"), F.col(f"e_{entry}")], k)

@@ -142,6 +142,28 @@ def test_piecewise_search(spark):
     assert {(r.id, r.e_id) for r in similarity.ssdeep_without_grams(short, short).collect()} == {(1, 2), (1, 3), (3, 1), (3, 2)}
 
 
+def test_piecewise_candidates_equal_shared_grams(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("ABab"), n))
+    parts = [word(int(n)) for n in rng.integers(5, 13, 8)]
+    some = lambda: "".join(parts[int(i)] for i in rng.integers(0, 8, 2))
+    rows = [(i, int(rng.integers(1, 400)) if i % 9 else None, f"{3 * 2 ** int(rng.integers(0, 3))}:{some()}:{some()}") for i in range(120)]
+    rows += [(1000 + i, n, s) for i, n, s in rows[:30]] + [(2000, 5, None), (2001, 5, "3:a!bcdefgh:abcdefg"), (2002, 5, "x:ABABABAB:ABABABAB")]
+    df = spark.createDataFrame(rows, "id long, size long, ssdeep string")
+    by_gram = similarity.probe_grams(df.select("id", "ssdeep")).select("id", "blocksize", "gram").join(similarity.entry_grams(df.select("id", "ssdeep")), ["blocksize", "gram"]).select("id", "e_id").distinct()
+    met = {(r.id, r.e_id) for r in by_gram.collect()}
+    of = {i: (n, s) for i, n, s in rows}
+    fit = lambda n, m: (n or 0) <= 0 or m is None or n // 2 <= m <= n * 2
+    want = {(i, j) for i, j in met if of[i][1] != of[j][1] and fit(of[i][0], of[j][0])}
+    got = [(r.id, r.e_id) for r in similarity.ssdeep_candidates(df, df, "id", "id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    # copies meet as one digest, and are told apart only afterwards
+    a, b = "3:ABCDEFGHIJKLMNOPQRST:x", "3:ABCDEFGHIJKLMNOPQRSTz:x"
+    copies = spark.createDataFrame([(i, 5, (a, b)[i % 2]) for i in range(40)], "id long, size long, ssdeep string")
+    assert {tuple(r) for r in similarity._ssdeep_pairs(copies, copies, "id", "id", "size").collect()} == {(a, b), (b, a)}
+    assert similarity._ssdeep_pairs(copies, copies, "id", "id", "size").count() == 2 and similarity.ssdeep_candidates(copies, copies, "id", "id").count() == 800
+
+
 def fold(times, window, limit):
     kept, out = [], []
     for t in times:
