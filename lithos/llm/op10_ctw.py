@@ -8,14 +8,17 @@ with the corpus; the counts of shorter contexts are its sums.  A text's
 probability includes its end, marked by byte 0xFF, which UTF-8 never uses; the
 same byte stands before the start.
 
-The tree that scores holds the ``contexts`` most frequent contexts.  A count is
-never lost by that: the contexts that a node does not keep are one child of
-it, with the sum of their counts, so a deeper node is merged with its rare
-siblings and not cut off.  A bit that such a child has not met is told by the
-deepest node that has.  At most 2**25 counts reach the driver and at most
-80 MB the workers, however large the corpus.  The base score is a smoothed
-word unigram: the ``head`` most frequent words are looked up in the workers,
-all others by a join.
+Every context counts for itself, however many there are.  Contexts that end in
+the same two bytes stand in one task, which weighs their subtrees; what is above
+(65,792 contexts at most) is weighed from their sums.  The probabilities of the
+``hot`` most frequent windows are looked up in the workers; those of all other
+windows of a text, windows that training never met among them, come by a join.
+A bit that a context has not met is told by the longest one that has.  With
+``contexts`` given, a tree of as many contexts scores instead, in one process
+and for estimates only: the contexts that a node does not keep are one child of
+it there, with the sum of their counts.  The base score is a smoothed word
+unigram: the ``head`` most frequent words are looked up in the workers, all
+others by a join.
 
 Defined cases: null text is empty (one end token); an empty training set gives
 even odds; rows that agree in id and text get the same scores; other columns
@@ -26,7 +29,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -34,16 +37,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, text_of
+from .common import cut, text_of
 
 END = 0xFF
-DEPTH, CONTEXTS, STEP = 5, (1 << 16) - 1, 2000
-HEAD = 1 << 17
+DEPTH, STEP = 5, 2000
+#: Contexts of a merged tree; None: all contexts, each for itself.
+CONTEXTS = None
+#: Words and windows that the workers look up; the others are joined.
+HEAD, HOT = 1 << 17, 1 << 20
 #: Codes and words that a worker gathers before it hands them on.
 FLUSH_CODES, FLUSH_WORDS = 1 << 22, 1 << 18
 _LOG2, _LOG10_2 = math.log(2), math.log10(2)
 #: Contexts handled together when the tree is weighed.
 _CHUNK = 2048
+#: Rows of a batch of windows that a task hands on.
+_WIDE = 1 << 16
 #: Bytes of a packed tree in one row.
 _PIECE = 1 << 22
 
@@ -137,26 +145,250 @@ class Tree(NamedTuple):
 
     def scores(self, texts: list[str | None], most: int = 1 << 20) -> list[float]:
         """log10 probability of each text and its end; short texts are looked up together."""
-        out, some, size = [0] * len(texts), [], 0
-
-        def look() -> None:
-            code = np.concatenate([c for _, c in some])
-            starts = np.concatenate([[0], np.cumsum([len(c) for _, c in some])[:-1]])
-            found = np.add.reduceat(self.table[self.rows(code), code & 255].astype(np.int64), starts)
-            for (i, _), x in zip(some, found.tolist(), strict=True):
-                out[i] += x
-            some.clear()
-
-        for i, text in enumerate(texts):
-            for code in windows(text, self.depth, most):
-                if some and size + len(code) > most:
-                    look()
-                    size = 0
-                some.append((i, code))
-                size += len(code)
-        if some:
-            look()
-        return [-x / STEP for x in out]
+        out = np.zeros(len(texts), np.int64)
+        for of, starts, code in _together(texts, self.depth, most):
+            np.add.at(out, of, np.add.reduceat(self.table[self.rows(code), code & 255].astype(np.int64), starts))
+        return (-out / STEP).tolist()
+
+
+def _together(texts: list[str | None], depth: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, where it starts, codes) of several texts at once, of about ``most`` codes."""
+    some, size = [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts = np.cumsum([0, *(len(c) for _, c in some[:-1])])
+        return np.array([i for i, _ in some]), starts, np.concatenate([c for _, c in some])
+
+    for i, text in enumerate(texts):
+        for code in windows(text, depth, most):
+            if some and size + len(code) > most:
+                yield joined()
+                some, size = [], 0
+            some.append((i, code))
+            size += len(code)
+    if some:
+        yield joined()
+
+
+class Known:
+    """The log10 probabilities of some windows, found by their codes; ``top`` has what the two shortest depths tell.
+
+    Codes that share a slot of a table go on to the next, smaller one.
+    """
+
+    def __init__(self, depth: int, code: np.ndarray, value: np.ndarray, top: np.ndarray):
+        self.depth, self.code, self.value, self.top = depth, code, value, top
+        self._tables: list | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_tables": None}  # each worker makes its own
+
+    def tables(self) -> list[tuple[np.uint64, np.uint64, np.ndarray, np.ndarray]]:
+        if self._tables is None:
+            made, code, value, factor = [], self.code, self.value, 0x9E3779B97F4A7C15
+            while len(code):
+                shift = np.uint64(64 - max(4, len(code).bit_length()))
+                slot = code.view(np.uint64) * np.uint64(factor) >> shift
+                keys, values = np.full(1 << 64 - int(shift), -1, np.int64), np.zeros(1 << 64 - int(shift))
+                keys[slot], values[slot] = code, value  # the last of a slot stays
+                made.append((np.uint64(factor), shift, keys, values))
+                left = keys[slot] != code
+                code, value, factor = code[left], value[left], factor * 0xD1342543DE82EF95 % 2**64 | 1
+            self._tables = made
+        return self._tables
+
+    def look(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each code, 0 for those that are not here; and the places of these."""
+        out, at = np.zeros(len(code)), None
+        for factor, shift, keys, values in self.tables():
+            here = code if at is None else code[at]
+            slot = here.view(np.uint64) * factor >> shift
+            got = keys[slot] == here
+            if at is None:
+                out = values[slot]
+                out[~got] = 0
+                at = np.flatnonzero(~got)
+            else:
+                out[at[got]] = values[slot[got]]
+                at = at[~got]
+            if not len(at):
+                break
+        return out, np.arange(len(code)) if at is None else at
+
+    def sums(self, texts: list[str | None], most: int = 1 << 20) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """The known windows' part of each text's log10 probability; (text, code, how often) of the others."""
+        out, rest = np.zeros(len(texts)), []
+        for of, starts, code in _together(texts, self.depth, most):
+            value, gone = self.look(code)
+            np.add.at(out, of, np.add.reduceat(value, starts))
+            if len(gone):
+                owner, code = of[np.searchsorted(starts, gone, "right") - 1], code[gone]
+                order = np.lexsort([code, owner])
+                owner, code = owner[order], code[order]
+                first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])]))
+                rest.append((owner[first], code[first], np.diff(first, append=len(code))))
+        return out, rest
+
+    def scores(self, texts: list[str | None], most: int = 1 << 20) -> list[float]:
+        """The known windows' part of each text's log10 probability."""
+        return self.sums(texts, most)[0].tolist()
+
+    def score(self, text: str | None) -> float:
+        return self.scores([text])[0]
+
+
+_FEW = 1 << 12
+_AT_HALF: list[np.ndarray] = []
+
+
+def _log_kt_of(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """As :func:`_log_kt`, for whole counts; those under ``_FEW`` from tables."""
+    if not _AT_HALF:
+        _AT_HALF.extend((_lgamma(np.arange(_FEW) + 0.5), _lgamma(np.arange(_FEW) + 1.0)))
+
+    def of(n: np.ndarray, table: np.ndarray, more: float) -> np.ndarray:
+        out = table[np.minimum(n, _FEW - 1)]
+        big = np.flatnonzero(n >= _FEW)
+        out[big] = _lgamma(n[big] + more)
+        return out
+
+    half, one = _AT_HALF
+    return of(zeros, half, 0.5) + of(ones, half, 0.5) - of(zeros + ones, one, 1.0) - math.log(math.pi)
+
+
+class _Forest:
+    """The contexts of two bytes and more over some windows, all that share their last two bytes among them.
+
+    ``keys[d]`` are the distinct (context of d bytes, last byte first; next byte)
+    in order, ``counts[d]`` how often training met them, ``up[d]`` the place of
+    the one that is a byte shorter.
+    """
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, depth: int):
+        key = np.zeros(len(code), np.int64)
+        for i in range(1, depth + 1):
+            key = key << 8 | code >> 8 * i & 255
+        self.depth = depth
+        key, self.first, self.place = np.unique(key << 8 | code & 255, return_index=True, return_inverse=True)
+        self.keys, self.up = {depth: key}, {}
+        self.counts = {depth: np.bincount(self.place, n, len(key)).astype(np.int64)}
+        for d in range(depth - 1, 1, -1):
+            longer = self.keys[d + 1]
+            self.keys[d], self.up[d + 1] = np.unique(longer >> 16 << 8 | longer & 255, return_inverse=True)
+            self.counts[d] = np.bincount(self.up[d + 1], self.counts[d + 1], len(self.keys[d])).astype(np.int64)
+
+    def bit(self, level: int) -> tuple[dict, dict, dict, dict, dict]:
+        """Of the nodes of a bit, by depth: the node of each key, a key of each node, (met, odds of a one), log weighted probability, weight of the own estimate."""
+        node, start, told, weighted, own = {}, {}, {}, {}, {}
+        for d in range(self.depth, 1, -1):
+            key = self.keys[d]
+            prefix = key >> 8 - level
+            new = np.concatenate([[True], prefix[1:] != prefix[:-1]])
+            start[d], node[d] = np.flatnonzero(new), np.cumsum(new) - 1
+            total = np.add.reduceat(self.counts[d], start[d])
+            ones = np.add.reduceat(np.where(key >> 7 - level & 1, self.counts[d], 0), start[d])
+            told[d] = total > 0, (ones + 0.5) / (total + 1)
+            log = _log_kt_of(total - ones, ones)
+            if d == self.depth:
+                weighted[d], own[d] = log, np.ones(len(log))
+                continue
+            parent = node[d][self.up[d + 1][start[d + 1]]]
+            weighted[d] = np.logaddexp(log, np.bincount(parent, weighted[d + 1], len(log))) - _LOG2
+            own[d] = np.exp(log - weighted[d] - _LOG2)
+        return node, start, told, weighted, own
+
+    def below(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(last byte * 256 + node, log weighted probability) of each context of two bytes."""
+        _, start, _, weighted, _ = self.bit(level)
+        return self._place(start, level), weighted[2]
+
+    def _place(self, start: dict, level: int) -> np.ndarray:
+        key = self.keys[2][start[2]]
+        return (key >> 16) * 256 + (1 << level) + ((key & 255) >> 8 - level)
+
+    def log10(self, top: np.ndarray) -> np.ndarray:
+        """The log10 probability of each window; ``top`` is that of :func:`_top`."""
+        out = np.zeros(len(self.keys[self.depth]))
+        for level in range(8):
+            node, start, told, _, own = self.bit(level)
+            sure, free, odds = top[:, self._place(start, level)]
+            for d in range(2, self.depth + 1):
+                if d > 2:
+                    parent = node[d - 1][self.up[d][start[d]]]
+                    sure, free, odds = sure[parent], free[parent], odds[parent]
+                met, p = told[d]
+                sure = np.where(met, sure + free * own[d] * p, sure)
+                free = np.where(met, free * (1 - own[d]), free)
+                odds = np.where(met, p, odds)
+            one = (sure + free * odds)[node[self.depth]]
+            out += np.log10(np.where(self.keys[self.depth] >> 7 - level & 1, one, 1 - one))
+        return out
+
+
+def _top(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """What contexts of no and of one byte tell of a one: sure share, weight left, odds of the longest that met the node.
+
+    ``counts`` are by (byte before, byte), ``below`` by (byte before, node): the
+    logs of the weighted probabilities of the contexts of two bytes.  The result
+    is three rows over byte before * 256 + node.
+    """
+    sure, free, odds = np.zeros((256, 255)), np.ones((256, 255)), np.full((256, 255), 0.5)
+    log, p, met = _estimates(counts)
+    weighted = np.where(met, np.logaddexp(log, below[:, 1:]) - _LOG2, 0)
+    log0, p0, met0 = _estimates(counts.sum(axis=0, keepdims=True))
+    weighted0 = np.logaddexp(log0, weighted.sum(axis=0, keepdims=True)) - _LOG2
+    for m, lo, w, q in ((met0, log0, weighted0, p0), (met, log, weighted, p)):
+        own = np.where(m, np.exp(np.where(m, lo - w, 0) - _LOG2), 0)
+        sure, free, odds = sure + free * own * q, free * (1 - own), np.where(m, q, odds)
+    out = np.zeros((3, 256, 256))
+    out[:, :, 1:] = sure, free, odds
+    return out.reshape(3, -1)
+
+
+def _forests(rows: DataFrame, depth: int, made: Callable[[_Forest, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``made`` of the windows of each task; ``rows`` start with (code, n) and are dealt by the last two bytes of their contexts."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(some, some[0].schema) if (some := [b for b in batches if b.num_rows]) else None
+        if table is not None:
+            yield from made(_Forest(table["code"].to_numpy(), table["n"].to_numpy(), depth), table)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # little data, much work: not merged
+    dealt = rows.repartition(n, F.expr("shiftright(code, 8) & 65535")).select(*names)
+    return dealt.mapInArrow(run, schema)
+
+
+def _weighed(codes: DataFrame, depth: int) -> np.ndarray:
+    """:func:`_top` of all windows; 131,072 sums at most reach the driver."""
+
+    def made(forest: _Forest, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key = forest.keys[2]
+        sums = np.zeros((2, 1 << 16))
+        sums[0] = np.bincount((key >> 16) * 256 + (key & 255), forest.counts[2], 1 << 16)
+        for level in range(8):
+            sums[1] += np.bincount(*forest.below(level), 1 << 16)
+        kind, at = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(at), pa.array(sums[kind, at])], ["kind", "at", "x"])
+
+    got = _forests(codes.select("code", "n"), depth, made, "kind bigint, at bigint, x double").groupBy("kind", "at").agg(F.sum("x").alias("x")).toArrow()
+    sums = np.zeros((2, 1 << 16))
+    sums[got["kind"].to_numpy(), got["at"].to_numpy()] = got["x"].to_numpy()
+    return _top(*sums.reshape(2, 256, 256))
+
+
+def _log10_of(codes: DataFrame, depth: int, top: np.ndarray) -> DataFrame:
+    """(code, p): the log10 probability of each window of (code, n, want) that is wanted; a code's counts are added up."""
+    sent = codes.sparkSession.sparkContext.broadcast(top)  # 1.5 MB
+
+    def made(forest: _Forest, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        p, want = forest.log10(sent.value), np.zeros(len(forest.first), bool)
+        want[forest.place[table["want"].to_numpy()]] = True
+        code, p = table["code"].to_numpy()[forest.first[want]], p[want]
+        for i in range(0, len(code), _WIDE):
+            yield pa.RecordBatch.from_arrays([pa.array(code[i : i + _WIDE]), pa.array(p[i : i + _WIDE])], ["code", "p"])
+
+    return _forests(codes.select("code", "n", "want"), depth, made, "code bigint, p double")
 
 
 def build(levels: list[tuple[np.ndarray, np.ndarray]], depth: int) -> Tree:
@@ -266,18 +498,19 @@ def _count(texts: DataFrame, depth: int) -> DataFrame:
 
 
 class Model(NamedTuple):
-    tree: Tree
+    tree: Tree | Known
     words: DataFrame  # (word, n)
     head: dict[bytes, int]
     train_tokens: int
     train_words: int
+    codes: DataFrame  # (code, n)
 
     def log10(self, n: int) -> float:
         return math.log10((n + 0.1) / (self.train_tokens + 0.1 * (self.train_words + 1)))
 
 
-def _frequent(counted: DataFrame, most: int) -> DataFrame:
-    """The rows of the greatest ``n``, ``most`` at most: those above a count that a histogram of counts gives.
+def _least(counted: DataFrame, most: int) -> Column:
+    """Whether a row is of the greatest ``n``, ``most`` at most: those above a count that a histogram of counts gives.
 
     Counts are kept to their ten leading bits there, so it has few rows, and no
     task merges the candidates of all others.
@@ -290,7 +523,12 @@ def _frequent(counted: DataFrame, most: int) -> DataFrame:
         if total > most:
             break
         least = row["least"]
-    return counted.where(F.lit(False) if least is None else F.col("n") >= least)
+    return F.lit(False) if least is None else F.col("n") >= least
+
+
+def _frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The rows of the greatest ``n``, ``most`` at most."""
+    return counted.where(_least(counted, most))
 
 
 def _tree(codes: DataFrame, depth: int, contexts: int) -> Tree:
@@ -331,70 +569,86 @@ def _tree(codes: DataFrame, depth: int, contexts: int) -> Tree:
     return Tree(depth, **part)
 
 
-def fit(texts: DataFrame, head: int = HEAD, depth: int = DEPTH, contexts: int = CONTEXTS) -> Model:
-    """Learns from all rows of the one text column of ``texts``; ``depth`` is 2 to 6, ``contexts`` below 2**16."""
+def _known(codes: DataFrame, depth: int, hot: int) -> Known:
+    top = _weighed(codes, depth)
+    got = _log10_of(codes.select("code", "n", _least(codes, hot).alias("want")), depth, top).toArrow().combine_chunks()
+    return Known(depth, got["code"].to_numpy(), got["p"].to_numpy(), top)
+
+
+def fit(texts: DataFrame, head: int = HEAD, depth: int = DEPTH, contexts: int | None = CONTEXTS, hot: int = HOT) -> Model:
+    """Learns from all rows of the one text column of ``texts``; ``depth`` is 2 to 6.
+
+    ``contexts``, below 2**16, asks for a merged tree of as many contexts.
+    ``head`` and ``hot`` only say which words and windows are joined.
+    """
     counts = cut(_count(texts, depth), "ctw")
-    words = counts.where("word IS NOT NULL").select("word", "n")
-    tree = _tree(counts.where("code IS NOT NULL").select("code", "n"), depth, contexts)
+    words, codes = counts.where("word IS NOT NULL").select("word", "n"), counts.where("code IS NOT NULL").select("code", "n")
+    tree = _known(codes, depth, hot) if contexts is None else _tree(codes, depth, contexts)
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = _frequent(words, head).toArrow()
-    return Model(tree, words, dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True)), total, distinct)
+    return Model(tree, words, dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True)), total, distinct, codes)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
     """(id, the kept columns, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row.
 
-    ``bits_per_byte`` is the code length of the text and its end by the bytes of both.
+    ``bits_per_byte`` is the code length of the text and its end by the bytes of
+    both.  Texts are read once: their words and windows that are not looked up
+    are written beside what is, each under a number of its row.
     """
     context = docs.sparkSession.sparkContext
     tree = context.broadcast(model.tree)  # 45 MB at most
     head = context.broadcast({w: (n, model.log10(n)) for w, n in model.head.items()})
-    keys, text = row_key(id_col, text_col), text_of(text_col).alias("_text")
-    rows = docs.select(F.col(id_col), *keep, *keys, text)
+    rows = docs.select(F.col(id_col), *keep, F.monotonically_increasing_id().alias("_row"), text_of(text_col).alias("_text"))
     kept = rows.columns[:-1]
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    own = {"n_tokens": pa.int64(), "_head": pa.int64(), "_base": pa.float64(), "_score": pa.float64(), "_size": pa.int64()}
+    tail = {"word": pa.binary(), "code": pa.int64(), "tf": pa.int64()}
+    names = [*kept, *own, *tail]
 
-    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, model_ = head.value, tree.value
         for batch in batches:
-            out, texts = [], batch.column(len(kept)).to_pylist()
-            for t, p in zip(texts, model_.scores(texts), strict=True):
-                n = Counter(tokens(t))
-                got = [(c, known[w]) for w, c in n.items() if w in known]
-                here = sum(c for c, _ in got)
-                out.append((n.total(), here, n.total() - here, math.fsum(c * p for c, (_, p) in got), p, -p / _LOG10_2 / (len(t.encode()) + 1)))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*kept, "n_tokens", "_head", "_tail", "_base", "score", "bits_per_byte"])
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.value
-        for batch in batches:
-            at, words, counts = [], [], []
-            for i, t in enumerate(batch.column(2).to_pylist()):
-                for w, c in Counter(tokens(t)).items():
-                    if w not in known:
+            texts, out, at, words, counts = batch.column(len(kept)).to_pylist(), [], [], [], []
+            sums, others = model_.sums(texts) if isinstance(model_, Known) else (model_.scores(texts), [])
+            for i, (t, p) in enumerate(zip(texts, sums, strict=True)):
+                n, here, base = Counter(tokens(t)), 0, []
+                for w, c in n.items():
+                    if (got := known.get(w)) is None:
                         at.append(i)
                         words.append(w)
                         counts.append(c)
-            where = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), batch.column(0).take(where), batch.column(1).take(where), pa.array(counts, pa.int64())], ["word", "_k1", "_k2", "tf"])
-
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    first = rows.mapInArrow(direct, ", ".join([*(f"`{c}` {types[c]}" for c in kept), "n_tokens bigint, _head bigint, _tail bigint, _base double, score double, bits_per_byte double"]))
-    tail = docs.select(*keys, text).mapInArrow(rest, "word binary, _k1 string, _k2 bigint, tf bigint")
+                    else:
+                        here += c
+                        base.append(c * got[1])
+                out.append((n.total(), here, math.fsum(base), p, len(t.encode()) + 1))
+            cols = list(zip(*out, strict=True)) or [[]] * len(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, k) for c, k in zip(cols, own.values(), strict=True)), *(pa.nulls(len(out), k) for k in tail.values())], names)
+            for where, word, code, tf in [(at, words, None, counts), *((i, None, c, n) for i, c, n in others)]:
+                size = len(tf)
+                row = batch.column(len(kept) - 1).take(pa.array(where, pa.int64()))
+                part = [pa.nulls(size, pa.binary()) if word is None else pa.array(word, pa.binary()), pa.nulls(size, pa.int64()) if code is None else pa.array(code), pa.array(tf, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(size, c.type) for c in batch.columns[:-2]), row, *(pa.nulls(size, k) for k in own.values()), *part], names)
+
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "n_tokens bigint, _head bigint, _base double, _score double, _size bigint, word binary, code bigint, tf bigint"])
+    made = cut(rows.mapInArrow(run, schema), "scored")
     size = F.lit(model.train_tokens + 0.1 * (model.train_words + 1))
-    seen = F.coalesce(F.col("n"), F.lit(0))
-    sums = tail.join(model.words, "word", "left").groupBy("_k1", "_k2").agg(
-        F.sum("tf").alias("_tf"), F.sum(F.when(seen > 0, F.col("tf")).otherwise(0)).alias("_known"), F.sum(F.col("tf") * F.log10((seen + 0.1) / size)).alias("_sum")
-    )
-    # a row that is there k times sends its rare words k times: _tail / _tf undoes that
-    share = F.coalesce(F.col("_tail") / F.col("_tf"), F.lit(0.0))
-    return first.join(sums, ["_k1", "_k2"], "left").select(
-        *[c for c in kept if c not in ("_k1", "_k2")],
+    seen, nothing = F.coalesce(F.col("n"), F.lit(0)), F.lit(0.0)
+    words = made.where("word IS NOT NULL").select("_row", "word", "tf").join(model.words, "word", "left")
+    parts = words.select("_row", F.when(seen > 0, F.col("tf")).otherwise(0).alias("k"), (F.col("tf") * F.log10((seen + 0.1) / size)).alias("b"), nothing.alias("s"))
+    if isinstance(model.tree, Known):
+        rest = made.where("code IS NOT NULL").select("_row", "code", "tf")
+        every = model.codes.select("code", "n", F.lit(False).alias("want")).unionByName(rest.select("code").distinct().select("code", F.lit(0).cast("long").alias("n"), F.lit(True).alias("want")))
+        found = rest.join(_log10_of(every, model.tree.depth, model.tree.top), "code")
+        parts = parts.unionByName(found.select("_row", F.lit(0).cast("long").alias("k"), nothing.alias("b"), (F.col("tf") * F.col("p")).alias("s")))
+    sums = parts.groupBy("_row").agg(*[F.sum(c).alias(f"_{c}") for c in "kbs"])
+    score = F.col("_score") + F.coalesce(F.col("_s"), nothing)
+    return made.where("tf IS NULL").drop(*tail).join(sums, "_row", "left").select(
+        *[c for c in kept if c != "_row"],
         "n_tokens",
-        (F.col("_head") + F.coalesce(F.round(F.col("_known") * share), F.lit(0)).cast("long")).alias("n_known"),
+        (F.col("_head") + F.coalesce(F.col("_k"), F.lit(0))).cast("long").alias("n_known"),
         F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("_base") + F.coalesce(F.col("_sum") * share, F.lit(0.0))).alias("base_score"),
-        "score",
-        "bits_per_byte",
+        (F.col("_base") + F.coalesce(F.col("_b"), nothing)).alias("base_score"),
+        score.alias("score"),
+        (-score / _LOG10_2 / F.col("_size")).alias("bits_per_byte"),
     )

@@ -230,6 +230,51 @@ def test_ctw_untrained_and_long(spark, monkeypatch):
     assert parts == Counter(op10.codes_of(b"\xff" * 5 + long.encode()).tolist())
 
 
+def every_context_log10(train, probes, depth):
+    """The weighted mixture of all contexts, told along each probe's own."""
+    pad = b"\xff" * depth
+    total, longer = Counter(), {}
+    for i in range(depth, len(data := pad + train + b"\xff")):
+        for d in range(depth + 1):
+            longer.setdefault(data[i - d : i], set()).add(data[i - d - 1 : i] if d < depth else None)
+            for k in range(9):
+                total[data[i - d : i], f"{data[i]:08b}"[:k]] += 1
+
+    def counts(s, path):
+        return total[s, path + "0"], total[s, path + "1"]
+
+    def log_pe(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    @functools.cache
+    def log_pw(s, path):
+        own = log_pe(*counts(s, path))
+        return own if len(s) == depth else np.logaddexp(own, sum(log_pw(c, path) for c in longer.get(s, ()))) - math.log(2)
+
+    def told(data, i, k):
+        path, bit, sure, free, odds = f"{data[i]:08b}"[:k], int(f"{data[i]:08b}"[k]), 0.0, 1.0, 0.5
+        for d in range(depth + 1):
+            n = counts(s := data[i - d : i], path)
+            if sum(n):
+                odds, own = (n[bit] + 0.5) / (sum(n) + 1), 1.0 if d == depth else math.exp(log_pe(*n) - log_pw(s, path) - math.log(2))
+                sure, free = sure + free * own * odds, free * (1 - own)
+        return math.log10(sure + free * odds)
+
+    return [sum(told(data, i, k) for i in range(depth, len(data)) for k in range(8)) for data in (pad + p + b"\xff" for p in probes)]
+
+
+def test_ctw_keeps_every_context(spark):
+    rng = np.random.default_rng(3)
+    train = bytes(rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8), 30_000)).decode()
+    assert len({train[i - d : i] for d in range(6) for i in range(d, len(train))}) > 1 << 16
+    probes = [train[500:540], "never met: 0815", "", None, "abc" * 5]
+    want = every_context_log10(train.encode(), [(p or "").encode() for p in probes], 5)
+    for hot in (op10.HOT, 1000, 0):
+        model = op10.fit(frame(spark, [(1, train)]).select("text"), hot=hot)
+        got = {r.doc_id: r.score for r in op10.score(frame(spark, list(enumerate(probes)) + [(2, "")]), model).collect()}
+        assert [got[i] for i in range(len(probes))] == pytest.approx(want, rel=1e-9)
+
+
 def within_one_block(blocks, weights):
     """The schedule of ``blocks``, held against the exact targets of every phase, slot by slot."""
     at, starts = op3.schedule(blocks, weights)
