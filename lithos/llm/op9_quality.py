@@ -25,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +53,8 @@ WORD_SLOTS, GRAM_SLOTS = 128, 128
 FEATURES = _CLASSES + 5 + WORD_SLOTS + GRAM_SLOTS
 #: Passages that are encoded together; bounds the memory for a long text.
 TOGETHER = 2048
+#: Columns whose spread is told together; bounds the memory beside the passages.
+_COLUMNS = 16
 
 
 class _Slots(dict):
@@ -130,7 +133,8 @@ class Network(NamedTuple):
 
 def _encode(w: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
     """Each passage's representation h and attention s before it is shared out."""
-    h = np.tanh(x @ w["e"] + w["e0"])
+    made = [x[i : i + TOGETHER] @ w["e"] for i in range(0, len(x), TOGETHER)]  # single numbers become double ones, some rows at a time
+    h = np.tanh(np.concatenate(made) + w["e0"])
     t, g = np.tanh(h @ w["v"]), 1 / (1 + np.exp(-(h @ w["u"])))
     return {"h": h, "t": t, "g": g, "s": (t * g) @ w["a"]}
 
@@ -162,7 +166,7 @@ def _gradients(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray, y: n
     dt, dg = ds[:, None] * w["a"] * g * (1 - t * t), ds[:, None] * w["a"] * t * g * (1 - g)
     dh = a[:, None] * dz[bag] + dt @ w["v"].T + dg @ w["u"].T
     de = dh * (1 - h * h)
-    out = {"c": f["z"].T @ d, "c0": d.sum(keepdims=True), "a": (t * g).T @ ds, "v": h.T @ dt, "u": h.T @ dg, "e": x.T @ de, "e0": de.sum(axis=0)}
+    out = {"c": f["z"].T @ d, "c0": d.sum(keepdims=True), "a": (t * g).T @ ds, "v": h.T @ dt, "u": h.T @ dg, "e": sum(x[i : i + TOGETHER].T @ de[i : i + TOGETHER] for i in range(0, len(x), TOGETHER)), "e0": de.sum(axis=0)}
     return {k: v + decay * w[k] for k, v in out.items()}
 
 
@@ -172,10 +176,12 @@ def fit_bags(bags: list[np.ndarray], labels: np.ndarray, width: int = 12, gate:
     nothing = np.zeros(FEATURES, np.float32)
     if len(set(labels.tolist())) < 2:
         return Network(nothing, nothing + 1, {}, prior)
-    x = np.concatenate(bags).astype(np.float32)
     starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]])
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 0.02
-    x = (x - mean) / scale
+    x = np.concatenate(bags, dtype=np.float32)
+    del bags  # the driver holds the passages once from here on
+    mean, scale = x.mean(axis=0), np.concatenate([x[:, i : i + _COLUMNS].std(axis=0) for i in range(0, FEATURES, _COLUMNS)]) + 0.02
+    x -= mean
+    x /= scale
     rng = np.random.default_rng(7)
     shapes = {"e": (FEATURES, width), "e0": (width,), "v": (width, gate), "u": (width, gate), "a": (gate,), "c": (width,), "c0": (1,)}
     w = {k: rng.normal(0, 0.5 / np.sqrt(s[0]), s).astype(np.float32) for k, s in shapes.items()}
@@ -189,6 +195,11 @@ def fit_bags(bags: list[np.ndarray], labels: np.ndarray, width: int = 12, gate:
     return Network(mean, scale, w, prior)
 
 
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The passages of each bag, not copied."""
+    return [np.frombuffer(x.as_buffer(), "<f4").reshape(-1, FEATURES) for x in column]
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 3000, most_passages: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
     """Learns from labelled rows where ``train`` (on the label table's id) holds.
 
@@ -223,9 +234,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 3000, m
         if row.n <= room:
             taken.append(row.at)
             room -= row.n
-    got = texts.where(F.col("at").isin(taken)).mapInArrow(bags, "at bigint, y double, bag binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["at"], r["bag"]))
-    return fit_bags([np.frombuffer(r["bag"], "<f4").reshape(-1, FEATURES) for r in got], np.array([r["y"] for r in got]))
+    got = texts.where(F.col("at").isin(taken)).mapInArrow(bags, "at bigint, y double, bag binary").toArrow()
+    got = got.take(pc.sort_indices(got, sort_keys=[("at", "ascending"), ("bag", "ascending")]))
+    y, held = got["y"].to_numpy(), [got["bag"]]
+    del got
+    net = fit_bags(_views(held.pop()), y)  # which alone holds the passages, and lets go of them
+    pa.default_memory_pool().release_unused()
+    return net
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = (), whole_rows: str | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 import functools
 import math
+import tracemalloc
 from collections import Counter
 from fractions import Fraction
 
@@ -137,6 +138,20 @@ def test_quality_gradients():
         assert d.reshape(-1)[at] == pytest.approx((up - down) / 2e-6, abs=1e-6)
 
 
+def test_quality_holds_the_passages_once():
+    rng = np.random.default_rng(5)
+    bags, y = [rng.random((200, op9.FEATURES), np.float32) for _ in range(200)], np.arange(200) % 2.0
+    size = sum(b.nbytes for b in bags)
+    tracemalloc.start()
+    try:
+        net = op9.fit_bags(bags, y, rounds=1)
+        assert tracemalloc.get_traced_memory()[1] < 1.5 * size
+    finally:
+        tracemalloc.stop()
+    x = np.concatenate(bags)
+    assert (net.mean == x.mean(axis=0)).all() and (net.scale == x.std(axis=0) + 0.02).all()
+
+
 def test_quality_without_labels(spark):
     docs = frame(spark, [(1, "some text"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
