@@ -187,8 +187,10 @@ def fast_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 fast_distance = fast_distance.asNondeterministic()
 
 
-#: Pairs of digests that are compared together.
-_BLOCK = 1 << 14
+#: Pairs of digests that are compared together, probes among them.
+_BLOCK, _PROBES = 1 << 18, 128
+#: Dimensions that the codes are projected to where ``_MANY`` entries or more share them.
+_KEPT, _MANY = 96, 512
 
 
 def _planes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,14 +214,23 @@ def _part(high: np.ndarray, low: np.ndarray, same: np.ndarray, other_high: np.nd
     return out.astype(np.uint16) + 5 * np.bitwise_count(y).astype(np.uint16)
 
 
-def _header_cost(lv: int, q1: int, q2: int, cells: np.ndarray) -> np.ndarray:
-    """What length codes and ratios cost; rows of ``cells`` are (lv, q1, q2)."""
-    out = np.zeros(len(cells), np.int64)
-    for i, (x, n, weight, free) in enumerate(((lv, 256, LENGTH_WEIGHT, 0), (q1, 16, RATIO_WEIGHT, 1), (q2, 16, RATIO_WEIGHT, 1))):
-        d = np.abs(cells[:, i] - x)
-        d = np.minimum(d, n - d)
-        out += np.where(d <= 1, d, (d - free) * weight)
-    return out
+def _cost(x: np.ndarray, y: np.ndarray, n: int, free: int) -> np.ndarray:
+    """What two length codes (``n`` 256, ``free`` 0) or ratios (16, 1) cost; both weigh the same."""
+    d = np.abs(x - y)
+    d = np.minimum(d, n - d)
+    return np.where(d <= 1, d, (d - free) * LENGTH_WEIGHT)
+
+
+def _plane(rows: np.ndarray) -> np.ndarray:
+    """Each code as a point, (0, 0), (1, 0), (1, 1) or (2, 1): squared distances are those of codes, but 5 for 6."""
+    codes = np.stack([rows[:, 3:] >> s & 3 for s in (0, 2, 4, 6)], axis=2).reshape(len(rows), -1)
+    return np.concatenate([codes + 1 >> 1, codes >> 1], axis=1).astype(np.float32)
+
+
+def _projected(rows: np.ndarray, basis: np.ndarray | None) -> np.ndarray:
+    if basis is None:
+        return _plane(rows)
+    return np.concatenate([_plane(rows[i : i + 8192]) @ basis for i in range(0, max(1, len(rows)), 8192)])
 
 
 def _cells(rows: np.ndarray) -> np.ndarray:
@@ -231,45 +242,58 @@ def nearest(probes: np.ndarray, entries: np.ndarray, threshold: int, k: int | No
     """(probe, entry, distance) of rows of 35 bytes that differ and lie within the threshold: all, or the ``k`` least by (distance, entry's bytes).
 
     With ``before`` and ``since`` a probe meets only entries whose ``since`` is
-    below its ``before``.  Pairs whose headers cost too much are never formed,
-    of the others those that 64 codes already put too far are told no more.
+    below its ``before``.  Pairs whose length codes and first ratios cost too much
+    are never formed.  Of the others a product of matrices tells a bound: the
+    points of the codes, projected to the directions in which entries differ
+    most, are no farther apart than the codes.  What it leaves is compared in full.
     """
-    probe_cells, probe_at = np.unique(_cells(probes), axis=0, return_inverse=True)
-    probe_order = np.argsort(probe_at.reshape(-1), kind="stable")
-    probe_ends = np.searchsorted(probe_at.reshape(-1)[probe_order], np.arange(len(probe_cells) + 1))
+    some = entries[:: max(1, len(entries) // 4096)]
+    basis = np.linalg.eigh(np.cov(_plane(some).T.astype(np.float64)))[1][:, -_KEPT:].astype(np.float32) if len(entries) >= _MANY else None
     cells, at = np.unique(_cells(entries), axis=0, return_inverse=True)
-    cells = cells.astype(np.int64)
     order = np.lexsort([*entries.T[::-1], at.reshape(-1)])
-    sizes = np.bincount(at.reshape(-1), minlength=len(cells))
-    entries = entries[order]
+    entries, cells = entries[order], cells[at.reshape(-1)[order]].astype(np.int64)
+    lead = np.flatnonzero(np.concatenate([[True], (cells[1:, :2] != cells[:-1, :2]).any(axis=1)])) if len(cells) else np.zeros(0, np.int64)
+    sizes, leads = np.diff(lead, append=len(cells)), cells[lead]
     by_bytes = np.empty(len(entries), np.int64)
     by_bytes[np.lexsort(entries.T[::-1])] = np.arange(len(entries))
     high, low = _planes(entries)
     same = ~(high ^ low)
     p_high, p_low = _planes(probes)
+    ratio = _cost(np.arange(16)[:, None], np.arange(16), 16, 1)
+    points = _projected(entries, basis)
+    points = np.concatenate([points, np.ones((len(points), 1)), (points**2).sum(axis=1, keepdims=True) / -2, np.eye(16)[cells[:, 2]]], axis=1, dtype=np.float32)
+    probe_cells = _cells(probes).astype(np.int64)
+    groups, probe_at = np.unique(probe_cells[:, :2], axis=0, return_inverse=True)
+    probe_order = np.argsort(probe_at.reshape(-1), kind="stable")
+    probe_ends = np.searchsorted(probe_at.reshape(-1)[probe_order], np.arange(len(groups) + 1))
     out = [(np.zeros(0, np.int64),) * 3]
-    for c, cell in enumerate(probe_cells):
-        base = np.repeat(_header_cost(*map(int, cell), cells).astype(np.uint16), sizes)
-        e = np.flatnonzero(base <= threshold)
-        if not len(e):
+    for c, (lv, q1) in enumerate(groups):
+        base = _cost(leads[:, 0], lv, 256, 0) + _cost(leads[:, 1], q1, 16, 1)
+        near = np.concatenate([[False], base <= threshold, [False]])
+        edges = np.flatnonzero(near[1:] != near[:-1])
+        starts = np.append(lead, len(entries))
+        ranges = [(int(starts[i]), int(starts[j])) for i, j in zip(edges[::2], edges[1::2], strict=True)]
+        if not ranges:
             continue
-        base = base[e]
-        h, l, s = high[:, e], low[:, e], same[:, e]  # noqa: E741
+        base = np.repeat(base, sizes)
+        least = ((base - threshold - 0.5) / 2).astype(np.float32)  # far more than what single precision loses
         mine = probe_order[probe_ends[c] : probe_ends[c + 1]]
-        step = max(1, _BLOCK // len(e))
-        for i in range(0, len(mine), step):
-            p, found = mine[i : i + step], []
-            for j in range(0, len(e), _BLOCK):
-                part = slice(j, j + _BLOCK)
-                d = _part(h[0, part], l[0, part], s[0, part], p_high[0, p, None], p_low[0, p, None]) + base[part]
-                x, y = np.nonzero(d <= threshold)
+        for i in range(0, len(mine), _PROBES):
+            p, found = mine[i : i + _PROBES], []
+            q = _projected(probes[p], basis)
+            q = np.concatenate([q, (q**2).sum(axis=1, keepdims=True) / -2, np.ones((len(q), 1)), ratio[probe_cells[p, 2]] / -2], axis=1, dtype=np.float32)
+            step = max(1, _BLOCK // len(p))
+            for j, end in ((j, min(j + step, end)) for start, end in ranges for j in range(start, end, step)):
+                x, y = np.divmod(np.flatnonzero(q @ points[j:end].T >= least[j:end]), end - j)
                 if len(x):
-                    d = d[x, y] + _part(h[1, part][y], l[1, part][y], s[1, part][y], p_high[1, p[x]], p_low[1, p[x]])
-                    d = d + (probes[p[x], 0] != entries[e[part][y], 0])
+                    x, y = p[x], y + j
+                    d = base[y] + ratio[probe_cells[x, 2], cells[y, 2]] + (probes[x, 0] != entries[y, 0])
+                    for w in range(2):
+                        d = d + _part(high[w, y], low[w, y], same[w, y], p_high[w, x], p_low[w, x])
                     keep = (d <= threshold) & (d > 0)  # at no distance both are the same
                     if before is not None:
-                        keep &= since[order[e[part][y]]] < before[p[x]]
-                    found.append((p[x[keep]], e[part][y[keep]], d[keep].astype(np.int64)))
+                        keep &= since[order[y]] < before[x]
+                    found.append((x[keep], y[keep], d[keep].astype(np.int64)))
             if not found:
                 continue
             x, y, d = (np.concatenate(z) for z in zip(*found, strict=True))

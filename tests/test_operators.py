@@ -102,6 +102,22 @@ def test_pruned_search_equals_brute_force(spark):
         assert got == want, t
 
 
+def test_few_digests_are_compared_in_full(monkeypatch):
+    """A bound on the codes leaves few of the pairs whose headers agree, and loses none that is near."""
+    rng = np.random.default_rng(2)
+    rows = rng.integers(0, 256, (2000, 35), np.uint8)
+    rows[:, 1:3] = rows[0, 1:3]
+    rows[1000:1200, :] = rows[:200, :]
+    for i in range(1000, 1200):
+        rows[i, rng.integers(3, 35, i % 9)] ^= 1
+    full, part = [], tlsh._part
+    monkeypatch.setattr(tlsh, "_part", lambda *a: full.append(out := part(*a)) or out)
+    got = set(zip(*(x.tolist() for x in tlsh.nearest(rows, rows, 40)), strict=True))
+    every = [tlsh.distances(np.repeat(rows[i : i + 1], len(rows), axis=0), rows) for i in range(len(rows))]
+    assert got == {(i, int(j), int(d[j])) for i, d in enumerate(every) for j in np.flatnonzero((d <= 40) & (d > 0))}
+    assert got and sum(x.size for x in full) < 0.05 * len(rows) ** 2
+
+
 def test_nearest_digests_of_copies(spark, monkeypatch):
     monkeypatch.setattr(similarity, "PROBES", 20)
     monkeypatch.setattr(similarity, "ENTRIES", 7)
