@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, text_of
+from .common import cut, release, row_key, text_of
 
 DEPTH = 3
 #: Tokens that a template's documents must hold together to be dropped.
@@ -108,6 +108,8 @@ def _generalised(docs: DataFrame, keyed: DataFrame, similarity: float, id_col: s
         turn += 1
         rest = near.where("shared AND NOT near").drop("near", "shared")
         found = cut(_of_several(rest.unionByName(_parted(near.where("NOT shared").drop("near", "shared")))), "templates")
+        del near, shared, taken, rest, same, mode, tokens
+        release(docs.sparkSession)  # rounds are many, and what they shuffled is written
         if found.isEmpty():
             return out
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from lithos.llm import common
+from lithos.llm import common, op5_lines
 
 from .brute import frame, jaccard, kept_lines
 
@@ -102,3 +102,14 @@ def test_run_leaves_only_its_result(spark, tables, tmp_path):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "block", "slot"] and out.count() > 0
     (made,) = set(shared.glob("*")) - before
     assert [p.name for p in made.iterdir() if p.is_dir()] == [str(len(pipeline.STAGES) - 1)]
+
+
+def test_line_rounds_release_the_driver(spark, monkeypatch):
+    """Each round of the template tree has the driver collect what the round left."""
+    rows = [(i, f"one two three {'ab'[i % 2]}x {'cd'[i // 2]}y {'ef'[i % 2]}z k{'lmno'[i]}") for i in range(4)]
+    beans, turns, cut = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans, [], op5_lines.cut
+    monkeypatch.setattr(op5_lines, "cut", lambda df, name="t": turns.append(name) or cut(df, name))
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    op5_lines.drops(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert 1 <= turns.count("agreeing") <= full() - before
